@@ -22,8 +22,56 @@ g AS (SELECT record_id, min(record_id) OVER (PARTITION BY k) AS keep_id FROM k)
 """
 
 
+
+
+def _sets(rows: str, k: int) -> str:
+    """CTEs: rec(id, s) with the set of runs of k words of each text, u(u, s) the distinct sets, v(u, x, n) their elements."""
+    run = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+txt AS (SELECT DISTINCT id, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM ({rows}) WHERE id IS NOT NULL AND t IS NOT NULL),
+rec AS (SELECT id, list_sort(list_distinct([{run} FOR i IN range(1, greatest(1, len(w) - {k - 2}))])) AS s FROM txt WHERE len(w) >= {k}),
+u AS (SELECT row_number() OVER () AS u, s FROM (SELECT DISTINCT s FROM rec)),
+v AS (SELECT u, unnest(s) AS x, len(s) AS n FROM u),
+links AS (
+  SELECT a.u AS a, b.u AS b FROM v a JOIN v b ON a.x = b.x AND a.u <> b.u
+  GROUP BY a.u, b.u, a.n, b.n HAVING count(*) >= {{t}} * (a.n + b.n - count(*)) - 1e-9
+)"""
+
+
+def _groups(text: str, k: int, t: float) -> str:
+    return f"""
+WITH RECURSIVE {_sets(f"SELECT record_id AS id, {text} AS t FROM maintenance_record", k).format(t=t)},
+reach AS (SELECT u AS a, u AS b FROM u UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+root AS (SELECT a AS u, min(b) AS root FROM reach GROUP BY a),
+labelled AS (SELECT rec.id, root.root FROM rec JOIN u ON rec.s = u.s JOIN root ON root.u = u.u),
+g AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY root) AS group_id, max(id) OVER (PARTITION BY root) AS last FROM labelled)
+SELECT group_id, id AS record_id FROM g WHERE group_id <> last"""
+
+
+_PART = "CASE WHEN trim(lower(split)) IN ('dev', 'val', 'validation') THEN 'validation' ELSE trim(lower(split)) END"
+_CROSS = f"""
+WITH {_sets("SELECT record_id AS id, problem_text AS t FROM maintenance_record", 3).format(t=0.5)},
+part AS (SELECT DISTINCT record_id AS id, dataset_id, {_PART} AS part FROM maintenance_record),
+m AS (SELECT rec.id, u.u, part.part = 'train' AS train FROM rec JOIN u ON rec.s = u.s JOIN part ON part.id = rec.id WHERE part.part IN ('train', 'validation', 'test')),
+near AS (SELECT a, b FROM links UNION ALL SELECT u, u FROM u),
+pairs AS (
+  SELECT DISTINCT least(x.id, y.id) AS record_id_a, greatest(x.id, y.id) AS record_id_b
+  FROM m x JOIN near ON near.a = x.u JOIN m y ON y.u = near.b WHERE x.train AND NOT y.train AND x.id <> y.id
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _FORMS + "SELECT keep_id, record_id AS copy_id FROM g WHERE record_id <> keep_id",
         "p1_copy_counts": _FORMS + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
+        "p5_found": f"SELECT * FROM ({_groups('full_text', 3, 0.5)}) WHERE group_id <> record_id",
+        "p5_problem_groups": _groups("problem_text", 5, 0.8),
+        "p6_found": _CROSS + "SELECT * FROM pairs",
+        "p6_report": _CROSS
+        + """, hit AS (
+  SELECT record_id_a AS id, record_id_b AS other FROM pairs UNION SELECT record_id_b, record_id_a FROM pairs
+)
+SELECT p.part AS split, p.dataset_id AS source, count(*) AS records,
+       sum(CASE WHEN p.id IN (SELECT h.id FROM hit h JOIN part q ON q.id = h.other AND q.part = 'train') THEN 1 ELSE 0 END)::BIGINT AS overlapping
+FROM part p WHERE p.part IN ('validation', 'test') AND p.id IS NOT NULL GROUP BY p.part, p.dataset_id""",
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hangarlake.llm import exactcopies
+from hangarlake.llm import chosenpath, crosssplit, exactcopies
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,5 +19,23 @@ def p1_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return exactcopies.copy_counts(table(spark, folder, "maintenance_record"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = chosenpath.near_duplicate_groups(table(spark, folder, "maintenance_record"), "record_id", "full_text", k=3, threshold=0.5)
+    return groups.filter("group_id <> record_id")
+
+
+def p5_problem_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups by problem_text with the general parameters: five words, likeness 0.8."""
+    return chosenpath.near_duplicate_groups(table(spark, folder, "maintenance_record"), "record_id", "problem_text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.cross_split_pairs(table(spark, folder, "maintenance_record"), k=3, threshold=0.5)
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return crosssplit.overlap_report(table(spark, folder, "maintenance_record"), k=3, threshold=0.5)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
