@@ -1,17 +1,20 @@
 """Problem 5: near-duplicate records by a chosen-path similarity join.
 
 Each text is the set of its runs of k words. A set goes to the buckets of its
-sampled tokens; two sets meet if they share a sampled token. Buckets of up to
-``bucket`` sets are compared by brute force. Larger ones are split again: their
-sets go to the buckets of sampled pairs of frequent tokens, then triples, and
-so on. A set follows a level only while its frequent tokens alone can still
-reach the threshold. What is crowded after the last level is compared exactly,
-in blocks. Sampling is by hash of the path, so all sets decide alike.
-
-One run samples each path with probability ``rate``; runs are repeated until
-two sets at the threshold meet with the probability ``target_recall``. As runs
-differ only by their seeds, all of a set's runs are carried out in one pass: a
-path is taken if any of them takes it.
+tokens; two sets meet if they share a token. Buckets of up to ``bucket`` sets
+are compared by brute force. Larger ones are split again: their sets go to the
+buckets of sampled pairs of frequent tokens, then triples, and so on. A set
+follows a level only while its frequent tokens alone can still reach the
+threshold. What is crowded after the last level is compared exactly, in
+blocks. Sampling is by hash of the path, so all sets decide alike.
+
+As in the variant of the method for skewed frequencies, paths are sampled the
+more sparsely the more frequent they are: a rare token, whose bucket ends the
+path at once, is always taken, since it may be the only one that two sets
+share. On deeper levels one run samples each path with probability ``rate``;
+runs are repeated until two sets at the threshold meet with the probability
+``target_recall``. As runs differ only by their seeds, all of a set's runs are
+carried out in one pass: a path is taken if any of them takes it.
 
 Skew: equal sets are one set before anything is exchanged, and a map task
 sends at most ``bucket`` sets of a token; of more it sends only word that the
@@ -101,13 +104,10 @@ def _distinct_sets(batches, k: int):
         yield join()
 
 
-def _first_level(k: int, threshold: float, rate: float, recall: float, bucket: int):
+def _first_level(k: int, bucket: int):
     def run(batches):
         for sig, pack, sizes, _, tokens in _distinct_sets(batches, k):
-            p = sampling_rate(np.ceil(sizes * threshold - 1e-9), rate, recall)
-            take = _sampled(tokens, np.repeat(p, sizes), 0x51)
-            owner = np.repeat(np.arange(len(sig)), sizes)[take]
-            yield from _emit(tokens[take], sig[owner], pack[owner], bucket)
+            yield from _emit(tokens, np.repeat(sig, sizes), np.repeat(pack, sizes), bucket)
 
     return run
 
@@ -294,7 +294,7 @@ def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, r
 
     def paths(level: int, bucket: int) -> DataFrame:
         if level == 1:
-            return texts.mapInArrow(_first_level(k, threshold, rate, target_recall, bucket), _PATHS)
+            return texts.mapInArrow(_first_level(k, bucket), _PATHS)
         if crowded:
             return texts.mapInArrow(_deep_level(level, threshold, rate, target_recall, bucket, list(crowded), k), _PATHS)
         return _joined_sets(texts, k, frequent, threshold).mapInArrow(_deep_level(level, threshold, rate, target_recall, bucket, [], None), _PATHS)
