@@ -60,10 +60,33 @@ pairs AS (
 )"""
 
 
+_LINKED = f"""
+WITH RECURSIVE hub AS (SELECT record_id, min(cluster_id) AS low FROM maintenance_record WHERE cluster_id IS NOT NULL AND record_id IS NOT NULL GROUP BY 1 HAVING min(cluster_id) < max(cluster_id)),
+star AS (SELECT DISTINCT m.cluster_id AS a, hub.low AS b FROM maintenance_record m JOIN hub USING (record_id) WHERE m.cluster_id <> hub.low),
+edge AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach AS (SELECT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+root AS (SELECT a AS cluster_id, min(b) AS root FROM reach GROUP BY a),
+lab AS (SELECT DISTINCT m.cluster_id, coalesce(root.root, m.cluster_id) AS label FROM maintenance_record m LEFT JOIN root USING (cluster_id) WHERE m.cluster_id IS NOT NULL)"""
+
+_ASSIGNED = _LINKED + """,
+rec AS (SELECT record_id, min(cluster_id) AS cluster_id FROM maintenance_record WHERE record_id IS NOT NULL GROUP BY 1),
+place AS (SELECT record_id, ('0x' || substr(md5(coalesce('unit:' || lab.label, 'record:' || record_id)), 1, 8))::BIGINT / 4294967296.0 AS x FROM rec LEFT JOIN lab USING (cluster_id)),
+range AS (SELECT split, sum(target_share) OVER (ORDER BY split) / sum(target_share) OVER () AS upper FROM split_target WHERE target_share > 0),
+assigned AS (SELECT record_id, arg_min(split, upper) AS split FROM place JOIN range ON x < upper GROUP BY 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _FORMS + "SELECT keep_id, record_id AS copy_id FROM g WHERE record_id <> keep_id",
         "p1_copy_counts": _FORMS + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
+        "p4_found": _LINKED
+        + f""", named AS (SELECT DISTINCT m.cluster_id, nullif({_PART}, '') AS part FROM maintenance_record m),
+bad AS (SELECT label FROM lab JOIN named USING (cluster_id) GROUP BY 1 HAVING count(DISTINCT part) > 1)
+SELECT cluster_id FROM lab WHERE label IN (SELECT label FROM bad)""",
+        "p4_assign": _ASSIGNED + "SELECT record_id, split FROM assigned",
+        "p4_shares": _ASSIGNED
+        + """SELECT t.split, t.target_share, coalesce(n, 0) AS records, coalesce(n, 0) / (SELECT count(*) FROM assigned) AS share
+FROM split_target t LEFT JOIN (SELECT split, count(*) AS n FROM assigned GROUP BY 1) USING (split)""",
         "p5_found": f"SELECT * FROM ({_groups('full_text', 3, 0.5)}) WHERE group_id <> record_id",
         "p5_problem_groups": _groups("problem_text", 5, 0.8),
         "p6_found": _CROSS + "SELECT * FROM pairs",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hangarlake.llm import chosenpath, crosssplit, exactcopies
+from hangarlake.llm import canonicalmap, chosenpath, crosssplit, exactcopies, groupsplits
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,33 @@ def p1_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return exactcopies.copy_counts(table(spark, folder, "maintenance_record"))
 
 
+_FIELDS = {"components": "component", "fault_surfaces": "fault"}
+
+
+def _aliases(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, "abbreviation").select("abbrev", "expansion"), table(spark, folder, "misspelling").select("misspelling", "correction")]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return canonicalmap.map_values(table(spark, folder, "structure_case"), table(spark, folder, "canonical_term"), _aliases(spark, folder), _FIELDS)
+
+
+def p3_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    return canonicalmap.unmatched_values(table(spark, folder, "structure_case"), table(spark, folder, "canonical_term"), _aliases(spark, folder), _FIELDS)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groupsplits.broken_units(table(spark, folder, "maintenance_record"))
+
+
+def p4_assign(spark: SparkSession, folder: str) -> DataFrame:
+    return groupsplits.grouped_splits(table(spark, folder, "maintenance_record"), table(spark, folder, "split_target"))
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return groupsplits.split_shares(table(spark, folder, "maintenance_record"), table(spark, folder, "split_target"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     groups = chosenpath.near_duplicate_groups(table(spark, folder, "maintenance_record"), "record_id", "full_text", k=3, threshold=0.5)
     return groups.filter("group_id <> record_id")
