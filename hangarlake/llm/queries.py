@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hangarlake.llm import canonicalmap, chosenpath, crosssplit, exactcopies, groupsplits
+from hangarlake.llm import canonicalmap, chosenpath, crosssplit, exactcopies, groupsplits, truncation
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_copy_counts(spark: SparkSession, folder: str) -> DataFrame:
     return exactcopies.copy_counts(table(spark, folder, "maintenance_record"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncated_fields(table(spark, folder, "maintenance_record"))
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, folder, "maintenance_record"))
+
+
 _FIELDS = {"components": "component", "fault_surfaces": "fault"}
 
 
