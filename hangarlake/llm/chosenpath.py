@@ -112,65 +112,79 @@ def _first_level(k: int, bucket: int):
     return run
 
 
-def _deep_paths(tokens: np.ndarray, size: int, level: int, threshold: float, rate: float, recall: float, crowded: list[np.ndarray]) -> np.ndarray:
-    """The sampled subsets of ``level`` frequent tokens of one set, without those whose own parts were small buckets."""
-    need = math.ceil(size * threshold - 1e-9)
-    if len(tokens) < max(need, level):
-        return np.empty(0, np.uint64)
-    share = min(1.0, 48 / len(tokens))
-    if share < 1:
-        tokens = tokens[_sampled(tokens, share, 0x77)]
-        need = max(level, int(need * share * threshold))
-    if len(tokens) < level:
-        return np.empty(0, np.uint64)
-    order = np.argsort(tokens)
-    picks = np.array(list(combinations(range(len(tokens)), level)))
-    parts = tokens[order][picks]
-    path = np.zeros(len(parts), np.uint64)
-    for j in range(level):
-        path = tv.mix(path * _U(0xD6E8FEB86659FD93) + parts[:, j])
+def _thinned(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, owner, need): frequent tokens of the sets that can reach the threshold by them; need is how many two such sets share at least.
+
+    Of more than 48 a hash of the token chooses about 48, for two similar sets mostly the same.
+    """
+    need = np.ceil(sizes * threshold - 1e-9).astype(np.int64)
+    many = np.bincount(owner, minlength=len(sizes))
+    keep = (many >= np.maximum(need, level))[owner]
+    share = np.minimum(1.0, 48 / np.maximum(many, 1))
+    keep &= (share[owner] >= 1) | _sampled(tokens, share[owner], 0x77)
+    need = np.where(share < 1, np.maximum(level, (need * share * threshold).astype(np.int64)), need)
+    return tokens[keep], owner[keep], need
+
+
+def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: float, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of the sampled subsets of ``level`` tokens in each row, without those of which a part was a small bucket."""
+    picks = np.array(list(combinations(range(tokens.shape[1]), level)))
+
+    def path_of(columns):
+        path = np.zeros((len(tokens), len(picks)), np.uint64)
+        for j in columns:
+            path = tv.mix(path * _U(0xD6E8FEB86659FD93) + tokens[:, picks[:, j]])
+        return path
+
+    path = path_of(range(level))
     keep = _sampled(path, sampling_rate(math.comb(need, level), rate, recall), 0x51 + level)
-    if level > 2 and len(crowded) >= level - 1:
-        known, p = crowded[level - 2], sampling_rate(math.comb(need, level - 1), rate, recall)
+    if known is not None:
+        p = sampling_rate(math.comb(need, level - 1), rate, recall)
         for left_out in range(level):
-            sub = np.zeros(len(parts), np.uint64)
-            for j in range(level):
-                if j != left_out:
-                    sub = tv.mix(sub * _U(0xD6E8FEB86659FD93) + parts[:, j])
-            keep &= ~_sampled(sub, p, 0x50 + level) | np.isin(sub, known)
-    return path[keep]
+            part = path_of([j for j in range(level) if j != left_out])
+            keep &= ~_sampled(part, p, 0x50 + level) | np.isin(part, known)
+    row, column = np.nonzero(keep)
+    return row, path[row, column]
 
 
 def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket: int, crowded: list[np.ndarray], k: int | None):
     """Of texts, where k is given and the frequent tokens are sent along; else of (sig, pack, size, frequent tokens)."""
+    known = crowded[level - 2] if level > 2 and len(crowded) >= level - 1 else None
 
     def sets(batches):
         if k is not None:
-            for sig, pack, sizes, offsets, tokens in _distinct_sets(batches, k):
-                frequent = np.isin(tokens, crowded[0], assume_unique=False)
-                many = np.add.reduceat(frequent.astype(np.int64), offsets[:-1]) if len(sig) else []
-                for i in np.flatnonzero(np.asarray(many) >= np.ceil(sizes * threshold - 1e-9)):
-                    part = slice(offsets[i], offsets[i + 1])
-                    yield sig[i], pack[i], int(sizes[i]), tokens[part][frequent[part]]
+            for sig, pack, sizes, _, tokens in _distinct_sets(batches, k):
+                frequent = np.isin(tokens, crowded[0])
+                yield sig, pack, sizes, tokens[frequent], np.repeat(np.arange(len(sig)), sizes)[frequent]
             return
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for i in range(batch.num_rows):
-                yield _U(columns[0][i].as_py() & (2**64 - 1)), _U(columns[1][i].as_py() & (2**64 - 1)), columns[2][i].as_py(), np.array(columns[3][i].as_py(), np.int64).view(np.uint64)
+            sig, pack, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = batch.column(3)
+            many = np.diff(lists.offsets.to_numpy())
+            yield sig.view(np.uint64), pack.view(np.uint64), sizes.astype(np.int64), lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sig)), many)
 
     def run(batches):
-        paths, sigs, packs, held = [], [], [], 0
-        for sig, pack, size, tokens in sets(batches):
-            path = _deep_paths(tokens, size, level, threshold, rate, recall, crowded)
-            paths.append(path)
-            sigs.append(np.full(len(path), sig, np.uint64))
-            packs.append(np.full(len(path), pack, np.uint64))
-            held += len(path)
-            if held >= SEGMENT:
-                yield from _emit(*(np.concatenate(x) for x in (paths, sigs, packs)), bucket)
-                paths, sigs, packs, held = [], [], [], 0
-        if held:
-            yield from _emit(*(np.concatenate(x) for x in (paths, sigs, packs)), bucket)
+        for sig, pack, sizes, tokens, owner in sets(batches):
+            tokens, owner, need = _thinned(tokens, owner, sizes, level, threshold)
+            order = np.lexsort((tokens, owner))
+            tokens, owner = tokens[order], owner[order]
+            many = np.bincount(owner, minlength=len(sig))
+            first = np.concatenate([[0], np.cumsum(many)])[:-1]
+            paths, whose = [], []
+            usable = np.flatnonzero(many >= level)
+            # Sets of like shape are one matrix.
+            shapes = np.stack([many[usable], need[usable]], 1)
+            for shape in np.unique(shapes, axis=0) if len(usable) else []:
+                alike = usable[(shapes == shape).all(1)]
+                step = max(1, (1 << 20) // math.comb(int(shape[0]), level))
+                for i in range(0, len(alike), step):
+                    some = alike[i : i + step]
+                    row, path = _subsets(tokens[first[some][:, None] + np.arange(shape[0])], level, int(shape[1]), rate, recall, known)
+                    paths.append(path)
+                    whose.append(some[row])
+            if paths:
+                who = np.concatenate(whose)
+                yield from _emit(np.concatenate(paths), sig[who], pack[who], bucket)
 
     return run
 
@@ -184,6 +198,21 @@ def _alike(sig_a, pack_a, sig_b, pack_b, threshold: float) -> np.ndarray:
     return (sig_a != sig_b) & (long | fits)
 
 
+def _joined(batches, least: int):
+    """The batches' three columns, together until they have ``least`` rows."""
+    held: list[tuple] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)))
+            rows += batch.num_rows
+        if rows >= least:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, rows = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _compare(threshold: float, bucket: int):
     """Pairs of the buckets in a partition that is sorted by path; (path, null) of each crowded one."""
 
@@ -219,10 +248,7 @@ def _compare(threshold: float, bucket: int):
             if len(heavy):
                 yield batch_of(pa.array(tv.to_long(heavy)), pa.nulls(len(heavy), pa.int64()))
 
-        for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)]
-            if not len(new[0]):
-                continue
+        for new in _joined(batches, max(1 << 17, 4 * min(bucket, 1 << 20))):
             path, sig, pack = (np.concatenate(x) for x in zip((path, sig, pack), new, strict=True))
             end = int(np.searchsorted(path.view(np.int64), path.view(np.int64)[-1], "left"))
             if end:
@@ -284,7 +310,7 @@ def verified(pairs: DataFrame, arrays: DataFrame, threshold: float) -> DataFrame
     return joined.filter(F.col("shared") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("shared")) - 1e-9)
 
 
-def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, rate: float = 0.1, target_recall: float = 0.9999, bucket: int = 32, max_depth: int = 4) -> DataFrame:
+def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, rate: float = 0.1, target_recall: float = 0.9999, bucket: int = 512, max_depth: int = 4) -> DataFrame:
     """(a, b, shared, size_a, size_b): the linked pairs of distinct shingle sets of ``text``, by signature."""
     spark = df.sparkSession
     texts = df.select(F.col(text).cast("string").alias("text")).filter("text is not null")
