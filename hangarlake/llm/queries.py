@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hangarlake.llm import canonicalmap, chosenpath, crosssplit, exactcopies, groupsplits, truncation
+from hangarlake.llm import canonicalmap, chosenpath, crosssplit, exactcopies, groupsplits, seedleaks, sharedspans, sourcemix, truncation
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,5 +72,30 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return crosssplit.overlap_report(table(spark, folder, "maintenance_record"), k=3, threshold=0.5)
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    passages = seedleaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+    return passages.filter("longest_run >= 12").select("item_id", "doc_id")
+
+
+def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return seedleaks.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return sourcemix.mix_sources(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return sourcemix.mix_shares(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sharedspans.shared_span_pairs(table(spark, folder, "documents"))
+
+
+def p9_shared(spark: SparkSession, folder: str) -> DataFrame:
+    return sharedspans.shared_parts(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
