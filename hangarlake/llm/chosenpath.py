@@ -3,7 +3,8 @@
 Each text is the set of its runs of k words. A set goes to the buckets of its
 tokens; two sets meet if they share a token. Buckets of up to ``bucket`` sets
 are compared by brute force. Larger ones are split again: their sets go to the
-buckets of sampled pairs of frequent tokens, then triples, and so on. A set
+buckets of sampled pairs of frequent tokens, then triples, and so on (these
+buckets, of which there are fewer, may hold ``deep_bucket`` sets). A set
 follows a level only while its frequent tokens alone can still reach the
 threshold. What is crowded after the last level is compared exactly, in
 blocks. Sampling is by hash of the path, so all sets decide alike.
@@ -40,15 +41,24 @@ _U = np.uint64
 SEGMENT = 1 << 21
 #: Frequent tokens sent to every executor at most (8 bytes each); beyond it they are joined.
 BROADCAST_TOKENS = 1 << 20
+#: Signatures of candidate sets sent to every executor at most (8 bytes each); beyond it they are joined.
+BROADCAST_SETS = 1 << 20
 #: A bucket limit that nothing reaches.
 _ALL = 1 << 40
-_PATHS = "path long, sig long, pack long"
-_N_BITS = 16
+_PATHS = "path long, sig long, pack long, more long"
+#: Paths are kept in 40 bits: two that fall together only share a bucket.
+_PATH_SHIFT = _U(24)
 
 
-def _pack(sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """48 bits of the set's map and its size (as far as 65,534) in one long; -1 stands for a crowded path."""
-    return (bits << _U(_N_BITS)) | np.minimum(sizes, 65_534).astype(np.uint64)
+def _pack(sizes: np.ndarray, bits: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+    """48 bits of a set's map, its number of frequent tokens and its size (each as far as 254) in one long; -1 stands for a crowded path.
+
+    On the first level all tokens count as frequent, and 64 more bits of the map
+    go along. On deeper ones the map and the number are those of the frequent
+    tokens: what two sets share otherwise has already brought them together.
+    """
+    some = sizes if frequent is None else frequent
+    return bits | (np.minimum(some, 254).astype(np.uint64) << _U(8)) | np.minimum(sizes, 254).astype(np.uint64)
 
 
 def _sampled(paths: np.ndarray, p, seed: int) -> np.ndarray:
@@ -62,22 +72,24 @@ def sampling_rate(shared, rate: float, target_recall: float):
     return 1 - (1 - rate) ** runs
 
 
-def _emit(path: np.ndarray, sig: np.ndarray, pack: np.ndarray, bucket: int):
+def _emit(path: np.ndarray, sig: np.ndarray, pack: np.ndarray, more: np.ndarray, bucket: int):
     """Rows of a segment; a path that is crowded within it goes as one row."""
+    path = path >> _PATH_SHIFT
     order = np.argsort(path, kind="stable")
-    path, sig, pack = path[order], sig[order], pack[order]
+    path, sig, pack, more = path[order], sig[order], pack[order], more[order]
     first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.empty(0, np.int64)
     count = np.diff(np.concatenate([first, [len(path)]]))
     crowded = count > bucket
     keep = ~np.repeat(crowded, count)
     marks = path[first[crowded]]
-    out = (np.concatenate([path[keep], marks]), np.concatenate([sig[keep], np.zeros(len(marks), np.uint64)]), np.concatenate([pack[keep], np.full(len(marks), 2**64 - 1, np.uint64)]))
+    zero = np.zeros(len(marks), np.uint64)
+    out = (np.concatenate([path[keep], marks]), np.concatenate([sig[keep], zero]), np.concatenate([pack[keep], ~zero]), np.concatenate([more[keep], zero]))
     for i in range(0, len(out[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(tv.to_long(x[i : i + (1 << 16)])) for x in out], ["path", "sig", "pack"])
+        yield pa.RecordBatch.from_arrays([pa.array(tv.to_long(x[i : i + (1 << 16)])) for x in out], ["path", "sig", "pack", "more"])
 
 
 def _distinct_sets(batches, k: int):
-    """(signatures, packs, sizes, offsets, tokens) of the distinct sets of each segment."""
+    """(signatures, packs, maps, sizes, offsets, tokens) of the distinct sets of each segment."""
     held: list[tuple] = []
     size = 0
 
@@ -85,12 +97,12 @@ def _distinct_sets(batches, k: int):
         sig = np.concatenate([h[0] for h in held])
         sizes = np.concatenate([np.diff(h[1]) for h in held])
         tokens = np.concatenate([h[2] for h in held])
-        bits = np.concatenate([tv.bitmaps(h[1], h[2]) for h in held])
+        upper, other = (np.concatenate(x) for x in zip(*(tv.bitmaps(h[1], h[2], True) for h in held), strict=True))
         _, one = np.unique(sig, return_index=True)
         one = one[sizes[one] > 0]
         mask = np.zeros(len(sig), bool)
         mask[one] = True
-        return sig[mask], _pack(sizes[mask], bits[mask]), sizes[mask], np.concatenate([[0], np.cumsum(sizes[mask])]), tokens[np.repeat(mask, sizes)]
+        return sig[mask], _pack(sizes[mask], upper[mask]), other[mask], sizes[mask], np.concatenate([[0], np.cumsum(sizes[mask])]), tokens[np.repeat(mask, sizes)]
 
     for batch in batches:
         for _, texts in tv.chunks(batch.column(0)):
@@ -106,8 +118,8 @@ def _distinct_sets(batches, k: int):
 
 def _first_level(k: int, bucket: int):
     def run(batches):
-        for sig, pack, sizes, _, tokens in _distinct_sets(batches, k):
-            yield from _emit(tokens, np.repeat(sig, sizes), np.repeat(pack, sizes), bucket)
+        for sig, pack, more, sizes, _, tokens in _distinct_sets(batches, k):
+            yield from _emit(tokens, np.repeat(sig, sizes), np.repeat(pack, sizes), np.repeat(more, sizes), bucket)
 
     return run
 
@@ -142,29 +154,31 @@ def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: flo
         p = sampling_rate(math.comb(need, level - 1), rate, recall)
         for left_out in range(level):
             part = path_of([j for j in range(level) if j != left_out])
-            keep &= ~_sampled(part, p, 0x50 + level) | np.isin(part, known)
+            keep &= ~_sampled(part, p, 0x50 + level) | np.isin(part >> _PATH_SHIFT, known)
     row, column = np.nonzero(keep)
     return row, path[row, column]
 
 
 def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket: int, crowded: list[np.ndarray], k: int | None):
-    """Of texts, where k is given and the frequent tokens are sent along; else of (sig, pack, size, frequent tokens)."""
+    """Of texts, where k is given and the frequent tokens are sent along; else of (sig, size, frequent tokens)."""
     known = crowded[level - 2] if level > 2 and len(crowded) >= level - 1 else None
 
     def sets(batches):
         if k is not None:
-            for sig, pack, sizes, _, tokens in _distinct_sets(batches, k):
-                frequent = np.isin(tokens, crowded[0])
-                yield sig, pack, sizes, tokens[frequent], np.repeat(np.arange(len(sig)), sizes)[frequent]
+            for sig, _, _, sizes, _, tokens in _distinct_sets(batches, k):
+                frequent = np.isin(tokens >> _PATH_SHIFT, crowded[0])
+                yield sig, sizes, tokens[frequent], np.repeat(np.arange(len(sig)), sizes)[frequent]
             return
         for batch in batches:
-            sig, pack, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            lists = batch.column(3)
+            lists = batch.column(2)
             many = np.diff(lists.offsets.to_numpy())
-            yield sig.view(np.uint64), pack.view(np.uint64), sizes.astype(np.int64), lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sig)), many)
+            sig, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            yield sig.view(np.uint64), sizes.astype(np.int64), lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sig)), many)
 
     def run(batches):
-        for sig, pack, sizes, tokens, owner in sets(batches):
+        for sig, sizes, tokens, owner in sets(batches):
+            count = np.bincount(owner, minlength=len(sig))
+            pack = _pack(sizes, tv.bitmaps(np.concatenate([[0], np.cumsum(count)]), tokens, False)[0], count)
             tokens, owner, need = _thinned(tokens, owner, sizes, level, threshold)
             order = np.lexsort((tokens, owner))
             tokens, owner = tokens[order], owner[order]
@@ -184,27 +198,29 @@ def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket
                     whose.append(some[row])
             if paths:
                 who = np.concatenate(whose)
-                yield from _emit(np.concatenate(paths), sig[who], pack[who], bucket)
+                yield from _emit(np.concatenate(paths), sig[who], pack[who], np.zeros(len(who), np.uint64), bucket)
 
     return run
 
 
-def _alike(sig_a, pack_a, sig_b, pack_b, threshold: float) -> np.ndarray:
-    """Whether two sets can reach the threshold, by their sizes and by the bits that differ."""
-    na, nb = (pack_a & _U(65_535)).astype(np.int64), (pack_b & _U(65_535)).astype(np.int64)
-    apart = np.bitwise_count((pack_a ^ pack_b) >> _U(_N_BITS)).astype(np.int64)
-    long = (na == 65_534) | (nb == 65_534)
-    fits = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (apart <= (na + nb) * (1 - threshold) / (1 + threshold) + 1e-9)
+def _alike(a: tuple, b: tuple, threshold: float) -> np.ndarray:
+    """Whether two sets can reach the threshold, by their sizes and by the bits that differ; (sig, pack, more) of each."""
+    (sig_a, pack_a, more_a), (sig_b, pack_b, more_b) = a, b
+    na, nb = (pack_a & _U(255)).astype(np.int64), (pack_b & _U(255)).astype(np.int64)
+    some = ((pack_a >> _U(8)) & _U(255)).astype(np.int64) + ((pack_b >> _U(8)) & _U(255)).astype(np.int64)
+    apart = np.bitwise_count((pack_a ^ pack_b) >> _U(16)).astype(np.int64) + np.bitwise_count(more_a ^ more_b)
+    long = (na == 254) | (nb == 254)
+    fits = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (some - apart >= 2 * (na + nb) * threshold / (1 + threshold) - 1e-9)
     return (sig_a != sig_b) & (long | fits)
 
 
 def _joined(batches, least: int):
-    """The batches' three columns, together until they have ``least`` rows."""
+    """The batches' four columns, together until they have ``least`` rows."""
     held: list[tuple] = []
     rows = 0
     for batch in batches:
         if batch.num_rows:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3)))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4)))
             rows += batch.num_rows
         if rows >= least:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
@@ -221,25 +237,34 @@ def _compare(threshold: float, bucket: int):
 
     def run(batches):
         path = np.empty(0, np.uint64)
-        sig, pack, full = path, path, False
+        sets, full = (path, path, path), False
 
-        def settle(path, sig, pack, full):
+        def settle(path, sets, full):
             """All whole runs of the arrays; ``full`` says that the first run was already crowded."""
             first = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
             count = np.diff(np.concatenate([first, [len(path)]]))
-            marked = np.maximum.reduceat((pack == _U(2**64 - 1)).astype(np.int8), first) > 0
+            marked = np.maximum.reduceat((sets[1] == _U(2**64 - 1)).astype(np.int8), first) > 0
             crowded = (count > bucket) | marked
             if full:
                 crowded[0] = True
             heavy = path[first[crowded]]
             small = ~np.repeat(crowded, count)
-            p, s, q = path[small], sig[small], pack[small]
+            p, q = path[small], tuple(x[small] for x in sets)
             left, right = [], []
-            for step in range(1, int(count[~crowded].max(initial=1))):
+            sizes = count[~crowded]
+            wide = np.repeat(sizes > 64, sizes)
+            for begin, size in zip((np.cumsum(sizes) - sizes)[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+                for i in range(begin, begin + size, 256):
+                    rows, columns = np.arange(i, min(i + 256, begin + size))[:, None], np.arange(i, begin + size)[None, :]
+                    x, y = np.nonzero(_alike(tuple(c[rows] for c in q), tuple(c[columns] for c in q), threshold) & (columns > rows))
+                    left.append(q[0][x + i])
+                    right.append(q[0][y + i])
+            p, q = p[~wide], tuple(x[~wide] for x in q)
+            for step in range(1, int(sizes[sizes <= 64].max(initial=1))):
                 i = np.flatnonzero(p[step:] == p[:-step])
-                i = i[_alike(s[i], q[i], s[i + step], q[i + step], threshold)]
-                left.append(s[i])
-                right.append(s[i + step])
+                i = i[_alike(tuple(c[i] for c in q), tuple(c[i + step] for c in q), threshold)]
+                left.append(q[0][i])
+                right.append(q[0][i + step])
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -249,16 +274,17 @@ def _compare(threshold: float, bucket: int):
                 yield batch_of(pa.array(tv.to_long(heavy)), pa.nulls(len(heavy), pa.int64()))
 
         for new in _joined(batches, max(1 << 17, 4 * min(bucket, 1 << 20))):
-            path, sig, pack = (np.concatenate(x) for x in zip((path, sig, pack), new, strict=True))
+            path, *rest = (np.concatenate(x) for x in zip((path, *sets), new, strict=True))
+            sets = tuple(rest)
             end = int(np.searchsorted(path.view(np.int64), path.view(np.int64)[-1], "left"))
             if end:
-                yield from settle(path[:end], sig[:end], pack[:end], full)
-                path, sig, pack, full = path[end:], sig[end:], pack[end:], False
+                yield from settle(path[:end], tuple(x[:end] for x in sets), full)
+                path, sets, full = path[end:], tuple(x[end:] for x in sets), False
             if len(path) > bucket:
                 full = True
-                path, sig, pack = path[:1], sig[:1], pack[:1]
+                path, sets = path[:1], tuple(x[:1] for x in sets)
         if len(path):
-            yield from settle(path, sig, pack, full)
+            yield from settle(path, sets, full)
 
     return run
 
@@ -270,7 +296,7 @@ def _blocks(rows: DataFrame, crowded: DataFrame, threshold: float, block: int =
     rows = rows.join(count, "path").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     key = F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other"))
-    spread = rows.select(key.alias("path"), "sig", "pack").repartition("path").sortWithinPartitions("path")
+    spread = rows.select(key.alias("path"), "sig", "pack", "more").repartition("path").sortWithinPartitions("path")
     return spread.mapInArrow(_compare(threshold, _ALL), "a long, b long").filter("b is not null")
 
 
@@ -294,23 +320,29 @@ def _signatures(k: int):
     return run
 
 
-def set_arrays(df: DataFrame, text: str, k: int) -> DataFrame:
-    """(sig, tokens) of every distinct set, for the exact check."""
+def _set_rows(df: DataFrame, text: str, k: int) -> DataFrame:
     rows = df.select(F.lit("").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_arrays(k), "id string, sig long, tokens array<long>")
-    return rows.filter("sig <> 0").select("sig", "tokens").dropDuplicates(["sig"])
+    return rows.filter("sig <> 0").select("sig", "tokens")
+
+
+def set_arrays(df: DataFrame, text: str, k: int) -> DataFrame:
+    """(sig, tokens) of every distinct set."""
+    return _set_rows(df, text, k).dropDuplicates(["sig"])
 
 
-def verified(pairs: DataFrame, arrays: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of the candidate pairs that reach the threshold exactly."""
+def verified(pairs: DataFrame, df: DataFrame, text: str, k: int, threshold: float) -> DataFrame:
+    """(a, b, shared, size_a, size_b) of the candidate pairs (a, b) of signatures that reach the threshold exactly."""
+    pairs = cut(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    found = arrays.join(wanted, "sig", "left_semi")
+    small = wanted.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS
+    found = _set_rows(df, text, k).join(F.broadcast(wanted) if small else wanted, "sig", "left_semi").dropDuplicates(["sig"])
     left = found.select(F.col("sig").alias("a"), F.col("tokens").alias("ta"))
     right = found.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("shared"), F.size("ta").alias("size_a"), F.size("tb").alias("size_b"))
     return joined.filter(F.col("shared") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("shared")) - 1e-9)
 
 
-def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, rate: float = 0.1, target_recall: float = 0.9999, bucket: int = 512, max_depth: int = 4) -> DataFrame:
+def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, rate: float = 0.1, target_recall: float = 0.999, bucket: int = 96, deep_bucket: int = 4096, max_depth: int = 4) -> DataFrame:
     """(a, b, shared, size_a, size_b): the linked pairs of distinct shingle sets of ``text``, by signature."""
     spark = df.sparkSession
     texts = df.select(F.col(text).cast("string").alias("text")).filter("text is not null")
@@ -327,7 +359,8 @@ def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, r
 
     rows = paths(1, bucket)
     for level in range(1, max_depth + 1):
-        scanned = cut(rows.repartition("path").sortWithinPartitions("path").mapInArrow(_compare(threshold, bucket), "a long, b long"))
+        limit = bucket if level == 1 else deep_bucket
+        scanned = cut(rows.repartition("path").sortWithinPartitions("path").mapInArrow(_compare(threshold, limit), "a long, b long"))
         found.append(scanned.filter("b is not null"))
         heavy = scanned.filter("b is null").select(F.col("a").alias("path"))
         many = heavy.count()
@@ -340,21 +373,21 @@ def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, r
             break
         if many <= BROADCAST_TOKENS and len(crowded) == level - 1:
             crowded.append(np.sort(np.array(heavy.toArrow().column(0).to_numpy(), np.int64).view(np.uint64)))
-        rows = paths(level + 1, bucket)
+        rows = paths(level + 1, deep_bucket)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return verified(pairs.distinct(), set_arrays(df, text, k), threshold)
+    return verified(pairs.distinct(), df, text, k, threshold)
 
 
 def _joined_sets(texts: DataFrame, k: int, frequent: DataFrame, threshold: float) -> DataFrame:
-    """(sig, pack, size, frequent tokens) where those tokens are too many to send to every executor."""
+    """(sig, size, frequent tokens) where those tokens are too many to send to every executor."""
     arrays = set_arrays(texts, "text", k).withColumn("size", F.size("tokens"))
-    tokens = arrays.select("sig", "size", F.explode("tokens").alias("path")).join(frequent, "path", "left_semi")
-    sets = tokens.groupBy("sig", "size").agg(F.collect_list("path").alias("tokens"))
+    tokens = arrays.select("sig", "size", F.explode("tokens").alias("token"))
+    tokens = tokens.withColumn("path", F.shiftrightunsigned("token", 24)).join(frequent, "path", "left_semi")
+    sets = tokens.groupBy("sig", "size").agg(F.collect_list("token").alias("tokens"))
     sets = sets.filter(F.size("tokens") >= F.ceil(F.col("size") * threshold - 1e-9))
-    # Without the token map (all bits alike) only the size filter applies; the exact check follows in any case.
-    return sets.select("sig", F.least(F.lit(65_534), "size").cast("long").alias("pack"), "size", "tokens")
+    return sets.select("sig", "size", "tokens")
 
 
 def near_duplicate_groups(df: DataFrame, record_id: str, text: str, k: int = 5, threshold: float = 0.8, **how) -> DataFrame:

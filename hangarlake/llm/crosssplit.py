@@ -4,7 +4,7 @@ An exact prefix-filter join of two sides. Tokens are runs of k words; all sets
 are ordered by how rare their tokens are, and two sets that reach the threshold
 share a token among the first ``n - ceil(threshold * n) + 1`` of each. Evaluation
 prefixes are the index, training prefixes probe it, with filters on size, on
-the position of the shared token and on a 48-bit map of the set; what remains
+the position of the shared token and on a 112-bit map of the set; what remains
 is checked exactly. The order comes from a table of token counts of fixed size
 (``2 ** order_bits`` counters): counters may be shared, which changes the order
 alike for all sets and so costs only speed.
@@ -30,7 +30,7 @@ def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 def _count(k: int, bits: int):
     def run(batches):
-        for _, _, _, _, tokens in cp._distinct_sets(batches, k):
+        for *_, tokens in cp._distinct_sets(batches, k):
             n = np.bincount(_slots(tokens, bits), minlength=1 << bits)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["slot", "n"])
@@ -40,7 +40,7 @@ def _count(k: int, bits: int):
 
 def _prefixes(k: int, threshold: float, bits: int, counts: np.ndarray):
     def run(batches):
-        for sig, pack, sizes, offsets, tokens in cp._distinct_sets(batches, k):
+        for sig, pack, more, sizes, offsets, tokens in cp._distinct_sets(batches, k):
             owner = np.repeat(np.arange(len(sig)), sizes)
             order = np.lexsort((tokens, counts[_slots(tokens, bits)], owner))
             place = np.arange(len(tokens)) - np.repeat(offsets[:-1], sizes)
@@ -50,15 +50,15 @@ def _prefixes(k: int, threshold: float, bits: int, counts: np.ndarray):
             for i in range(0, len(token), 1 << 16):
                 w = who[i : i + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tv.to_long(token[i : i + (1 << 16)])), pa.array(tv.to_long(sig[w])), pa.array(tv.to_long(pack[w])), pa.array(place[i : i + (1 << 16)].astype(np.int32))],
-                    ["token", "sig", "pack", "place"],
+                    [pa.array(tv.to_long(token[i : i + (1 << 16)])), pa.array(tv.to_long(sig[w])), pa.array(tv.to_long(pack[w])), pa.array(tv.to_long(more[w])), pa.array(place[i : i + (1 << 16)].astype(np.int32)), pa.array(sizes[w].astype(np.int32))],
+                    ["token", "sig", "pack", "more", "place", "size"],
                 )
 
     return run
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", F.col("sig").alias(name), F.col("pack").alias(f"pack_{name}"), F.col("place").alias(f"place_{name}"), (F.col("pack").bitwiseAND(F.lit(65_535))).cast("int").alias(f"n_{name}"))
+    return rows.select("token", F.col("sig").alias(name), F.col("pack").alias(f"pack_{name}"), F.col("more").alias(f"more_{name}"), F.col("place").alias(f"place_{name}"), F.col("size").alias(f"n_{name}"))
 
 
 def similar_across(train: DataFrame, held: DataFrame, text: str, k: int, threshold: float, order_bits: int = 16) -> DataFrame:
@@ -69,22 +69,20 @@ def similar_across(train: DataFrame, held: DataFrame, text: str, k: int, thresho
     total = train.unionByName(held).mapInArrow(_count(k, order_bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << order_bits, np.int64)
     counts[total.column(0).to_numpy()] = total.column(1).to_numpy()
-    schema = "token long, sig long, pack long, place int"
+    schema = "token long, sig long, pack long, more long, place int, size int"
     a = _side(train.mapInArrow(_prefixes(k, threshold, order_bits, counts), schema), "a")
     b = _side(held.mapInArrow(_prefixes(k, threshold, order_bits, counts), schema), "b")
     both = F.col("n_a") + F.col("n_b")
     least = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    apart = F.bit_count(F.shiftrightunsigned(F.col("pack_a").bitwiseXOR(F.col("pack_b")), 16))
-    long = (F.col("n_a") == 65_534) | (F.col("n_b") == 65_534)
+    apart = F.bit_count(F.shiftrightunsigned(F.col("pack_a").bitwiseXOR(F.col("pack_b")), 16)) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
     reach = (
         (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
         & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + F.least("place_a", "place_b") >= least)
         & (apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
     )
-    pairs = cut(a.join(b, "token").filter((F.col("a") == F.col("b")) | long | reach).select("a", "b").distinct())
+    pairs = cut(a.join(b, "token").filter((F.col("a") == F.col("b")) | reach).select("a", "b").distinct())
     equal = pairs.filter("a = b")
-    arrays = cp.set_arrays(train.unionByName(held), "text", k)
-    return equal.unionByName(cp.verified(pairs.filter("a <> b"), arrays, threshold).select("a", "b"))
+    return equal.unionByName(cp.verified(pairs.filter("a <> b"), train.unionByName(held), "text", k, threshold).select("a", "b"))
 
 
 def split_name(column: str):

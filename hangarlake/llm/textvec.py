@@ -101,13 +101,19 @@ def set_signatures(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def bitmaps(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """A 64-bit map of each set: the bits that differ between two maps number at most the elements that differ."""
-    bits = _U(1) << (mix(values + _U(77)) >> _U(58))
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def bitmaps(offsets: np.ndarray, values: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A map of each set as the upper 48 bits of one number and, if ``wide``, 64 of another.
+
+    The bits that differ between two maps number at most the elements that differ.
+    """
+    place = ((mix(values + _U(77)) >> _U(32)) * _U(112 if wide else 48)) >> _U(32)
+    upper = np.where(place < _U(48), _U(1) << (place % _U(48) + _U(16)), _U(0))
+    other = np.where(place >= _U(48), _U(1) << ((place - _U(48)) & _U(63)), _U(0))
+    out = np.zeros(len(offsets) - 1, np.uint64), np.zeros(len(offsets) - 1, np.uint64)
     full = np.diff(offsets) > 0
     if len(values):
-        out[full] = np.bitwise_xor.reduceat(bits, offsets[:-1][full])
+        for one, bits in zip(out, (upper, other), strict=True):
+            one[full] = np.bitwise_xor.reduceat(bits, offsets[:-1][full])
     return out
 
 
