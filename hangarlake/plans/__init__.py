@@ -6,7 +6,7 @@ from importlib import import_module
 
 from hangarlake.plans.registry import QUERIES, SQL
 
-MODULES = ("texts",)
+MODULES = ("texts", "insights", "graph")
 
 
 def _load() -> None:
