@@ -65,7 +65,7 @@ def kept_kmers(text: str, reach: int, window: int) -> tuple[np.ndarray, np.ndarr
     at, ends = at[ends < len(at)], at[ends[ends < len(at)]]
     if not len(at):
         return at, at, np.empty(0, np.uint64)
-    sums = np.concatenate([[0], np.cumsum(tv.mix(code + _U(1)) * tv.powers(len(code)))]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(code + _U(1)) * tv.powers(len(code)), dtype=np.uint64)])
     value = tv.mix((sums[ends] - sums[at]) * _inverse_powers(len(code))[at])
     if len(value) > window:
         views = np.lib.stride_tricks.sliding_window_view(value, window)
