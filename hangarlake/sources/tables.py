@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if kind in ("csv", "tsv"):
         reader = spark.read.option("header", True).option("encoding", "UTF-8").option("nullValue", "\u0000").option("emptyValue", "").option("multiLine", True).option("escape", '"').option("sep", "\t" if kind == "tsv" else ",")
         df = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
-        return trimmed_names(df)
+        return trimmed_names(df).na.fill("")
     if kind in ("json", "jsonl"):
         reader = spark.read.option("mode", "FAILFAST")
         return (reader.schema(schema) if schema is not None else reader).json(path)
