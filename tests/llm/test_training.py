@@ -270,8 +270,10 @@ def test_leaks_match_brute_force(spark):
     docs += [(500, None), (501, ""), (None, "x"), docs[0], (502, "v1 " * 20000)]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).repartition(3)
     q = spark.createDataFrame(items, "item_id long, text string")
-    grams = lambda t: {tuple(WORD.findall((t or "").lower())[i : i + 12]) for i in range(len(WORD.findall((t or "").lower())) - 11)}
-    true = {(i, j) for i, t in items if i is not None for j, s in docs if j is not None and grams(t) & grams(s)}
+    grams = lambda t: shingles(t, 12)
+    held = [(i, grams(t)) for i, t in items if i is not None]
+    read = [(j, grams(t)) for j, t in docs if j is not None]
+    true = {(i, j) for i, a in held for j, b in read if a & b}
     for block in (1_000_000, 200):
         found = seedleaks.leaked_passages(d, q, block_words=block)
         assert {tuple(r) for r in found.filter("longest_run >= 12").select("item_id", "doc_id").collect()} == true
@@ -308,11 +310,11 @@ def test_mix_reaches_its_shares(spark):
 
 
 def test_larger_documents_are_likelier(spark):
-    counts = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 100).otherwise(900).cast("long").alias("tokens"))
+    counts = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, 100).otherwise(900).cast("long").alias("tokens"))
     targets = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
-    taken = {r["tokens"]: r["count"] for r in sourcemix.mixed(counts, targets, total_tokens=400_000).groupBy("tokens").count().collect()}
+    taken = {r["tokens"]: r["count"] for r in sourcemix.mixed(counts, targets, total_tokens=2_000_000).groupBy("tokens").count().collect()}
     assert 2.6 < taken[900] / taken[100] < 3.4
-    assert abs(100 * taken[100] + 900 * taken[900] - 400_000) < 20_000
+    assert abs(100 * taken[100] + 900 * taken[900] - 2_000_000) < 100_000
 
 
 @pytest.mark.skipif(not os.path.exists(sourcemix.VOCABULARY), reason="no vocabulary here")
