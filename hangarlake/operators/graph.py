@@ -41,7 +41,7 @@ def mentions(records: DataFrame) -> DataFrame:
 
 
 def resolved_relations(records: DataFrame) -> DataFrame:
-    """Each relation with the labels and types of its ends, and ``problem``: null, endpoint_missing or signature.
+    """Each relation with its head's id, the labels and types of its ends, and ``problem``: null, endpoint_missing or signature.
 
     The ends are found in the record's own array, so nothing is exchanged.
     """
@@ -49,7 +49,7 @@ def resolved_relations(records: DataFrame) -> DataFrame:
     rows = records.select("record_id", "entities", F.explode("relations").alias("r")).withColumn("a", end("source_entity_id")).withColumn("b", end("target_entity_id"))
     problem = F.when(F.col("a").isNull() | F.col("b").isNull(), "endpoint_missing").when(~signature(F.col("r.relation_type"), F.col("a.entity_type"), F.col("b.entity_type")), "signature")
     return rows.select(
-        "record_id", F.col("r.relation_type").alias("relation"), label_key(F.col("a.text")).alias("source"), F.col("a.entity_type").alias("source_type"),
+        "record_id", F.col("r.source_entity_id").alias("head"), F.col("r.relation_type").alias("relation"), label_key(F.col("a.text")).alias("source"), F.col("a.entity_type").alias("source_type"),
         label_key(F.col("b.text")).alias("target"), F.col("b.entity_type").alias("target_type"), problem.alias("problem"),
     )
 
@@ -72,6 +72,28 @@ def edges(records: DataFrame) -> DataFrame:
     return edge_evidence(records).groupBy(*EDGE).agg(F.count("*").alias("record_count"))
 
 
+#: Relations of an action to an issue, with the kind that views name them by.
+ISSUE_KINDS = {"ACTION_ADDRESSES_ISSUE": "addresses", "ACTION_INVESTIGATES_ISSUE": "investigates"}
+
+
+def issue_kind() -> Column:
+    return F.coalesce(*[F.when(F.col("relation") == r, k) for r, k in ISSUE_KINDS.items()])
+
+
+def view(records: DataFrame, least: int, *relations: str) -> DataFrame:
+    """Every edge of these relations that ``least`` records or more support."""
+    return edges(records).filter(F.col("relation").isin(*relations) & (F.col("record_count") >= least))
+
+
+def solutions(records: DataFrame, least: int) -> DataFrame:
+    """(issue, action, item, kind, record_count): an action on an issue with each item of the same mention of the action; '' where it has none."""
+    valid = resolved_relations(records).filter("problem is null")
+    on = valid.filter(F.col("relation").isin("ACTION_ON_ITEM", "ACTION_USES_ITEM")).select("record_id", "head", F.col("target").alias("item")).distinct()
+    issues = valid.filter(F.col("relation").isin(*ISSUE_KINDS)).select("record_id", "head", F.col("target").alias("issue"), F.col("source").alias("action"), issue_kind().alias("kind"))
+    once = issues.join(on, ["record_id", "head"], "left").select("record_id", "issue", "action", F.coalesce("item", F.lit("")).alias("item"), "kind").distinct()
+    return once.groupBy("issue", "action", "item", "kind").agg(F.count("*").alias("record_count")).filter(F.col("record_count") >= least)
+
+
 def spans_of_bio(df: DataFrame, key: list[str], bio: str = "bio") -> DataFrame:
     """(key, type, begin, end) of a tag sequence: a span begins at B-, or at an I- that doesn't go on with the tag before.
 

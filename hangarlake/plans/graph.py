@@ -57,11 +57,62 @@ def kg_quarantine(t):
 
 @query(f"WITH {RELATIONS}, e AS (SELECT {_EDGE}, count(DISTINCT record_id) AS n FROM rel WHERE problem IS NULL GROUP BY ALL) SELECT target AS item, source AS issue, source_type AS issue_type, n AS record_count FROM e WHERE relation = 'ISSUE_ON_ITEM' AND n >= 2 ORDER BY n DESC, item, issue, issue_type LIMIT 200")
 def kg_view_item_faults(t):
-    """AG14, ST1."""
+    """ST1: the first 200 rows of kg_view_all_item_faults, as the SQL has it."""
     rows = g.edges(annotated(t)).filter("relation = 'ISSUE_ON_ITEM' and record_count >= 2").select(F.col("target").alias("item"), F.col("source").alias("issue"), F.col("source_type").alias("issue_type"), "record_count")
     return rows.orderBy(F.desc("record_count"), "item", "issue", "issue_type").limit(200)
 
 
+#: Records that support an edge of a planning view at least.
+MIN_WEIGHT = 2
+
+
+def _view_sql(columns: str, *relations: str) -> str:
+    names = ", ".join(f"'{x}'" for x in relations)
+    return f"WITH {RELATIONS}, e AS (SELECT {_EDGE}, count(DISTINCT record_id) AS n FROM rel WHERE problem IS NULL GROUP BY ALL) SELECT {columns}, n AS record_count FROM e WHERE relation IN ({names}) AND n >= {MIN_WEIGHT}"
+
+
+def _view(t, columns: dict, *relations: str):
+    return g.view(annotated(t), MIN_WEIGHT, *relations).select(*[F.col(c).alias(name) for name, c in columns.items()], "record_count")
+
+
+@query(_view_sql("target AS item, source AS issue, source_type AS issue_type", "ISSUE_ON_ITEM"))
+def kg_view_all_item_faults(t):
+    """AG14: the first of six planning views, without a limit."""
+    return _view(t, {"item": "target", "issue": "source", "issue_type": "source_type"}, "ISSUE_ON_ITEM")
+
+
+@query(_view_sql("target AS issue, source AS action, CASE relation WHEN 'ACTION_ADDRESSES_ISSUE' THEN 'addresses' ELSE 'investigates' END AS kind", *g.ISSUE_KINDS))
+def kg_view_fault_actions(t):
+    """AG14."""
+    return g.view(annotated(t), MIN_WEIGHT, *g.ISSUE_KINDS).select(F.col("target").alias("issue"), F.col("source").alias("action"), g.issue_kind().alias("kind"), "record_count")
+
+
+@query(f"""WITH {RELATIONS}, v AS (SELECT raw.record_id, r.source_entity_id AS head, r.relation_type AS relation, a.label AS source, b.label AS target FROM raw JOIN ent a ON a.record_id = raw.record_id AND a.entity_id = r.source_entity_id JOIN ent b ON b.record_id = raw.record_id AND b.entity_id = r.target_entity_id WHERE r.relation_type || '|' || a.type || '|' || b.type IN ({_ALLOWED})),
+i AS (SELECT record_id, head, target AS item FROM v WHERE relation IN ('ACTION_ON_ITEM', 'ACTION_USES_ITEM')), s AS (SELECT record_id, head, target AS issue, source AS action, CASE relation WHEN 'ACTION_ADDRESSES_ISSUE' THEN 'addresses' ELSE 'investigates' END AS kind FROM v WHERE relation IN ('ACTION_ADDRESSES_ISSUE', 'ACTION_INVESTIGATES_ISSUE'))
+SELECT issue, action, coalesce(item, '') AS item, kind, count(DISTINCT record_id) AS record_count FROM s LEFT JOIN i USING (record_id, head) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT record_id) >= {MIN_WEIGHT}""")
+def kg_view_fault_solutions(t):
+    """AG14."""
+    return g.solutions(annotated(t), MIN_WEIGHT)
+
+
+@query(_view_sql("source AS whole, target AS part", "HAS_PART"))
+def kg_view_item_parts(t):
+    """AG14."""
+    return _view(t, {"whole": "source", "part": "target"}, "HAS_PART")
+
+
+@query(_view_sql("source AS issue, target AS context", "OCCURS_UNDER_CONTEXT"))
+def kg_view_fault_contexts(t):
+    """AG14."""
+    return _view(t, {"issue": "source", "context": "target"}, "OCCURS_UNDER_CONTEXT")
+
+
+@query(_view_sql("source AS action, target AS reference", "ACTION_FOLLOWS_REFERENCE"))
+def kg_view_action_references(t):
+    """AG14."""
+    return _view(t, {"action": "source", "reference": "target"}, "ACTION_FOLLOWS_REFERENCE")
+
+
 @query(f"""WITH {RELATIONS}, a AS (SELECT relation, count(*) AS relations, count(DISTINCT record_id) AS records FROM rel WHERE problem IS NULL GROUP BY 1), e AS (SELECT relation, count(DISTINCT (source, source_type, target, target_type)) AS edges FROM rel WHERE problem IS NULL GROUP BY 1) SELECT relation, relations, records, edges FROM a JOIN e USING (relation)""")
 def kg_summary(t):
     """KG5."""
