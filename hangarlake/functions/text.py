@@ -124,3 +124,14 @@ def ngrams(words, n: int) -> Column:
     last = F.size(words) - (n - 1)
     runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))
     return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+
+
+def char_grams(x, least: int = 3, most: int = 5) -> Column:
+    """Runs of 3 to 5 characters within each word and the blanks around it, with repeats (scikit-learn's char_wb)."""
+    def runs(word):
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        size = F.length(padded)
+        of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(*[of(n) for n in range(least, most + 1)])
+
+    return F.flatten(F.transform(F.filter(F.split(F.lower(_c(x)), r"\s+"), lambda w: w != ""), runs))

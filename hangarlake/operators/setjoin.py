@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from hangarlake.session import cut
 
 
+def _sets(df: DataFrame, key: str, elements: str) -> DataFrame:
+    return df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(elements)).alias("s")).filter(F.size("s") > 0)
+
+
+def set_members(df: DataFrame, key: str, elements: str) -> DataFrame:
+    """(key, representative) of every row that has elements: the name of its set in ``similar_sets``."""
+    sets = _sets(df, key, elements).distinct()
+    return sets.join(sets.groupBy("s").agg(F.min("k").alias("representative")), "s").select(F.col("k").alias(key), "representative")
+
+
 def similar_sets(df: DataFrame, key: str, elements: str, threshold: float) -> DataFrame:
     """(a, b, likeness) of representatives whose sets have a Jaccard likeness of ``threshold`` or more.
 
@@ -16,7 +26,7 @@ def similar_sets(df: DataFrame, key: str, elements: str, threshold: float) -> Da
     n - ceil(threshold * n) + 1 of each. Then sizes, and at last the sets
     themselves are compared.
     """
-    sets = df.select(F.col(key).alias("k"), F.sort_array(F.array_distinct(elements)).alias("s")).filter(F.size("s") > 0).groupBy("s").agg(F.min("k").alias("k"))
+    sets = _sets(df, key, elements).groupBy("s").agg(F.min("k").alias("k"))
     sets = cut(sets.withColumn("n", F.size("s")))
     one = sets.select("k", "n", F.explode("s").alias("e"))
     counts = one.groupBy("e").agg(F.count("*").alias("df"))

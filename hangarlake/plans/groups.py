@@ -90,7 +90,7 @@ star AS (SELECT DISTINCT m.cluster_id AS a, hub.low AS b FROM maintenance_record
 reach AS (SELECT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), root AS (SELECT a AS cluster_id, min(b) AS root FROM reach GROUP BY a)
 SELECT DISTINCT m.cluster_id, coalesce(root, m.cluster_id) AS component FROM maintenance_record m LEFT JOIN root USING (cluster_id) WHERE m.cluster_id IS NOT NULL""")
 def merge_clusters(t):
-    """CL2, CL3, CL4."""
+    """CL2, CL4."""
     return o.merged_clusters(t.maintenance_record, "cluster_id", "record_id")
 
 

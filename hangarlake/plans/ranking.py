@@ -12,7 +12,8 @@ from hangarlake.functions import text as x
 from hangarlake.operators import evaluate as e
 from hangarlake.operators import groups as g
 from hangarlake.operators import retrieval as r
-from hangarlake.operators.setjoin import similar_sets
+from hangarlake.operators.radius import text_clusters, text_pairs
+from hangarlake.operators.setjoin import set_members, similar_sets
 from hangarlake.plans.insights import CASES, cases
 from hangarlake.plans.registry import query
 
@@ -265,10 +266,55 @@ _GRAMS = "(SELECT list_sort(list_distinct([substr(p, i, 3) FOR i IN range(1, len
 v AS (SELECT k, unnest(s) AS e, len(s) AS n FROM s), p AS (SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM v a JOIN v b ON a.e = b.e AND a.k < b.k GROUP BY 1, 2)
 SELECT a, b, round(c / (na + nb - c), 6) AS likeness FROM p WHERE c / (na + nb - c) >= 0.8 - 1e-9""")
 def similarity_radius_join(t):
-    """JN11, CL3: problems alike by their runs of three letters."""
+    """Problems alike by their sets of runs of three letters, one row for each pair of sets; similarity_radius_members has their rows."""
+    return similar_sets(_gram_sets(t), "ident", "g", 0.8)
+
+
+def _gram_sets(t):
     p = x.fingerprint("problem")
     grams = F.when(F.length(p) >= 3, F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return similar_sets(t.work_order.filter("problem is not null and ident is not null").select("ident", grams.alias("g")), "ident", "g", 0.8)
+    return t.work_order.filter("problem is not null and ident is not null").select("ident", grams.alias("g"))
+
+
+@query("""WITH k AS (SELECT ident, trim(regexp_replace(lower(problem), '[^a-z0-9]+', ' ', 'g')) AS p FROM work_order WHERE problem IS NOT NULL AND ident IS NOT NULL), s AS (SELECT DISTINCT ident, list_sort(list_distinct([substr(p, i, 3) FOR i IN range(1, length(p) - 1)])) AS s FROM k WHERE length(p) >= 3)
+SELECT ident, min(ident) OVER (PARTITION BY s) AS representative FROM s""")
+def similarity_radius_members(t):
+    """The representative, in similarity_radius_join, of every work order's set of runs."""
+    return set_members(_gram_sets(t), "ident", "g")
+
+
+def char_weights_sql(texts: str) -> str:
+    """SQL of cw(id, gram, w), of ``texts``(id, m, text); like operators.radius.char_weights."""
+    return f"""cg AS (SELECT id, m, unnest([substr(w, i, n) FOR i IN range(1, length(w) - n + 2)]) AS gram FROM (SELECT id, m, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda v: v <> '')) || ' ' AS w FROM {texts}), (SELECT unnest([3, 4, 5]) AS n)),
+ctf AS (SELECT id, m, gram, count(*) AS tf FROM cg GROUP BY 1, 2, 3), cdf AS (SELECT gram, ln((1 + (SELECT sum(m) FROM {texts})) / (1 + sum(m))) + 1 AS idf FROM ctf GROUP BY 1), cr AS (SELECT id, gram, tf * idf AS w FROM ctf JOIN cdf USING (gram)),
+cw AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM cr)"""
+
+
+_TEXTS = "fp AS (SELECT ident, trim(regexp_replace(lower(problem), '[^a-z0-9]+', ' ', 'g')) AS text FROM work_order WHERE problem IS NOT NULL AND ident IS NOT NULL), texts AS (SELECT text AS id, text, count(*) AS m FROM fp GROUP BY 1)"
+RADIUS = f"{_TEXTS}, {char_weights_sql('texts')}, near AS (SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS likeness FROM cw a JOIN cw b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {{radius}} - 1e-9)"
+
+
+def _fingerprints(t):
+    return t.work_order.filter("problem is not null and ident is not null").select("ident", x.fingerprint("problem").alias("text"))
+
+
+@query(f"WITH {RADIUS.format(radius=0.9)} SELECT a, b, likeness FROM near")
+def cosine_radius_join(t):
+    """JN11: fingerprints with a cosine of 0.90 or more over tf-idf weights of 3- to 5-runs within words."""
+    return text_pairs(_fingerprints(t), "text", 0.9)
+
+
+@query(f"WITH {RADIUS.format(radius=0.87)} SELECT a, b, likeness FROM near")
+def cosine_radius_protocol(t):
+    """JN11: the same at 0.87, the radius of the protocol."""
+    return text_pairs(_fingerprints(t), "text", 0.87)
+
+
+@query(f"""WITH RECURSIVE {RADIUS.format(radius=0.9)}, edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach AS (SELECT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), root AS (SELECT a AS text, min(b) AS root FROM reach GROUP BY a)
+SELECT DISTINCT ident, text, 'normgrp-' || substr(sha256(coalesce(root, text)), 1, 12) AS label FROM fp LEFT JOIN root USING (text)""")
+def normalized_clusters(t):
+    """CL3: every work order's cluster by equal fingerprints and the edges of cosine_radius_join; named by its smallest fingerprint."""
+    return text_clusters(_fingerprints(t), "ident", "text", 0.9)
 
 
 @query(f"""WITH {CASES}, f AS (SELECT record_id, unnest(list_distinct(faults)) AS fault FROM cases), c AS (SELECT fault, count(*) AS n FROM f GROUP BY 1) SELECT record_id, c.fault AS anchor, c.n AS support FROM f JOIN c USING (fault) WHERE c.n >= 20""")

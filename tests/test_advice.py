@@ -1,8 +1,15 @@
 """What round 1's advice found missing."""
 
+import hashlib
+import math
+import random
+from collections import Counter
+
 import pytest
 
 from hangarlake import plans
+from hangarlake.operators.radius import text_clusters, text_pairs
+from hangarlake.operators.setjoin import set_members
 from tests.oracle import connection, expected, rows_of
 
 QUERIES, SQL = plans.queries(), plans.oracle_sql()
@@ -47,3 +54,38 @@ def test_item_faults_has_no_row_limit(spark, graph_folder):
     df = QUERIES["kg_view_all_item_faults"](spark, graph_folder)
     assert df.count() == 210
     assert rows_of(df) == expected(connection(graph_folder), SQL["kg_view_all_item_faults"])
+
+
+def cosines(texts):
+    """Brute force: cosine of each two distinct texts by tf-idf over their 3- to 5-runs within words."""
+    def runs(t):
+        return Counter(w[i : i + n] for w in (f" {v} " for v in t.split()) for n in (3, 4, 5) for i in range(len(w) - n + 1))
+
+    df = Counter(g for t in texts for g in runs(t))
+    vectors = {t: {g: k * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, k in runs(t).items()} for t in set(texts)}
+    length = {t: math.sqrt(sum(w * w for w in v.values())) for t, v in vectors.items()}
+    return {(a, b): sum(w * vectors[b].get(g, 0) for g, w in vectors[a].items()) / length[a] / length[b] for a in vectors for b in vectors if a < b and length[a] and length[b]}
+
+
+def test_cosine_radius_against_brute_force(spark):
+    rng = random.Random(5)
+    words = ["left", "magneto", "found", "cracked", "cylinder", "intake", "gasket", "leaking", "at", "rivet", "x", "baffle"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(4, 14))) for _ in range(60)]
+    texts += [t + rng.choice([" s", " found", ""]) for t in texts] + [texts[0]] * 5 + [""]
+    got = {(r["a"], r["b"]): r["likeness"] for r in text_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 0.9).collect()}
+    want = {p: round(c, 6) for p, c in cosines(texts).items() if c >= 0.9 - 1e-9}
+    assert len(want) > 20 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_clusters_of_equal_and_near_texts(spark):
+    near, far = "oil pump drive gasket leaking at rear case flange and firewall", "rivet loose"
+    rows = [("1", near), ("2", near), ("3", near + " s"), ("4", far), ("5", far), ("6", "")]
+    got = {r["ident"]: r["label"] for r in text_clusters(spark.createDataFrame(rows, "ident string, text string"), "ident", "text", 0.9).collect()}
+    label = lambda t: "normgrp-" + hashlib.sha256(t.encode()).hexdigest()[:12]
+    assert got == {"1": label(near), "2": label(near), "3": label(near), "4": label(far), "5": label(far), "6": label("")}
+
+
+def test_every_row_of_a_set_has_its_representative(spark):
+    rows = [("1", ["a", "b"]), ("2", ["b", "a", "a"]), ("3", ["c"]), ("4", [])]
+    got = {r["ident"]: r["representative"] for r in set_members(spark.createDataFrame(rows, "ident string, g array<string>"), "ident", "g").collect()}
+    assert got == {"1": "1", "2": "1", "3": "3"}
