@@ -86,3 +86,4 @@ TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "nin
 # Weights of the structural channel (components, faults, entity types, relation types) and of the mixed score.
 STRUCTURE_WEIGHTS = (0.40, 0.30, 0.15, 0.15)
 MIX_WEIGHTS = {"bm25": 0.34, "word": 0.24, "char": 0.14, "struct": 0.28}
+TEXT_WEIGHTS = {"bm25": 0.5, "word": 0.3, "char": 0.2}

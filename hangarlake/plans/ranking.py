@@ -29,6 +29,13 @@ def _queries(docs):
     return docs.filter(_IS_QUERY.format(c="doc_id")).withColumnRenamed("doc_id", "query_id")
 
 
+def char_weights_sql(texts: str) -> str:
+    """SQL of cw(id, gram, w), of ``texts``(id, m, text); like operators.radius.char_weights."""
+    return f"""cg AS (SELECT id, m, unnest([substr(w, i, n) FOR i IN range(1, length(w) - n + 2)]) AS gram FROM (SELECT id, m, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda v: v <> '')) || ' ' AS w FROM {texts}), (SELECT unnest([3, 4, 5]) AS n)),
+ctf AS (SELECT id, m, gram, count(*) AS tf FROM cg GROUP BY 1, 2, 3), cdf AS (SELECT gram, ln((1 + (SELECT sum(m) FROM {texts})) / (1 + sum(m))) + 1 AS idf FROM ctf GROUP BY 1), cr AS (SELECT id, gram, tf * idf AS w FROM ctf JOIN cdf USING (gram)),
+cw AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM cr)"""
+
+
 DOCS = "docs AS (SELECT ident AS doc_id, min(problem) AS problem, regexp_extract_all(lower(coalesce(min(problem), '')), '[a-z0-9#]+') AS words FROM work_order WHERE ident IS NOT NULL GROUP BY 1), q AS (SELECT doc_id AS query_id, words FROM docs WHERE CAST(substr(doc_id, 3) AS BIGINT) % 100 = 0)"
 BM25 = f"""{DOCS}, post AS (SELECT doc_id, w AS term, size, count(*) AS tf FROM (SELECT doc_id, unnest(words) AS w, len(words) AS size FROM docs) GROUP BY 1, 2, 3),
 st AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM docs), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1), qt AS (SELECT DISTINCT query_id, unnest(words) AS term FROM q),
@@ -81,7 +88,7 @@ def struct_overlap(t):
 
 @query(f"""WITH {TFIDF}, a AS ({_RANKED.format(src='bm', k=50)}), b AS ({_RANKED.format(src='tf', k=50)}), f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) {_RANKED.format(src='f', k=5)}""")
 def rrf_fusion(t):
-    """SM10, WN4."""
+    """The best 50 of two channels, fused, as the SQL has it; rrf_hybrid is the whole fusion."""
     return r.top_k(r.fused_ranks([r.top_k(bm25(t), 50), r.top_k(tfidf(t), 50)]), 5)
 
 
@@ -92,6 +99,34 @@ def weighted_hybrid(t):
     return r.top_k(r.mixed({"bm25": r.unit_scaled(bm25(t)), "word": tfidf(t)}, fixed.MIX_WEIGHTS), 5)
 
 
+_NORM = r"trim(regexp_replace(regexp_replace(lower(coalesce(problem, '')), '[^A-Za-z0-9_\s#]', ' ', 'g'), '\s+', ' ', 'g'))"
+_MANY = r"""nd0 AS (SELECT doc_id, {norm} AS text, regexp_extract_all({norm}, '[a-z0-9_][a-z0-9_]+') AS u FROM docs),
+wp AS (SELECT doc_id AS id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(u, [u[i] || ' ' || u[i + 1] FOR i IN range(1, len(u))])) AS w FROM nd0) GROUP BY 1, 2), wi AS (SELECT term, ln((1 + (SELECT n FROM st)) / (1 + count(*))) + 1 AS idf FROM wp GROUP BY 1),
+wr AS (SELECT id, term, tf * idf AS w FROM wp JOIN wi USING (term)), ww AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM wr), ctext AS (SELECT doc_id AS id, 1 AS m, text FROM nd0)""".replace("{norm}", _NORM)
+CHANNELS = f"""{BM25}, {_MANY}, {char_weights_sql('ctext')}, {STRUCT},
+wc AS (SELECT query_id, b.id AS doc_id, sum(a.w * b.w) AS score FROM q JOIN ww a ON a.id = query_id JOIN ww b USING (term) GROUP BY 1, 2), cc AS (SELECT query_id, b.id AS doc_id, sum(a.w * b.w) AS score FROM q JOIN cw a ON a.id = query_id JOIN cw b USING (gram) GROUP BY 1, 2),
+ch AS (SELECT q.query_id, docs.doc_id, coalesce(bm.score, 0) AS bm25, coalesce(wc.score, 0) AS word, coalesce(cc.score, 0) AS char, coalesce(stru.score, 0) AS struct FROM q CROSS JOIN docs
+  LEFT JOIN bm ON bm.query_id = q.query_id AND bm.doc_id = docs.doc_id LEFT JOIN wc ON wc.query_id = q.query_id AND wc.doc_id = docs.doc_id LEFT JOIN cc ON cc.query_id = q.query_id AND cc.doc_id = docs.doc_id LEFT JOIN stru ON stru.query_id = q.query_id AND stru.doc_id = docs.doc_id)"""
+
+
+def channels(t):
+    """(query_id, doc_id, bm25, word, char, struct) of every query and every document; 0 where they share nothing."""
+    docs = documents(t)
+    norm = docs.select("doc_id", x.normalized_problem("problem").alias("text"))
+    two = x.tokens("text", "[a-z0-9_][a-z0-9_]+")
+    terms = lambda c: norm.select("doc_id", c.alias("words"))
+    word, char = terms(F.concat(two, x.ngrams(two, 2))), terms(x.char_grams("text"))
+    scores = {"bm25": r.bm25(_queries(docs), docs.select("doc_id", "words")), "word": r.tfidf(_queries(word), word), "char": r.tfidf(_queries(char), char), "struct": struct_scores(t)}
+    return r.all_channels(_queries(docs).select("query_id"), docs.select("doc_id"), scores)
+
+
+@query(f"""WITH {CHANNELS}, f AS (SELECT query_id, doc_id, {' + '.join(f'1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY round({c}, 9) DESC, doc_id))' for c in ('bm25', 'word', 'char', 'struct'))} AS score FROM ch)
+SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, round(score, 12) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f) WHERE rank <= 5""")
+def rrf_hybrid(t):
+    """SM10, WN4: the full ranks of four channels, fused."""
+    return r.top_k(r.fused_full_ranks(channels(t), list(fixed.MIX_WEIGHTS)), 5, 12)
+
+
 HITS = f"""{BM25}, {CASES}, joined AS (SELECT query_id, b.doc_id, round(score, 6) AS score, coalesce(c.cluster_id, b.doc_id) AS cluster, c.action_family AS family, coalesce(qc.cluster_id, query_id) AS own, qc.action_family AS true_family
   FROM bm b JOIN cases c ON c.record_id = b.doc_id JOIN cases qc ON qc.record_id = query_id WHERE b.doc_id <> query_id AND coalesce(c.cluster_id, b.doc_id) <> coalesce(qc.cluster_id, query_id)),
 hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cluster ORDER BY score DESC, doc_id) AS rn FROM joined) WHERE rn = 1) WHERE rank <= 10)"""
@@ -283,13 +318,6 @@ def similarity_radius_members(t):
     return set_members(_gram_sets(t), "ident", "g")
 
 
-def char_weights_sql(texts: str) -> str:
-    """SQL of cw(id, gram, w), of ``texts``(id, m, text); like operators.radius.char_weights."""
-    return f"""cg AS (SELECT id, m, unnest([substr(w, i, n) FOR i IN range(1, length(w) - n + 2)]) AS gram FROM (SELECT id, m, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda v: v <> '')) || ' ' AS w FROM {texts}), (SELECT unnest([3, 4, 5]) AS n)),
-ctf AS (SELECT id, m, gram, count(*) AS tf FROM cg GROUP BY 1, 2, 3), cdf AS (SELECT gram, ln((1 + (SELECT sum(m) FROM {texts})) / (1 + sum(m))) + 1 AS idf FROM ctf GROUP BY 1), cr AS (SELECT id, gram, tf * idf AS w FROM ctf JOIN cdf USING (gram)),
-cw AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM cr)"""
-
-
 _TEXTS = "fp AS (SELECT ident, trim(regexp_replace(lower(problem), '[^a-z0-9]+', ' ', 'g')) AS text FROM work_order WHERE problem IS NOT NULL AND ident IS NOT NULL), texts AS (SELECT text AS id, text, count(*) AS m FROM fp GROUP BY 1)"
 RADIUS = f"{_TEXTS}, {char_weights_sql('texts')}, near AS (SELECT a.id AS a, b.id AS b, round(sum(a.w * b.w), 6) AS likeness FROM cw a JOIN cw b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {{radius}} - 1e-9)"
 

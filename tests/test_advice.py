@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from hangarlake import plans
+from hangarlake.operators import retrieval
 from hangarlake.operators.radius import text_clusters, text_pairs
 from hangarlake.operators.setjoin import set_members
 from tests.oracle import connection, expected, rows_of
@@ -89,3 +90,21 @@ def test_every_row_of_a_set_has_its_representative(spark):
     rows = [("1", ["a", "b"]), ("2", ["b", "a", "a"]), ("3", ["c"]), ("4", [])]
     got = {r["ident"]: r["representative"] for r in set_members(spark.createDataFrame(rows, "ident string, g array<string>"), "ident", "g").collect()}
     assert got == {"1": "1", "2": "1", "3": "3"}
+
+
+def channel_rows(spark):
+    queries = spark.createDataFrame([("q",)], "query_id string")
+    docs = spark.createDataFrame([(f"d{i:03}",) for i in range(100)], "doc_id string")
+    first = [("q", f"d{i:03}", 100.0 - i) for i in range(100)]
+    second = [("q", f"d{(i * 37 + 20) % 100:03}", 100.0 - i) for i in range(80)] + [("q", "elsewhere", 500.0)]
+    one = lambda rows: spark.createDataFrame(rows, "query_id string, doc_id string, score double")
+    return retrieval.all_channels(queries, docs, {"bm25": one(first), "word": one(second)}), {d: s for _, d, s in first}, {d: s for _, d, s in second if d != "elsewhere"}
+
+
+def test_fusion_ranks_every_document_in_every_channel(spark):
+    rows, first, second = channel_rows(spark)
+    place = lambda scores: {d: i for i, d in enumerate(sorted(first, key=lambda d: (-scores.get(d, 0), d)), 1)}
+    a, b = place(first), place(second)
+    got = {r["doc_id"]: r["score"] for r in retrieval.fused_full_ranks(rows, ["bm25", "word"]).collect()}
+    assert got == pytest.approx({d: 1 / (60 + a[d]) + 1 / (60 + b[d]) for d in first}, abs=1e-12)
+    assert any(a[d] <= 5 and b[d] > 50 for d in first)
