@@ -65,7 +65,7 @@ def tfidf(t):
 
 @query(f"WITH {TFIDF} {_RANKED.format(src='tf', k=5)}")
 def tfidf_topk(t):
-    """SM8."""
+    """Single words only, as the SQL has it; norm_tfidf_topk is SM8."""
     return r.top_k(tfidf(t), 5)
 
 
@@ -95,7 +95,7 @@ def rrf_fusion(t):
 @query(f"""WITH {TFIDF}, u AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-12 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS score FROM bm WINDOW w AS (PARTITION BY query_id)),
 h AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, doc_id, score * {fixed.MIX_WEIGHTS['bm25']} AS s FROM u UNION ALL SELECT query_id, doc_id, score * {fixed.MIX_WEIGHTS['word']} FROM tf) GROUP BY 1, 2) {_RANKED.format(src='h', k=5)}""")
 def weighted_hybrid(t):
-    """SM10, SM11, WN5."""
+    """Two of four channels with their weights, as the SQL has it; weighted_channels has all."""
     return r.top_k(r.mixed({"bm25": r.unit_scaled(bm25(t)), "word": tfidf(t)}, fixed.MIX_WEIGHTS), 5)
 
 
@@ -127,6 +127,25 @@ def rrf_hybrid(t):
     return r.top_k(r.fused_full_ranks(channels(t), list(fixed.MIX_WEIGHTS)), 5, 12)
 
 
+_UNIT = "CASE WHEN max(bm25) OVER w - min(bm25) OVER w > 1e-12 THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 0 END"
+_UNITS = f"{CHANNELS}, un AS (SELECT query_id, doc_id, {_UNIT} AS bm25, word, char, struct FROM ch WINDOW w AS (PARTITION BY query_id))"
+
+
+@query(f"""WITH {_UNITS}, m AS (SELECT query_id, doc_id, {' + '.join(f'{w} * {c}' for c, w in fixed.MIX_WEIGHTS.items())} AS score, round(0.5 * bm25 + 0.3 * word + 0.2 * char, 6) AS text_score FROM un)
+SELECT query_id, doc_id, score, text_score, rank FROM (SELECT query_id, doc_id, round(score, 6) AS score, text_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM m) WHERE rank <= 5""")
+def weighted_channels(t):
+    """SM10, SM11, WN5: four channels with their weights, and the text score beside them."""
+    rows = r.unit_channel(channels(t), "bm25")
+    weighted = lambda weights: sum(F.col(c) * w for c, w in weights.items())
+    return r.top_k(rows.select("query_id", "doc_id", weighted(fixed.MIX_WEIGHTS).alias("score"), F.round(weighted(fixed.TEXT_WEIGHTS), 6).alias("text_score")), 5)
+
+
+@query(f"WITH {CHANNELS}, m AS (SELECT query_id, doc_id, 0.65 * word + 0.35 * char AS score FROM ch) {_RANKED.format(src='m', k=5)}")
+def norm_tfidf_topk(t):
+    """SM8, SM10: words and pairs of words, and 3- to 5-runs of characters."""
+    return r.top_k(channels(t).select("query_id", "doc_id", (0.65 * F.col("word") + 0.35 * F.col("char")).alias("score")), 5)
+
+
 HITS = f"""{BM25}, {CASES}, joined AS (SELECT query_id, b.doc_id, round(score, 6) AS score, coalesce(c.cluster_id, b.doc_id) AS cluster, c.action_family AS family, coalesce(qc.cluster_id, query_id) AS own, qc.action_family AS true_family
   FROM bm b JOIN cases c ON c.record_id = b.doc_id JOIN cases qc ON qc.record_id = query_id WHERE b.doc_id <> query_id AND coalesce(c.cluster_id, b.doc_id) <> coalesce(qc.cluster_id, query_id)),
 hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cluster ORDER BY score DESC, doc_id) AS rn FROM joined) WHERE rn = 1) WHERE rank <= 10)"""

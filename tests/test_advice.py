@@ -108,3 +108,32 @@ def test_fusion_ranks_every_document_in_every_channel(spark):
     got = {r["doc_id"]: r["score"] for r in retrieval.fused_full_ranks(rows, ["bm25", "word"]).collect()}
     assert got == pytest.approx({d: 1 / (60 + a[d]) + 1 / (60 + b[d]) for d in first}, abs=1e-12)
     assert any(a[d] <= 5 and b[d] > 50 for d in first)
+
+
+def test_unit_scale_is_over_all_documents(spark):
+    queries, docs = spark.createDataFrame([("q",)], "query_id string"), spark.createDataFrame([("a",), ("b",), ("c",)], "doc_id string")
+    scores = spark.createDataFrame([("q", "a", 4.0), ("q", "b", 1.0)], "query_id string, doc_id string, score double")
+    rows = retrieval.unit_channel(retrieval.all_channels(queries, docs, {"bm25": scores}), "bm25")
+    assert {r["doc_id"]: r["bm25"] for r in rows.collect()} == {"a": 1.0, "b": 0.25, "c": 0.0}
+
+
+@pytest.fixture(scope="module")
+def case_folder(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("cases"))
+    texts = {"MR000000100": "oil pump leaking", "MR000000101": "pump oil leak", "MR000000102": "pumps", "MR000000103": "cracked rivet"}
+    spark.createDataFrame([(k, v, "") for k, v in texts.items()], "ident string, problem string, action string").write.parquet(f"{folder}/work_order.parquet")
+    return folder, texts
+
+
+def test_char_channel_counts_where_no_word_is_shared(spark, case_folder, monkeypatch):
+    from hangarlake.plans import ranking
+    from hangarlake.plans.registry import Tables
+
+    folder, texts = case_folder
+    none = spark.createDataFrame([], "query_id string, doc_id string, score double")
+    monkeypatch.setattr(ranking, "struct_scores", lambda t: none)
+    got = {r["doc_id"]: r for r in ranking.channels(Tables(spark, folder)).collect()}
+    want = cosines(list(texts.values()))
+    query = texts["MR000000100"]
+    assert sorted(got) == sorted(texts) and got["MR000000102"]["word"] == 0
+    assert got["MR000000102"]["char"] == pytest.approx(want[query, texts["MR000000102"]]) and got["MR000000102"]["char"] > 0
