@@ -7,7 +7,8 @@ buckets of sampled pairs of frequent tokens, then triples, and so on (these
 buckets, of which there are fewer, may hold ``deep_bucket`` sets). A set
 follows a level only while its frequent tokens alone can still reach the
 threshold. What is crowded after the last level is compared exactly, in
-blocks. Sampling is by hash of the path, so all sets decide alike.
+blocks, and so are, on every level, the short sets of a crowded path that may
+share no more tokens than it has. Sampling is by hash of the path, so all sets decide alike.
 
 As in the variant of the method for skewed frequencies, paths are sampled the
 more sparsely the more frequent they are: a rare token, whose bucket ends the
@@ -138,8 +139,13 @@ def _thinned(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, level: in
     return tokens[keep], owner[keep], need
 
 
-def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: float, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, path) of the sampled subsets of ``level`` tokens in each row, without those of which a part was a small bucket."""
+def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: float, known: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of the sampled subsets of ``level`` tokens in each row, without those of which a part was a small bucket.
+
+    Only a part that every set in reach of the row's took as well counts: the
+    larger of two similar sets needs up to 1 / threshold as many tokens, and
+    samples its parts the more sparsely.
+    """
     picks = np.array(list(combinations(range(tokens.shape[1]), level)))
 
     def path_of(columns):
@@ -151,7 +157,7 @@ def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: flo
     path = path_of(range(level))
     keep = _sampled(path, sampling_rate(math.comb(need, level), rate, recall), 0x51 + level)
     if known is not None:
-        p = sampling_rate(math.comb(need, level - 1), rate, recall)
+        p = sampling_rate(math.comb(int(need / threshold + 1e-9), level - 1), rate, recall)
         for left_out in range(level):
             part = path_of([j for j in range(level) if j != left_out])
             keep &= ~_sampled(part, p, 0x50 + level) | np.isin(part >> _PATH_SHIFT, known)
@@ -193,7 +199,7 @@ def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket
                 step = max(1, (1 << 20) // math.comb(int(shape[0]), level))
                 for i in range(0, len(alike), step):
                     some = alike[i : i + step]
-                    row, path = _subsets(tokens[first[some][:, None] + np.arange(shape[0])], level, int(shape[1]), rate, recall, known)
+                    row, path = _subsets(tokens[first[some][:, None] + np.arange(shape[0])], level, int(shape[1]), rate, recall, known, threshold)
                     paths.append(path)
                     whose.append(some[row])
             if paths:
@@ -371,6 +377,9 @@ def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, r
         if level == max_depth:
             found.append(_blocks(paths(level, _ALL), heavy, threshold))
             break
+        # Two different sets that share ``level`` tokens have no path on the next level; only short ones can reach the threshold so.
+        if level + 1 <= level / threshold + 1e-9:
+            found.append(_blocks(paths(level, _ALL).filter(F.col("pack").bitwiseAND(F.lit(255)) <= level / threshold + 1e-9), heavy, threshold))
         if many <= BROADCAST_TOKENS and len(crowded) == level - 1:
             crowded.append(np.sort(np.array(heavy.toArrow().column(0).to_numpy(), np.int64).view(np.uint64)))
         rows = paths(level + 1, deep_bucket)

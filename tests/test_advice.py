@@ -137,3 +137,14 @@ def test_char_channel_counts_where_no_word_is_shared(spark, case_folder, monkeyp
     query = texts["MR000000100"]
     assert sorted(got) == sorted(texts) and got["MR000000102"]["word"] == 0
     assert got["MR000000102"]["char"] == pytest.approx(want[query, texts["MR000000102"]]) and got["MR000000102"]["char"] > 0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6])
+def test_short_texts_in_crowded_buckets_are_linked(spark, threshold):
+    from hangarlake.llm.chosenpath import similar_sets
+
+    texts = ["a b c", "a b c d", "d e f g h"] + [f"a b c w{i}" for i in range(30)] + [f"a b c d v{i}" for i in range(30)] + [f"d e f g u{i}" for i in range(30)] + [f"d e f g h t{i}" for i in range(30)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    want = sorted((len(a & b), *sorted((len(a), len(b)))) for i, a in enumerate(sets) for b in sets[:i] if len(a & b) >= threshold * len(a | b) - 1e-9)
+    got = similar_sets(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 3, threshold, target_recall=0.999999, bucket=8, deep_bucket=8)
+    assert sorted((r["shared"], *sorted((r["size_a"], r["size_b"]))) for r in got.collect()) == want
