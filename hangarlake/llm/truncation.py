@@ -4,81 +4,48 @@ For every source and field the lengths are taken as a right-censored sample: a
 two-part normal mixture is fitted by maximum likelihood with the values at a
 candidate limit counted as "at least so long". Where that explains the lengths
 better than an uncensored fit, the limit holds, and a value at the limit is cut
-with the posterior S(L) / (S(L) + f(L)). Cuts at other lengths, as of broken
-transfers, have a rate of their own for each source.
-
-That prior is combined with the evidence of the ending: how often the last two
-words end a text, how often they go on, how often the last word is the
-beginning of a longer one in that place; and with the signs after the last
-word, whose likelihoods for cut and whole texts are fitted by expectation
-maximization. All counts are over all rows. A word is kept if it makes up a
-least share of all words, which bounds the vocabulary; any other word, such as
-a serial number, counts by its length only.
+with the posterior S(L) / (S(L) + f(L)). A value one short of a limit may have
+been cut at a blank. Cuts at other lengths, as of broken transfers, have a rate
+of their own for each source.
+
+The evidence of an ending is how often a cut anywhere in all texts would leave
+it, over how often whole texts have it. A cut within a word or at its end
+leaves a beginning of the word; a cut behind it leaves the whole word and the
+signs that follow it inside texts. Marks that a transfer puts behind a cut are
+learned from the values that the words give away. All counts are over all rows.
+
+A word seen fewer than ``COMMON`` times or with a digit, such as a serial number, counts by its length
+only, unless it is the last one and begins a common word.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hangarlake.session import cut
 
-_WORD = re.compile("[a-z0-9]+")
-_DIGIT = re.compile("[0-9]")
-#: A kept word's least share of all words, and so the inverse of the vocabulary's largest size.
-WORD_SHARE = 5e-6
-#: Sources at most; a row for each is sent to every executor.
-SOURCES = 100_000
-#: Distinct endings that are sent to every executor at most; beyond it they are joined.
-BROADCAST_ENDINGS = 500_000
+_PARTS = re.compile("([a-z0-9]+)")
+#: Occurrences from which a word counts as itself.
+COMMON = 5
+#: Rows of a lookup that are sent to every executor at most; beyond it the values are joined with it.
+BROADCAST_ROWS = 500_000
 #: Cuts at other lengths than a limit, before any evidence.
 CUT_RATE = 0.015
+#: Letters from which a word counts by its length only; lengths beyond the second figure count alike.
+_LONGEST, _LONGEST_SHAPE = 40, 12
 _HELD = 200_000
-_LONGEST = 40
-
-
-def shape(word: str, known) -> str:
-    return word if word in known else "#" * min(len(word), 12)
-
-
-def _counted(counts: Counter, schema: list[str], types: list):
-    columns = list(zip(*((*k, n) for k, n in counts.items()), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], schema)
-
-
-def _texts(batch):
-    """(source, field number, text) of a batch of (source, first field, second field, ...)."""
-    source = batch.column(0).to_pylist()
-    for i in range(1, batch.num_columns):
-        for s, t in zip(source, batch.column(i).to_pylist(), strict=True):
-            if t and not t.isspace():
-                yield s, i - 1, t
-
-
-def _first_pass(batches):
-    """Counts of words ("w"), which may be any, and of lengths ("n") by source and field."""
-    counts: Counter = Counter()
-    schema, types = ["kind", "name", "field", "size", "n"], [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
-    for batch in batches:
-        for source, field, text in _texts(batch):
-            counts["n", source, field, len(text)] += 1
-            for word in _WORD.findall(text.lower()):
-                if not _DIGIT.search(word) and len(word) <= _LONGEST:
-                    counts["w", word, -1, 0] += 1
-                else:
-                    counts["w", "", -1, 0] += 1
-        if len(counts) > _HELD:
-            yield _counted(counts, schema, types)
-            counts = Counter()
-    if counts:
-        yield _counted(counts, schema, types)
+#: How many times the usual number of cuts is allowed for in the counts of whole texts.
+_SLACK = 4
+#: Kinds of a value: elsewhere, one short of its limit, at its limit.
+_ELSEWHERE, _SHORT, _FULL = 0, 1, 2
 
 
 def _normal(x, mean, sd):
@@ -128,173 +95,232 @@ def fit_lengths(size: np.ndarray, n: np.ndarray, limit: int | None) -> tuple[flo
     return float((n * np.log(dense)).sum()), float(cut)
 
 
-def _limits(rows: pd.DataFrame, least_share: float = 0.003, least_gain: float = 10.0) -> pd.DataFrame:
-    """The field limit of one source and field, if it has one, with the posterior of a cut there."""
-    rows = rows.groupby("size", as_index=False)["n"].sum().sort_values("size")
+def _limit(rows: pd.DataFrame, least_share: float = 0.003, least_gain: float = 10.0) -> pd.DataFrame:
+    """The field limit of one source and field (-1 if it has none), with the posterior of a cut there.
+
+    A limit holds at least ``least_share`` of the values, and longer ones are
+    stray: fewer than a thousandth of those at it. So there are few candidates.
+    """
+    rows = rows.sort_values("size")
     size, n = rows["size"].to_numpy(), rows["n"].to_numpy()
-    total, plain = n.sum(), None
-    best = None
-    for i in sorted(range(len(size)), key=lambda i: -size[i])[:6]:
-        # Longer values than a limit are stray: fewer than a thousandth of those at it.
-        if n[i] < least_share * total or n[i + 1 :].sum() > 0.001 * n[i]:
-            continue
+    beyond = n.sum() - np.cumsum(n)
+    plain, best = None, None
+    for i in np.flatnonzero((n >= least_share * n.sum()) & (beyond <= 0.001 * n)):
         plain = fit_lengths(size, n, None)[0] if plain is None else plain
         gain, share = fit_lengths(size[: i + 1], n[: i + 1], int(size[i]))
         if gain - plain > least_gain and (best is None or gain > best[0]):
             best = (gain, int(size[i]), share)
-    return pd.DataFrame({"limit": [best[1] if best else -1], "cut": [best[2] if best else 0.0], "rows": [int(total)], "letters": [int((size * n).sum())]})
-
-
-def _second_pass(known: frozenset, limits: dict):
-    """Counts of (field, word before, word): how often they go on, end a text below its limit, end a text at its limit."""
-
-    def run(batches):
-        counts: dict = defaultdict(lambda: [0, 0, 0])
-
-        def out():
-            keys, values = zip(*counts.items(), strict=True)
-            f, a, b = zip(*keys, strict=True)
-            c, e, x = zip(*values, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(a), pa.array(b), *(pa.array(n, pa.int64()) for n in (c, e, x))], ["field", "before", "word", "goes_on", "ends", "at_limit"])
-
-        for batch in batches:
-            for source, field, text in _texts(batch):
-                words = [shape(w, known) for w in _WORD.findall(text.lower())]
-                before = "^"
-                for word in words[:-1]:
-                    counts[field, before, word][0] += 1
-                    before = word
-                if words:
-                    counts[field, before, words[-1]][1 + (len(text) == limits.get((source, field), -1))] += 1
-            if len(counts) > _HELD:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
-
-    return run
-
-
-def _endings(known: frozenset, limits: dict, fields: int):
-    """(id, source, field, word before, last word, signs after it, at the limit) of every value."""
-
-    def run(batches):
-        for batch in batches:
-            ids, source = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(fields):
-                rows = []
-                for r, s, t in zip(ids, source, batch.column(2 + i).to_pylist(), strict=True):
-                    if t and not t.isspace():
-                        low = t.lower()
-                        words = _WORD.findall(low)
-                        if words:
-                            tail = re.sub(r"\s+", "", low[low.rindex(words[-1]) + len(words[-1]) :])[:3]
-                            rows.append((r, s, i, shape(words[-2], known) if len(words) > 1 else "^", shape(words[-1], known), tail, len(t) == limits.get((s, i), -1)))
-                if rows:
-                    c = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int32()), pa.array(c[3]), pa.array(c[4]), pa.array(c[5]), pa.array(c[6])],
-                        ["id", "source", "field", "before", "word", "tail", "full"],
-                    )
-
-    return run
-
-
-def _posteriors(rows: pd.DataFrame, prior: dict, rounds: int = 25) -> pd.DataFrame:
-    """The posterior of a cut for each (source, at the limit, signs, evidence) of one field."""
-    rows = rows.groupby(["source", "field", "full", "tail", "bin"], as_index=False, dropna=False)["n"].sum()
-    n, lr = rows["n"].to_numpy(float), np.exp2(rows["bin"].to_numpy(float))
-    group = rows.groupby(["source", "full"], dropna=False).ngroup().to_numpy()
-    tail = rows.groupby("tail").ngroup().to_numpy()
-    key = list(zip(rows["source"], rows["field"], strict=True))
-    start = np.array([prior.get(k, 0.0) if full else CUT_RATE for k, full in zip(key, rows["full"], strict=True)])
-    many = np.bincount(group, n)
-    p0 = np.bincount(group, n * start) / np.maximum(many, 1)
-    p, size = p0.copy(), int(tail.max()) + 1
-    whole = np.bincount(tail, n, size) + 0.5
-    whole /= whole.sum()
-    lost = whole.copy()
+    return pd.DataFrame({"limit": [best[1] if best else -1], "cut": [best[2] if best else 0.0]})
+
+
+def _counts(batches):
+    """Word pairs and separators of (field, at the edge, lowered text).
+
+    Pairs (field, word before, word): how often they go on, end a text, end it
+    with signs, end it at or by its limit. Separators: before is null.
+    """
+    schema = ["field", "before", "word", "goes_on", "ends", "signed", "at_edge"]
+    types = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 4]
+
+    def folded(words):
+        return [w if w.isalpha() and len(w) <= _LONGEST else "#" * min(len(w), _LONGEST_SHAPE) for w in words]
+
+    def out(found):
+        rows = [[], [], [], [], [], [], []]
+        for kind, counts in enumerate(found):
+            for (field, before, word), n in counts.items():
+                for column, value in zip(rows, (field, before, word, *(n if k == kind else 0 for k in range(4))), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], schema)
+
+    found = [Counter() for _ in range(4)]
+    for batch in batches:
+        for field, edge, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts = _PARTS.split(text)
+            words = folded(parts[1::2])
+            befores = ["^", *words]
+            same = [field] * len(words)
+            found[0].update(zip(same, befores, words[:-1]))
+            found[0].update(zip(same, [None] * len(words), parts[2:-1:2]))
+            found[3 if edge else 1][field, befores[-2], words[-1]] += 1
+            if parts[-1] and not edge and not parts[-1].isspace():
+                found[2][field, befores[-2], words[-1]] += 1
+        if sum(map(len, found)) > _HELD:
+            yield out(found)
+            found = [Counter() for _ in range(4)]
+    if any(found):
+        yield out(found)
+
+
+def _prior(rows: pd.DataFrame, rounds: int = 40) -> float:
+    """The share of cuts in one source, field and kind, by expectation maximization; the start weighs as much as twenty values."""
+    n, ratio = rows["n"].to_numpy(float), np.exp2(rows["bits"].to_numpy(float))
+    start = p = float(rows["start"].iloc[0])
     for _ in range(rounds):
-        odds = np.clip(p[group], 1e-5, 0.999)
-        odds = odds / (1 - odds) * lr * lost[tail] / whole[tail]
-        post = odds / (1 + odds)
-        # Twenty rows' weight stays with the prior; a sign is held rare in both classes until seen.
-        p = (np.bincount(group, n * post) + 20 * p0) / (many + 20)
-        lost = np.bincount(tail, n * post, size) + 0.5
-        whole = np.bincount(tail, n * (1 - post), size) + 0.5
-        lost, whole = lost / lost.sum(), whole / whole.sum()
-    rows["posterior"] = post
-    return rows[["source", "field", "full", "tail", "bin", "posterior"]]
+        odds = p / (1 - p) * ratio
+        p = min(max(((n * odds / (1 + odds)).sum() + 20 * start) / (n.sum() + 20), 1e-5), 0.999)
+    return p
 
 
-def scored_endings(df: DataFrame, record_id: str, source: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(values with their posterior of a cut, limits by source and field)."""
-    base = df.select(F.col(record_id).cast("string").alias("id"), F.col(source).cast("string").alias("source"), *[F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(fields)])
-    texts = base.select("source", *[f"t{i}" for i in range(len(fields))])
-    first = texts.mapInArrow(_first_pass, "kind string, name string, field int, size int, n long").groupBy("kind", "name", "field", "size").agg(F.sum("n").alias("n"))
-    words = first.filter("kind = 'w'").select("name", "n")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    known = frozenset(r[0] for r in words.filter(F.col("n") >= max(5.0, WORD_SHARE * total)).select("name").toLocalIterator() if r[0])
-    lengths = first.filter("kind = 'n'")
-    fitted = lengths.groupBy(F.col("name").alias("source"), "field").applyInPandas(
-        lambda key, rows: _limits(rows).assign(source=key[0], field=key[1])[["source", "field", "limit", "cut", "rows", "letters"]],
-        "source string, field int, limit int, cut double, rows long, letters long",
-    )
-    found = fitted.limit(SOURCES * len(fields) + 1).collect()
-    if len(found) > SOURCES * len(fields):
-        raise ValueError(f"more than {SOURCES} sources")
-    limits = {(r.source, r.field): r.limit for r in found if r.limit > 0}
-    prior = {(r.source, r.field): r.cut for r in found}
-    per_field = {i: (sum(r.rows for r in found if r.field == i), sum(r.letters for r in found if r.field == i)) for i in range(len(fields))}
-
-    pairs = texts.mapInArrow(_second_pass(known, limits), "field int, before string, word string, goes_on long, ends long, at_limit long")
-    pairs = pairs.groupBy("field", "before", "word").agg(*[F.sum(c).alias(c) for c in ("goes_on", "ends", "at_limit")])
-    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("start")
-    grown = F.col("start") != F.col("word")
-    # ``broken``: the places in all texts where a cut would leave these two last words.
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _unspaced(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\s\p{Z}]+", "")
+
+
+def _shaped(pairs: DataFrame, words: DataFrame, column: str) -> DataFrame:
+    """``pairs`` with every word of the column that is not common folded to its length."""
+    common = words.select(F.col("word").alias("_w"), F.lit(True).alias("_common"))
+    folded = F.repeat(F.lit("#"), F.least(F.length(column), F.lit(_LONGEST_SHAPE)))
+    keep = F.col("_common").isNotNull() | F.col(column).rlike("^[#^]")
+    return pairs.join(common, F.col(column) == F.col("_w"), "left").withColumn(column, F.when(keep, F.col(column)).otherwise(folded)).drop("_w", "_common")
+
+
+def _of(values: dict, default: float = 1.0) -> Column:
+    """The value for the row's field."""
+    pairs = [F.lit(x) for f, v in values.items() for x in (f, max(float(v or 0), 1.0))]
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.col("field")), F.lit(default)) if pairs else F.lit(default)
+
+
+def _endings(counted: DataFrame) -> tuple[DataFrame, float]:
+    """(field, before, word, inside, behind, inside_short, ...) for every ending that occurs; share of cuts behind a word.
+
+    ``inside``: log2 of how much likelier the ending is where a word was cut or
+    left bare than in a whole text; ``behind``: where the cut came after the word.
+    """
+    pairs = counted.filter("before is not null")
+    sums = [F.sum(c).alias(c) for c in ("goes_on", "ends", "signed", "at_edge")]
+    words = cut(pairs.filter("word not like '#%'").groupBy("word").agg(F.sum(F.col("goes_on") + F.col("ends")).alias("n")).filter(F.col("n") >= COMMON).select("word"))
+    shaped = cut(_shaped(_shaped(pairs, words, "word"), words, "before").groupBy("field", "before", "word").agg(*sums))
+
+    def starts(of: DataFrame) -> DataFrame:
+        return of.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("start"))
+
+    whole_word = F.col("start") == F.col("word")
     table = cut(
-        pairs.select("*", starts).groupBy("field", "before", F.col("start").alias("word")).agg(
-            F.sum(F.when(grown, F.col("goes_on") + F.col("ends")).otherwise(1.5 * F.col("goes_on"))).alias("broken"),
-            F.sum(F.when(grown, 0).otherwise(F.col("ends"))).alias("ends"),
-            F.sum(F.when(grown, 0).otherwise(F.col("ends") + F.col("at_limit"))).alias("met"),
+        starts(shaped).groupBy("field", "before", F.col("start").alias("word")).agg(
+            F.sum(F.when(whole_word, F.col("goes_on") + F.col("signed")).otherwise(F.col("goes_on") + F.col("ends"))).alias("inside"),
+            F.sum(F.when(whole_word, F.col("goes_on")).otherwise(0)).alias("behind"),
+            F.sum(F.when(whole_word, F.col("ends")).otherwise(0)).alias("ends"),
         )
     )
-    total = {r.field: (float(r.broken or 1), float(r.ends or 1)) for r in table.groupBy("field").agg(F.sum("broken").alias("broken"), F.sum("ends").alias("ends")).collect()}
-    by_before = table.groupBy("field", "before").agg(F.sum("broken").alias("broken_b"), F.sum("ends").alias("ends_b"), F.sum("met").alias("_met")).filter("_met > 0").drop("_met")
-    by_word = table.groupBy("field", "word").agg(F.sum("broken").alias("broken_w"), F.sum("ends").alias("ends_w"), F.sum("met").alias("_met")).filter("_met > 0").drop("_met")
-    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for f in range(len(fields)) for x in (f, max(total.get(f, (1.0, 1.0))[i], 1.0))]), F.col("field"))
-
-    def evidence(full):
-        """log2 of how much likelier the ending is after a cut; a value's own count is left out.
-
-        The last word given the one before, smoothed by the last word alone; then the one before.
-        """
-        own, rare, weight = F.when(full, 0).otherwise(1), 0.05, 5.0
-
-        def whole(ends, broken):
-            # What cuts may have added to the ends, at four times the usual rate: nothing against a word that does end texts.
-            return F.greatest(ends - own - 4 * CUT_RATE * of(1) * broken / of(0), F.lit(0.0))
-
-        word_cut = (F.col("broken_w") + rare) / of(0)
-        word_whole = (whole(F.col("ends_w"), F.col("broken_w")) + rare) / of(1)
-        before_cut, before_whole = F.col("broken_b"), whole(F.col("ends_b"), F.col("broken_b"))
-        both_cut = (F.col("broken") + weight * word_cut) / (before_cut + weight)
-        both_whole = (F.least(whole(F.col("ends"), F.col("broken")), before_whole) + weight * word_whole) / (before_whole + weight)
-        ratio = both_cut / both_whole * ((before_cut + 0.5) / of(0)) / ((before_whole + 0.5) / of(1))
-        return F.round(F.greatest(F.lit(-12.0), F.least(F.lit(14.0), F.log2(ratio)))).cast("int")
-
-    values = base.mapInArrow(_endings(known, limits, len(fields)), "id string, source string, field int, before string, word string, tail string, full boolean")
-    scored = values
-    for lookup, keys in ((table.filter("met > 0").drop("met"), ["field", "before", "word"]), (by_before, ["field", "before"]), (by_word, ["field", "word"])):
-        small = lookup.limit(BROADCAST_ENDINGS + 1).count() <= BROADCAST_ENDINGS
-        scored = scored.join(F.broadcast(lookup) if small else lookup, keys)
-    scored = scored.withColumn("bin", evidence(F.col("full")))
-    scored = scored.select("id", "source", "field", "full", "tail", "bin")
-    histogram = scored.groupBy("source", "field", "full", "tail", "bin").agg(F.count("*").alias("n"))
-    posterior = histogram.groupBy("field").applyInPandas(lambda rows: _posteriors(rows, prior), "source string, field int, full boolean, tail string, bin int, posterior double")
-    keys = ["field", "full", "tail", "bin"]
-    joined = scored.alias("v").join(posterior.alias("p"), [F.col("v.source").eqNullSafe(F.col("p.source")), *[F.col(f"v.{k}") == F.col(f"p.{k}") for k in keys]])
-    return joined.select("v.id", "v.source", "v.field", "posterior"), fitted
+    counts = ("inside", "behind", "ends")
+    total = {r.field: r for r in table.groupBy("field").agg(*[F.sum(c).alias(c) for c in counts]).collect()}
+    of = {c: _of({f: r[c] for f, r in total.items()}) for c in counts}
+    by_before = table.groupBy("field", "before").agg(*[F.sum(c).alias(f"{c}_b") for c in counts])
+    by_word = table.groupBy("field", "word").agg(*[F.sum(c).alias(f"{c}_w") for c in counts])
+
+    begun = starts(words).select(F.col("start").alias("_s")).distinct()
+    met = pairs.filter(F.col("ends") + F.col("at_edge") > 0).select("field", "before", "word")
+    met = met.withColumns({"_before": F.col("before"), "_word": F.col("word")})
+    met = _shaped(met, words, "before").join(begun, F.col("word") == F.col("_s"), "left")
+    folded = F.repeat(F.lit("#"), F.least(F.length("word"), F.lit(_LONGEST_SHAPE)))
+    met = met.withColumn("word", F.when(F.col("_s").isNotNull() | F.col("word").startswith("#"), F.col("word")).otherwise(folded)).drop("_s")
+    for lookup, keys in ((table, ["field", "before", "word"]), (by_before, ["field", "before"]), (by_word, ["field", "word"])):
+        met = met.join(lookup, keys, "left")
+    met = met.na.fill(0)
+
+    def bits(kind: str, own: int) -> Column:
+        """The last word given the one before, smoothed by the last word alone; then the one before. A value's own count is left out."""
+        rare, weight = 0.05, 5.0
+
+        def whole(ends, inside):
+            # What cuts may have added to the ends: nothing against a word that does end texts.
+            return F.greatest(ends - own - _SLACK * CUT_RATE * of["ends"] * inside / of["inside"], F.lit(0.0))
+
+        word_cut = (F.col(f"{kind}_w") + rare) / of[kind]
+        word_whole = (whole(F.col("ends_w"), F.col("inside_w")) + rare) / of["ends"]
+        before_cut, before_whole = F.col(f"{kind}_b"), whole(F.col("ends_b"), F.col("inside_b"))
+        both_cut = (F.col(kind) + weight * word_cut) / (before_cut + weight)
+        both_whole = (F.least(whole(F.col("ends"), F.col("inside")), before_whole) + weight * word_whole) / (before_whole + weight)
+        ratio = both_cut / both_whole * ((before_cut + 0.5) / of[kind]) / ((before_whole + 0.5) / of["ends"])
+        return F.greatest(F.lit(-14.0), F.least(F.lit(14.0), F.log2(ratio)))
+
+    met = met.select("field", F.col("_before").alias("before"), F.col("_word").alias("word"), *[bits(k, own).alias(f"{k}_{own}") for k in ("inside", "behind") for own in (0, 1)])
+    inside, behind = (sum(float(r[k] or 0) for r in total.values()) for k in ("inside", "behind"))
+    return met, behind / max(inside + behind, 1.0)
+
+
+def _signs(values: DataFrame, counted: DataFrame, share_behind: float, rounds: int = 2) -> DataFrame:
+    """(field, tail, mark, apart, closing): shares of the signs put behind a cut, between words, behind whole texts."""
+    between = counted.filter("before is null").select("field", _unspaced("word").alias("tail"), F.col("goes_on").alias("n"))
+    # A separator of several signs may be cut behind each of them.
+    cut_tails = F.transform(F.sequence(F.least(F.lit(1), F.length("tail")), F.length("tail")), lambda i: F.substring("tail", F.lit(1), i))
+    apart = between.select("field", F.explode(cut_tails).alias("tail"), "n").groupBy("field", "tail").agg(F.sum("n").alias("apart"))
+    bins = ["field", "tail", F.round("inside").alias("inside"), F.round("behind").alias("behind")]
+    histogram = cut(values.filter(F.col("kind") == _ELSEWHERE).groupBy(*bins).agg(F.count("*").alias("n")))
+    table, start = None, CUT_RATE / (1 - CUT_RATE)
+    for _ in range(rounds):
+        if table is None:
+            scored = histogram.withColumn("odds", start * F.pow(F.lit(2.0), "inside"))
+        else:
+            scored = histogram.join(table, ["field", "tail"]).withColumn("odds", start * _ratio(share_behind))
+        post = F.col("odds") / (1 + F.col("odds"))
+        seen = scored.groupBy("field", "tail").agg(F.sum(F.col("n") * post).alias("mark"), F.sum(F.col("n") * (1 - post)).alias("closing"))
+        both = cut(seen.join(apart, ["field", "tail"], "full").na.fill(0))
+        sums = {r.field: r for r in both.groupBy("field").agg(*[F.sum(c).alias(c) for c in ("mark", "apart", "closing")]).collect()}
+        of = {c: _of({f: r[c] for f, r in sums.items()}) for c in ("mark", "apart", "closing")}
+        # What cuts may have added to the signs behind whole texts, at four times their number, as with the words.
+        added = _SLACK * of["mark"] * share_behind * F.col("apart") / of["apart"]
+        both = both.withColumn("closing", F.greatest(F.col("closing") - added, F.lit(0.0)))
+        table = both.select("field", "tail", *[((F.col(c) + add) / of[c]).alias(c) for c, add in (("mark", 0.1), ("apart", 0.05), ("closing", 0.5))])
+    return cut(table)
+
+
+def _ratio(share_behind: float) -> Column:
+    """How much likelier a value that lies elsewhere is after a cut."""
+    inside, behind = (F.pow(F.lit(2.0), c) for c in ("inside", "behind"))
+    return ((1 - share_behind) * inside * F.col("mark") + share_behind * behind * F.col("apart")) / F.col("closing")
+
+
+def scored_endings(df: DataFrame, record_id: str, source: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, source, field, posterior of a cut) of the values, (source, field, limit, cut) of the sources."""
+    texts = F.array(*[F.col(f).cast("string") for f in fields])
+    base = df.select(F.col(record_id).cast("string").alias("id"), F.col(source).cast("string").alias("source"), F.posexplode(texts).alias("field", "text"))
+    base = base.select("id", "source", "field", F.length("text").alias("size"), F.lower("text").alias("text")).filter(F.col("text").rlike("[a-z0-9]"))
+    lengths = base.groupBy("source", "field", "size").agg(F.count("*").alias("n"))
+    fitted = cut(
+        lengths.groupBy("source", "field").applyInPandas(
+            lambda key, rows: _limit(rows).assign(source=key[0], field=key[1])[["source", "field", "limit", "cut"]],
+            "source string, field int, limit int, cut double",
+        )
+    )
+    limit = _sent(fitted.filter("limit > 0").select(F.col("source").alias("_s"), F.col("field").alias("_f"), "limit", "cut"))
+    placed = base.join(limit, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")), "left")
+    kind = F.when(F.col("size") == F.col("limit"), _FULL).when(F.col("size") == F.col("limit") - 1, _SHORT).otherwise(_ELSEWHERE)
+    placed = placed.select("id", "source", "field", "text", kind.alias("kind"), "cut")
+
+    counted = placed.select("field", F.col("kind") != _ELSEWHERE, "text").mapInArrow(_counts, "field int, before string, word string, goes_on long, ends long, signed long, at_edge long")
+    counted = cut(counted.groupBy("field", "before", "word").agg(*[F.sum(c).alias(c) for c in ("goes_on", "ends", "signed", "at_edge")]))
+    endings, share_behind = _endings(counted)
+
+    last = F.regexp_extract(F.reverse("text"), "^[^a-z0-9]*+[a-z0-9]++(?:[^a-z0-9]++[a-z0-9]++)?", 0)
+    found = placed.withColumn("last", last).drop("text")
+    folded = lambda c: F.when(c.rlike("^[a-z]+$") & (F.length(c) <= _LONGEST), c).otherwise(F.repeat(F.lit("#"), F.least(F.length(c), F.lit(_LONGEST_SHAPE))))
+    word, before = (F.reverse(F.regexp_extract("last", "^[^a-z0-9]*+([a-z0-9]++)(?:[^a-z0-9]++([a-z0-9]++))?", i)) for i in (1, 2))
+    found = found.select(
+        "id", "source", "field", "kind", "cut", _unspaced(F.reverse(F.regexp_extract("last", "^[^a-z0-9]*+", 0))).alias("tail"),
+        folded(word).alias("word"), F.when(before == "", "^").otherwise(folded(before)).alias("before"),
+    )
+    elsewhere = F.col("kind") == _ELSEWHERE
+    evidence = [F.coalesce(F.when(elsewhere, F.col(f"{k}_1")).otherwise(F.col(f"{k}_0")), F.lit(0.0)).alias(k) for k in ("inside", "behind")]
+    values = cut(found.join(_sent(cut(endings)), ["field", "before", "word"], "left").select("id", "source", "field", "kind", "cut", "tail", *evidence))
+
+    signs = _sent(_signs(values, counted, share_behind))
+    rare = {"mark": 1e-6, "apart": 1e-6, "closing": 1e-6}
+    scored = values.join(signs, ["field", "tail"], "left").na.fill(rare)
+    behind = F.pow(F.lit(2.0), "behind") * F.col("apart") / F.col("closing")
+    bare = F.when(F.col("tail") == "", (1 - share_behind) * F.pow(F.lit(2.0), "inside") / F.col("closing")).otherwise(share_behind * behind)
+    bits = F.log2(F.when(elsewhere, _ratio(share_behind)).when(F.col("kind") == _SHORT, behind).otherwise(bare))
+    start = F.when(elsewhere, CUT_RATE).when(F.col("kind") == _SHORT, F.col("cut") * share_behind).otherwise(F.col("cut"))
+    scored = scored.select("id", "source", "field", "kind", F.greatest(F.lit(1e-4), F.least(F.lit(0.99), start)).alias("start"), F.greatest(F.lit(-40.0), F.least(F.lit(40.0), bits)).alias("bits"))
+    groups = scored.groupBy("source", "field", "kind", F.round("bits", 1).alias("bits")).agg(F.count("*").alias("n"), F.first("start").alias("start"))
+    prior = cut(groups.groupBy("source", "field", "kind").applyInPandas(lambda key, rows: pd.DataFrame([[*key, _prior(rows)]], columns=["s", "f", "k", "prior"]), "s string, f int, k int, prior double"))
+    joined = scored.join(_sent(prior), F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("kind") == F.col("k")))
+    odds = F.col("prior") / (1 - F.col("prior")) * F.pow(F.lit(2.0), "bits")
+    return joined.select("id", "source", "field", (odds / (1 + odds)).alias("posterior")), fitted
 
 
 def truncated_fields(df: DataFrame, record_id: str = "record_id", source: str = "dataset_id", fields: tuple[str, ...] = ("problem_text", "action_text"), least: float = 0.5) -> DataFrame:
