@@ -30,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hangarlake.session import cut
+from hangarlake.session import cut, sent
 
 _PARTS = re.compile("([a-z0-9]+)")
 #: Occurrences from which a word counts as itself.
 COMMON = 5
-#: Rows of a lookup that are sent to every executor at most; beyond it the values are joined with it.
-BROADCAST_ROWS = 500_000
 #: Cuts at other lengths than a limit, before any evidence.
 CUT_RATE = 0.015
 #: Letters from which a word counts by its length only; lengths beyond the second figure count alike.
@@ -162,10 +160,6 @@ def _prior(rows: pd.DataFrame, rounds: int = 40) -> float:
     return p
 
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _unspaced(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s\p{Z}]+", "")
 
@@ -287,7 +281,7 @@ def scored_endings(df: DataFrame, record_id: str, source: str, fields: list[str]
             "source string, field int, limit int, cut double",
         )
     )
-    limit = _sent(fitted.filter("limit > 0").select(F.col("source").alias("_s"), F.col("field").alias("_f"), "limit", "cut"))
+    limit = sent(fitted.filter("limit > 0").select(F.col("source").alias("_s"), F.col("field").alias("_f"), "limit", "cut"))
     placed = base.join(limit, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")), "left")
     kind = F.when(F.col("size") == F.col("limit"), _FULL).when(F.col("size") == F.col("limit") - 1, _SHORT).otherwise(_ELSEWHERE)
     placed = placed.select("id", "source", "field", "text", kind.alias("kind"), "cut")
@@ -306,9 +300,9 @@ def scored_endings(df: DataFrame, record_id: str, source: str, fields: list[str]
     )
     elsewhere = F.col("kind") == _ELSEWHERE
     evidence = [F.coalesce(F.when(elsewhere, F.col(f"{k}_1")).otherwise(F.col(f"{k}_0")), F.lit(0.0)).alias(k) for k in ("inside", "behind")]
-    values = cut(found.join(_sent(cut(endings)), ["field", "before", "word"], "left").select("id", "source", "field", "kind", "cut", "tail", *evidence))
+    values = cut(found.join(sent(cut(endings)), ["field", "before", "word"], "left").select("id", "source", "field", "kind", "cut", "tail", *evidence))
 
-    signs = _sent(_signs(values, counted, share_behind))
+    signs = sent(_signs(values, counted, share_behind))
     rare = {"mark": 1e-6, "apart": 1e-6, "closing": 1e-6}
     scored = values.join(signs, ["field", "tail"], "left").na.fill(rare)
     behind = F.pow(F.lit(2.0), "behind") * F.col("apart") / F.col("closing")
@@ -318,7 +312,7 @@ def scored_endings(df: DataFrame, record_id: str, source: str, fields: list[str]
     scored = scored.select("id", "source", "field", "kind", F.greatest(F.lit(1e-4), F.least(F.lit(0.99), start)).alias("start"), F.greatest(F.lit(-40.0), F.least(F.lit(40.0), bits)).alias("bits"))
     groups = scored.groupBy("source", "field", "kind", F.round("bits", 1).alias("bits")).agg(F.count("*").alias("n"), F.first("start").alias("start"))
     prior = cut(groups.groupBy("source", "field", "kind").applyInPandas(lambda key, rows: pd.DataFrame([[*key, _prior(rows)]], columns=["s", "f", "k", "prior"]), "s string, f int, k int, prior double"))
-    joined = scored.join(_sent(prior), F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("kind") == F.col("k")))
+    joined = scored.join(sent(prior), F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("kind") == F.col("k")))
     odds = F.col("prior") / (1 - F.col("prior")) * F.pow(F.lit(2.0), "bits")
     return joined.select("id", "source", "field", (odds / (1 + odds)).alias("posterior")), fitted
 

@@ -362,3 +362,25 @@ def test_shared_spans_match_brute_force(spark):
     shared = {r["doc_id"]: r["shared_chars"] for r in sharedspans.shared_parts(df).collect()}
     assert {i: n for i, n in shared.items() if n} == {i: len(v) for i, v in covered.items() if i != 106} | ({106: shared[106]} if shared.get(106) else {})
     assert sharedspans.shared_span_pairs(df.limit(0)).count() == 0 and sharedspans.shared_parts(df.limit(0)).count() == 0
+
+
+def test_many_aliases_and_separate_mentions():
+    aliases = [(f"{w}{i}", w) for w in ("alpha", "beta", "gamma", "delta") for i in range(9)] + [("abg", "alpha beta gamma"), ("de lta", "delta")]
+    m = canonicalmap.Mapper([(1, "alpha beta gamma delta"), (2, "beta"), (3, "gamma delta")], aliases)
+    assert m.map("alpha8 beta7 gamma6 delta8") == 1 and m.map("(abg) de-lta") == 1 and m.map("betas, alpha") == 2
+    found = m.mentions(m.spaced, m.names, " beta3 and gamma0 delta1 ", 0)
+    assert [t for *_, t in found] == [3, 2]
+
+
+def test_spelling_candidates_match_brute_force():
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcde", k=rng.randint(3, 9))) for _ in range(60)]
+    m = canonicalmap.Mapper([(i, n) for i, n in enumerate(names)], [])
+    for _ in range(200):
+        word = list(rng.choice(names))
+        word[rng.randrange(len(word))] = rng.choice("abcdez")
+        word = "".join(word)
+        if word in m.spellings or word[:-1] in m.spellings:
+            continue
+        want = {n for n in set(names) if canonicalmap.distance(word, n, 9) <= int(max(len(n), len(word)) * 0.4)}
+        assert want <= set(m._near(word))
