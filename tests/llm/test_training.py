@@ -384,3 +384,16 @@ def test_spelling_candidates_match_brute_force():
             continue
         want = {n for n in set(names) if canonicalmap.distance(word, n, 9) <= int(max(len(n), len(word)) * 0.4)}
         assert want <= set(m._near(word))
+
+
+@pytest.mark.parametrize("signs", ["0123456789", "01", "abcdef0123456789", "-", "ab ", "äöü"])
+def test_every_span_of_the_least_length_has_a_common_kmer(signs):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choices(signs, k=n))
+    for _ in range(60):
+        span = make(400)
+        texts = [make(rng.randrange(300)) + span + make(rng.randrange(300)) for _ in range(2)]
+        owner, _, _, value = sharedspans.kept_kmers(texts, 256, 6)
+        assert set(value[owner == 0]) & set(value[owner == 1])
+    with pytest.raises(ValueError):
+        sharedspans._check_room(300, 256, 6)
