@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hangarlake.operators.components import connected_components
-from hangarlake.session import cut
+from hangarlake.session import cut, sent
 
 _SCAN = "kind string, pid int, copy_key string, keep_id string, copy_id string"
 
@@ -139,16 +139,28 @@ def formatting_copies(df: DataFrame, record_id: str = "record_id", text: str = "
 
 
 def _join_boundaries(records: DataFrame, found: DataFrame) -> DataFrame:
-    """Joins groups whose texts agree in one order though their parts are divided at different places."""
-    forms = records.select(F.xxhash64("copy_key").alias("k"), F.explode(F.array_distinct(F.array("same", "turned"))).alias("form")).select("k", F.xxhash64("form").alias("form"))
-    links = cut(forms.groupBy("form").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").select("a", "b"))
-    if links.isEmpty():
+    """Joins groups whose texts agree in one order though their parts are divided at different places.
+
+    Hashes of the orders only choose the few records that are looked at; these
+    are compared by their whole texts.
+    """
+    forms = F.array_distinct(F.array(F.xxhash64("same"), F.xxhash64("turned")))
+    hashed = records.select(F.xxhash64("copy_key").alias("k"), F.explode(forms).alias("form"))
+    several = cut(hashed.groupBy("form").agg(F.min("k").alias("_a"), F.max("k").alias("_b")).filter("_a <> _b").select("form"))
+    if several.isEmpty():
         return found
+    whole = F.explode(F.array_distinct(F.array("same", "turned"))).alias("text")
+    named = records.select(F.col("record_id").cast("string").alias("record_id"), "copy_key", whole).withColumn("form", F.xxhash64("text"))
+    met = cut(named.join(sent(several), "form", "left_semi").select("record_id", "copy_key", "text"))
+    keys = cut(met.groupBy("copy_key").agg(F.min("record_id").alias("node")))
+    texts = met.select("copy_key", "text").distinct().join(keys, "copy_key").select("text", "node").distinct()
+    least = texts.groupBy("text").agg(F.min("node").alias("a"), F.max("node").alias("_b")).filter("a <> _b").select("text", "a")
+    links = texts.join(least, "text").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
     merged = connected_components(links)
-    touched = records.withColumn("node", F.xxhash64("copy_key")).join(merged, "node").select(F.col("record_id").cast("string").alias("record_id"), "component").distinct()
-    touched = cut(touched)
-    least = touched.groupBy("component").agg(F.min("record_id").alias("keep_id"))
-    again = touched.join(least, "component").filter("record_id <> keep_id").select("keep_id", F.col("record_id").alias("copy_id"))
+    linked = keys.join(merged, "node").select("copy_key", "component")
+    touched = cut(records.join(sent(linked), "copy_key").select(F.col("record_id").cast("string").alias("record_id"), "component").distinct())
+    first = touched.groupBy("component").agg(F.min("record_id").alias("keep_id"))
+    again = touched.join(first, "component").filter("record_id <> keep_id").select("keep_id", F.col("record_id").alias("copy_id"))
     rest = found.join(touched.select(F.col("record_id").alias("copy_id")), "copy_id", "left_anti").join(touched.select(F.col("record_id").alias("keep_id")), "keep_id", "left_anti")
     return rest.select("keep_id", "copy_id").unionByName(again)
 
