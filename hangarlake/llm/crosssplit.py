@@ -5,9 +5,10 @@ are ordered by how rare their tokens are, and two sets that reach the threshold
 share a token among the first ``n - ceil(threshold * n) + 1`` of each. Evaluation
 prefixes are the index, training prefixes probe it, with filters on size, on
 the position of the shared token and on a 112-bit map of the set; what remains
-is checked exactly. The order comes from a table of token counts of fixed size
-(``2 ** order_bits`` counters): counters may be shared, which changes the order
-alike for all sets and so costs only speed.
+is checked exactly. The order comes from a table of counters of the tokens, as
+many as there are rows, within bounds. Counters may be shared and are held on a
+logarithmic scale, which changes the order alike for all sets and so costs only
+speed.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from pyspark.sql import functions as F
 
 from hangarlake.llm import chosenpath as cp
 from hangarlake.llm import textvec as tv
-from hangarlake.session import cut
+from hangarlake.session import cut, sent
 
 _U = np.uint64
+#: The binary logarithm of the number of counters, one byte each, at least and at most.
+ORDER_BITS = (16, 22)
+#: Held-out prefixes of one token from which its pairs are made by several tasks.
+PART = 2048
 
 
 def _slots(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -61,17 +66,23 @@ def _side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("token", F.col("sig").alias(name), F.col("pack").alias(f"pack_{name}"), F.col("more").alias(f"more_{name}"), F.col("place").alias(f"place_{name}"), F.col("size").alias(f"n_{name}"))
 
 
-def similar_across(train: DataFrame, held: DataFrame, text: str, k: int, threshold: float, order_bits: int = 16) -> DataFrame:
+def similar_across(train: DataFrame, held: DataFrame, text: str, k: int, threshold: float, order_bits: int | None = None) -> DataFrame:
     """(a, b): signatures of the distinct sets of train and held-out texts that reach the threshold, equal ones included."""
-    spark = train.sparkSession
     train = train.select(F.col(text).cast("string").alias("text")).filter("text is not null")
     held = held.select(F.col(text).cast("string").alias("text")).filter("text is not null")
-    total = train.unionByName(held).mapInArrow(_count(k, order_bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << order_bits, np.int64)
-    counts[total.column(0).to_numpy()] = total.column(1).to_numpy()
+    both = train.unionByName(held)
+    bits = order_bits or min(max(int(both.count()).bit_length(), ORDER_BITS[0]), ORDER_BITS[1])
+    total = both.mapInArrow(_count(k, bits), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.uint8)
+    counts[total.column(0).to_numpy()] = np.minimum(np.round(6 * np.log2(1.0 + total.column(1).to_numpy())), 255)
     schema = "token long, sig long, pack long, more long, place int, size int"
-    a = _side(train.mapInArrow(_prefixes(k, threshold, order_bits, counts), schema), "a")
-    b = _side(held.mapInArrow(_prefixes(k, threshold, order_bits, counts), schema), "b")
+    a = _side(train.mapInArrow(_prefixes(k, threshold, bits, counts), schema), "a")
+    b = cut(_side(held.mapInArrow(_prefixes(k, threshold, bits, counts), schema), "b"))
+    # A token of many held-out sets is divided into parts.
+    hot = sent(cut(b.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")))
+    part = F.coalesce("parts", F.lit(1))
+    b = b.join(hot, "token", "left").withColumn("part", F.pmod(F.col("b"), part).cast("int")).drop("parts")
+    a = a.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), part - 1))).drop("parts")
     both = F.col("n_a") + F.col("n_b")
     least = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
     apart = F.bit_count(F.shiftrightunsigned(F.col("pack_a").bitwiseXOR(F.col("pack_b")), 16)) + F.bit_count(F.col("more_a").bitwiseXOR(F.col("more_b")))
@@ -80,7 +91,7 @@ def similar_across(train: DataFrame, held: DataFrame, text: str, k: int, thresho
         & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + F.least("place_a", "place_b") >= least)
         & (apart <= both * ((1 - threshold) / (1 + threshold)) + 1e-9)
     )
-    pairs = cut(a.join(b, "token").filter((F.col("a") == F.col("b")) | reach).select("a", "b").distinct())
+    pairs = cut(a.join(b, ["token", "part"]).filter((F.col("a") == F.col("b")) | reach).select("a", "b").distinct())
     equal = pairs.filter("a = b")
     return equal.unionByName(cp.verified(pairs.filter("a <> b"), train.unionByName(held), "text", k, threshold).select("a", "b"))
 
@@ -91,13 +102,8 @@ def split_name(column: str):
     return F.when(name.isin("dev", "val", "validation"), F.lit("validation")).otherwise(name)
 
 
-def cross_split_pairs(df: DataFrame, record_id: str = "record_id", text: str = "problem_text", split: str = "split", k: int = 5, threshold: float = 0.8, train_split: str = "train", held_splits: tuple[str, ...] = ("validation", "test"), **how) -> DataFrame:
-    """(record_id_a, record_id_b): each pair of records, one in train and the other held out, whose texts reach the threshold.
-
-    The smaller id comes first; a pair comes once. A record is in every split
-    that any of its rows names. Rows of null id, text or split, and texts of
-    fewer than k words, pair with nothing. Other columns are ignored.
-    """
+def _linked(df: DataFrame, record_id: str, text: str, split: str, k: int, threshold: float, train_split: str, held_splits: tuple[str, ...], **how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links (a, b) of signatures, members (a, id_a) in train, members (b, id_b) held out)."""
     rows = df.select(F.col(record_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"), split_name(split).alias("part")).filter("id is not null and text is not null")
     train, held = rows.filter(F.col("part") == train_split), rows.filter(F.col("part").isin(*held_splits))
     links = cut(similar_across(train, held, "text", k, threshold, **how))
@@ -105,23 +111,37 @@ def cross_split_pairs(df: DataFrame, record_id: str = "record_id", text: str = "
     def members(side: DataFrame, name: str) -> DataFrame:
         return side.select("id", "text").mapInArrow(cp._signatures(k), "id string, sig long").filter("sig <> 0").select(F.col("sig").alias(name), F.col("id").alias(f"id_{name}")).distinct()
 
-    right = cut(members(held, "b").join(links.select("b").distinct(), "b", "left_semi"))
+    return links, members(train, "a"), members(held, "b")
+
+
+def cross_split_pairs(df: DataFrame, record_id: str = "record_id", text: str = "problem_text", split: str = "split", k: int = 5, threshold: float = 0.8, train_split: str = "train", held_splits: tuple[str, ...] = ("validation", "test"), **how) -> DataFrame:
+    """(record_id_a, record_id_b): each pair of records, one in train and the other held out, whose texts reach the threshold.
+
+    The smaller id comes first; a pair comes once. A record is in every split
+    that any of its rows names. Rows of null id, text or split, and texts of
+    fewer than k words, pair with nothing. Other columns are ignored.
+    """
+    links, train, held = _linked(df, record_id, text, split, k, threshold, train_split, held_splits, **how)
+    right = cut(held.join(links.select("b").distinct(), "b", "left_semi"))
     # A set that many records have is divided into parts, so that its pairs are made by many tasks.
     parts = right.groupBy("b").agg(F.ceil(F.count("*") / 128).cast("int").alias("parts"))
     right = right.join(parts, "b").select("b", F.pmod(F.xxhash64("id_b"), F.col("parts")).cast("int").alias("part"), "id_b")
-    left = links.join(parts, "b").join(members(train, "a"), "a").select("b", "id_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left = links.join(parts, "b").join(train, "a").select("b", "id_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = left.join(right, ["b", "part"]).filter("id_a <> id_b")
     return pairs.select(F.least("id_a", "id_b").alias("record_id_a"), F.greatest("id_a", "id_b").alias("record_id_b")).distinct()
 
 
-def overlap_report(df: DataFrame, source: str = "dataset_id", record_id: str = "record_id", split: str = "split", **how) -> DataFrame:
-    """(split, source, records, overlapping): of the held-out records of each split and source, how many are also in train."""
-    held_splits = how.get("held_splits", ("validation", "test"))
-    pairs = cut(cross_split_pairs(df, record_id=record_id, split=split, **how))
+def overlap_report(df: DataFrame, source: str = "dataset_id", record_id: str = "record_id", text: str = "problem_text", split: str = "split", k: int = 5, threshold: float = 0.8, train_split: str = "train", held_splits: tuple[str, ...] = ("validation", "test"), **how) -> DataFrame:
+    """(split, source, records, overlapping): of the held-out records of each split and source, how many are also in train.
+
+    No pairs are made: of the training records that a held-out set is linked
+    with, the least and the greatest id tell whether there is another one than
+    the record itself.
+    """
+    links, train, held = _linked(df, record_id, text, split, k, threshold, train_split, held_splits, **how)
+    ends = train.groupBy("a").agg(F.min("id_a").alias("low"), F.max("id_a").alias("high"))
+    reach = links.join(ends, "a").groupBy("b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    hit = held.join(reach, "b").filter("low <> id_b or high <> id_b").select(F.col("id_b").alias("id")).distinct().withColumn("hit", F.lit(1))
     rows = df.select(F.col(record_id).cast("string").alias("id"), F.col(source).alias("source"), split_name(split).alias("part")).filter("id is not null").distinct()
-    train = rows.filter(F.col("part") == how.get("train_split", "train")).select(F.col("id").alias("other")).distinct()
-    ends = pairs.select(F.col("record_id_a").alias("id"), F.col("record_id_b").alias("other")).unionByName(pairs.select(F.col("record_id_b").alias("id"), F.col("record_id_a").alias("other")))
-    hit = ends.join(train, "other", "left_semi").select("id").distinct().withColumn("hit", F.lit(1))
-    held = rows.filter(F.col("part").isin(*held_splits))
-    out = held.join(hit, "id", "left").groupBy(F.col("part").alias("split"), "source")
+    out = rows.filter(F.col("part").isin(*held_splits)).join(hit, "id", "left").groupBy(F.col("part").alias("split"), "source")
     return out.agg(F.count("*").alias("records"), F.sum(F.coalesce("hit", F.lit(0))).alias("overlapping"))
