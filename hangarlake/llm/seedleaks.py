@@ -23,8 +23,13 @@ from pyspark.sql import functions as F
 from hangarlake.llm import textvec as tv
 
 _U = np.uint64
-MASKS = ("110110101011", "101110010111", "11101001011")
+#: Masks by falling span; the fourth and its like fit where every fourth word is exchanged.
+MASKS = ("110110101011", "101110010111", "11101001011", "11101110111", "1101100101", "1110111", "1101011", "11011", "1011", "111", "11", "1")
+#: Masks in use: the first so many that span no more than the least passage.
+MASKS_USED = 4
 BLOCK_WORDS = 2_000_000
+#: Places of equal seeds that are unfolded at once.
+_UNFOLDED = 1 << 20
 
 
 def seeds(words: tv.Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +71,16 @@ def _matches(index: Index, words: tv.Words, bounds: np.ndarray):
         at, value = seeds(words, mask)
         slot = np.minimum(np.searchsorted(distinct, value), len(distinct) - 1)
         hit = np.flatnonzero(distinct[slot] == value)
+        if not len(hit):
+            continue
         many = first[slot[hit] + 1] - first[slot[hit]]
-        entry = np.repeat(first[slot[hit]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found.append(np.stack([words.row[np.repeat(at[hit], many)], item[entry], np.repeat(at[hit], many) - place[entry]], 1))
+        # Seeds of repetitive texts meet often; they are unfolded in steps, of which the distinct diagonals stay.
+        steps = np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), _UNFOLDED)))
+        for begin, end in zip(steps, np.append(steps[1:], len(many)), strict=True):
+            where, n = hit[begin:end], many[begin:end]
+            entry = np.repeat(first[slot[where]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rows = np.stack([words.row[np.repeat(at[where], n)], item[entry], np.repeat(at[where], n) - place[entry]], 1)
+            found.append(np.unique(rows, axis=0))
     if not found:
         return np.empty((0, 5), np.int64)
     diagonal = np.unique(np.concatenate(found), axis=0)
@@ -116,10 +128,11 @@ def leaked_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     A passage has at least ``min_words`` equal words, in one unbroken run
     (``longest_run``) or with single words exchanged (``equal_words`` of a
     stretch of ``stretch_words``). Runs are always found; a stretch with
-    exchanged words is found if a mask fits it. Items and texts of fewer words,
+    exchanged words is found if a mask fits it, as where every fourth word or
+    fewer are exchanged. Items and texts of fewer words,
     nulls and empty texts match nothing; repeated rows count once. Ids are whole numbers.
     """
-    masks = tuple(m for m in masks if len(m) <= min_words) or ("1" * min_words,)
+    masks = tuple(m for m in masks if len(m) <= min_words)[:MASKS_USED]
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).filter("id is not null and t is not null").distinct()
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).filter("id is not null and t is not null")
     size = items.agg(F.sum(F.size(F.split("t", "[^A-Za-z0-9]+"))).alias("n")).first()["n"] or 0
