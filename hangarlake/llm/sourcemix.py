@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hangarlake.session import cut
+from hangarlake.session import cut, sent
 
 #: Fixed value: how the tokenizer's vocabulary divides a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,7 +69,9 @@ def mixed(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None
         raise ValueError(f"more than {SOURCES} sources in the targets")
     spark = counts.sparkSession
     docs = counts.filter("tokens > 0").join(F.broadcast(named.select("source").distinct()), "source", "left_semi").select("doc_id", "source", "tokens")
-    have = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    # Sizes by source are all that the plan needs; the documents are read once for it.
+    sizes = cut(docs.groupBy("source", "tokens").agg(F.count("*").alias("n")))
+    have = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("n")).collect()}
     total = total_tokens if total_tokens is not None else min((have[s] * plan[s][1] / plan[s][0] for s in have), default=0)
     need = {s: min(plan[s][1], plan[s][0] * total / have[s]) for s in have}
     rest = {s: need[s] - int(need[s] + 1e-9) for s in have}
@@ -78,37 +80,34 @@ def mixed(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None
     # The factor of each source, with documents whose probability would pass 1 taken for certain, until none is new.
     factor = dict.fromkeys(have, 0.0)
     for _ in range(30):
-        known = _lookup(factor)
-        sure = known * weight >= 1
-        sums = docs.groupBy("source").agg(F.sum(F.when(sure, F.col("tokens")).otherwise(0)).alias("sure"), F.sum(F.when(sure, 0.0).otherwise(weight * F.col("tokens"))).alias("w")).collect()
+        sure = F.col("factor") * weight >= 1
+        sums = _with(sizes, "factor", factor).groupBy("source").agg(F.sum(F.when(sure, F.col("tokens") * F.col("n")).otherwise(0)).alias("sure"), F.sum(F.when(sure, 0.0).otherwise(weight * F.col("tokens") * F.col("n"))).alias("w")).collect()
         new = {r.source: max(factor[r.source], (rest[r.source] * have[r.source] - r.sure) / r.w if r.w > 0 else factor[r.source]) for r in sums}
         if all(abs(new[s] - factor[s]) <= 1e-12 * max(1.0, new[s]) for s in new):
             break
         factor = new
-    p = F.least(F.lit(1.0), _lookup(factor) * weight)
+    p = F.least(F.lit(1.0), F.col("factor") * weight)
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
-    ranked = docs.withColumn("p", p).withColumn("u", u).filter("p > 0")
+    ranked = _with(docs, "factor", factor).withColumn("p", p).withColumn("u", u).filter("p > 0")
     # Certain ones come first, whatever their random number.
     rank = F.when(F.col("p") >= 1, F.lit(0.0)).otherwise(F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.col("p"))
     ranked = cut(ranked.withColumn("rank", rank).withColumn("class", F.when(F.col("rank") <= 0, -1_000_000).otherwise(F.floor(F.log2("rank") * CLASSES)).cast("long")).select("doc_id", "source", "tokens", "p", "rank", "class"))
     size = ranked.groupBy("source").agg(F.round(F.sum("p")).cast("long").alias("size"))
     classes = ranked.groupBy("source", "class").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
-    classes = classes.withColumn("upto", upto).join(size, "source").withColumn("left", F.col("size") - (F.col("upto") - F.col("n"))).filter("left > 0").select("source", "class", "n", "left")
-    chosen = ranked.join(F.broadcast(classes) if len(have) * CLASSES < 1_000_000 else classes, ["source", "class"])
+    classes = cut(classes.withColumn("upto", upto).join(size, "source").withColumn("left", F.col("size") - (F.col("upto") - F.col("n"))).filter("left > 0").select("source", "class", "n", "left"))
+    chosen = ranked.join(sent(classes), ["source", "class"])
     whole = chosen.filter("n <= left").select("doc_id")
     last = chosen.filter("n > left").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id"))).filter("place <= left").select("doc_id")
     extra = whole.unionByName(last).withColumn("extra", F.lit(1))
-    sure_copies = _lookup({s: float(int(need[s] + 1e-9)) for s in have}).cast("int")
-    out = docs.join(extra, "doc_id", "left").withColumn("copies", sure_copies + F.coalesce("extra", F.lit(0)))
+    out = _with(docs, "sure", {s: float(int(need[s] + 1e-9)) for s in have}).join(extra, "doc_id", "left").withColumn("copies", F.col("sure").cast("int") + F.coalesce("extra", F.lit(0)))
     return out.filter("copies > 0").select("doc_id", "source", "tokens", "copies") if have else spark.createDataFrame([], "doc_id long, source string, tokens long, copies int")
 
 
-def _lookup(values: dict[str, float]):
-    """A column with the value of each row's source; 0 for others."""
-    if not values:
-        return F.lit(0.0)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("source")), F.lit(0.0))
+def _with(df: DataFrame, name: str, values: dict[str, float]) -> DataFrame:
+    """``df`` with the value of each row's source; there is one for each source, of which there are ``SOURCES`` at most."""
+    table = df.sparkSession.createDataFrame(list(values.items()), f"source string, {name} double")
+    return df.join(F.broadcast(table), "source")
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, total_tokens: int | None = None, **names) -> DataFrame:
