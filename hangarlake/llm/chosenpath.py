@@ -16,7 +16,10 @@ path at once, is always taken, since it may be the only one that two sets
 share. On deeper levels one run samples each path with probability ``rate``;
 runs are repeated until two sets at the threshold meet with the probability
 ``target_recall``. As runs differ only by their seeds, all of a set's runs are
-carried out in one pass: a path is taken if any of them takes it.
+carried out in one pass: a path is taken if any of them takes it. A set of very
+many frequent tokens takes part with a sample of them, by hash of the token, and
+so does the set it is compared with; such samples, too, are repeated until the
+recall is reached.
 
 Skew: equal sets are one set before anything is exchanged, and a map task
 sends at most ``bucket`` sets of a token; of more it sends only word that the
@@ -47,8 +50,10 @@ BROADCAST_SETS = 1 << 20
 #: A bucket limit that nothing reaches.
 _ALL = 1 << 40
 _PATHS = "path long, sig long, pack long, more long"
-#: Paths are kept in 40 bits: two that fall together only share a bucket.
-_PATH_SHIFT = _U(24)
+#: Paths are kept in 48 bits: two that fall together only share a bucket.
+_PATH_SHIFT = _U(16)
+#: Subsets of a set's frequent tokens that are looked at for one level; of more tokens a sample is taken.
+SUBSETS = 200_000
 
 
 def _pack(sizes: np.ndarray, bits: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
@@ -125,16 +130,38 @@ def _first_level(k: int, bucket: int):
     return run
 
 
-def _thinned(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, owner, need): frequent tokens of the sets that can reach the threshold by them; need is how many two such sets share at least.
+def _kept(level: int) -> int:
+    """The frequent tokens of a set of which all subsets of ``level`` are looked at."""
+    n = level
+    while math.comb(n + 1, level) <= SUBSETS:
+        n += 1
+    return n
 
-    Of more than 48 a hash of the token chooses about 48, for two similar sets mostly the same.
+
+def _turns(level: int, threshold: float, rate: float, recall: float) -> int:
+    """Independent samples of their tokens that two large sets need for the recall.
+
+    Two sets at the threshold share that part of the smaller one's tokens; the
+    larger one, by up to 1 / threshold, samples the more sparsely. What both
+    keep is a Poisson number.
+    """
+    mean = _kept(level) * threshold**2
+    p = float(sampling_rate(math.comb(max(level, int(mean)), level), rate, recall))
+    missed = sum(math.exp(-mean + n * math.log(mean) - math.lgamma(n + 1)) * (1 - p) ** math.comb(n, level) for n in range(int(mean + 20 * math.sqrt(mean)) + 20))
+    return max(1, math.ceil(math.log1p(-recall) / math.log(min(max(missed, 1e-12), 0.9))))
+
+
+def _thinned(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, level: int, threshold: float, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, owner, need): frequent tokens of the sets that can reach the threshold by them; need is how many two such sets share at least, or mostly if sampled.
+
+    Of more than ``_kept`` a hash of the token chooses about as many, for two
+    similar sets mostly the same; turns after the first are for such sets alone.
     """
     need = np.ceil(sizes * threshold - 1e-9).astype(np.int64)
     many = np.bincount(owner, minlength=len(sizes))
     keep = (many >= np.maximum(need, level))[owner]
-    share = np.minimum(1.0, 48 / np.maximum(many, 1))
-    keep &= (share[owner] >= 1) | _sampled(tokens, share[owner], 0x77)
+    share = np.minimum(1.0, _kept(level) / np.maximum(many, 1))
+    keep &= ((share[owner] >= 1) & (turn == 0)) | ((share[owner] < 1) & _sampled(tokens, share[owner], 0x77 + 0x1000 * turn))
     need = np.where(share < 1, np.maximum(level, (need * share * threshold).astype(np.int64)), need)
     return tokens[keep], owner[keep], need
 
@@ -185,26 +212,28 @@ def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket
         for sig, sizes, tokens, owner in sets(batches):
             count = np.bincount(owner, minlength=len(sig))
             pack = _pack(sizes, tv.bitmaps(np.concatenate([[0], np.cumsum(count)]), tokens, False)[0], count)
-            tokens, owner, need = _thinned(tokens, owner, sizes, level, threshold)
-            order = np.lexsort((tokens, owner))
-            tokens, owner = tokens[order], owner[order]
-            many = np.bincount(owner, minlength=len(sig))
-            first = np.concatenate([[0], np.cumsum(many)])[:-1]
-            paths, whose = [], []
-            usable = np.flatnonzero(many >= level)
-            # Sets of like shape are one matrix.
-            shapes = np.stack([many[usable], need[usable]], 1)
-            for shape in np.unique(shapes, axis=0) if len(usable) else []:
-                alike = usable[(shapes == shape).all(1)]
-                step = max(1, (1 << 20) // math.comb(int(shape[0]), level))
-                for i in range(0, len(alike), step):
-                    some = alike[i : i + step]
-                    row, path = _subsets(tokens[first[some][:, None] + np.arange(shape[0])], level, int(shape[1]), rate, recall, known, threshold)
-                    paths.append(path)
-                    whose.append(some[row])
-            if paths:
-                who = np.concatenate(whose)
-                yield from _emit(np.concatenate(paths), sig[who], pack[who], np.zeros(len(who), np.uint64), bucket)
+            for turn in range(_turns(level, threshold, rate, recall)):
+                some_tokens, some_owner, need = _thinned(tokens, owner, sizes, level, threshold, turn)
+                order = np.lexsort((some_tokens, some_owner))
+                some_tokens, some_owner = some_tokens[order], some_owner[order]
+                many = np.bincount(some_owner, minlength=len(sig))
+                first = np.concatenate([[0], np.cumsum(many)])[:-1]
+                paths, whose = [], []
+                usable = np.flatnonzero(many >= level)
+                # Sets of like shape are one matrix.
+                shapes = np.stack([many[usable], need[usable]], 1)
+                for shape in np.unique(shapes, axis=0) if len(usable) else []:
+                    alike = usable[(shapes == shape).all(1)]
+                    step = max(1, (1 << 20) // math.comb(int(shape[0]), level))
+                    for i in range(0, len(alike), step):
+                        some = alike[i : i + step]
+                        # The first turn's samples are those of the level before; others aren't, so nothing is known of their parts.
+                        row, path = _subsets(some_tokens[first[some][:, None] + np.arange(shape[0])], level, int(shape[1]), rate, recall, known if turn == 0 else None, threshold)
+                        paths.append(path)
+                        whose.append(some[row])
+                if paths:
+                    who = np.concatenate(whose)
+                    yield from _emit(np.concatenate(paths), sig[who], pack[who], np.zeros(len(who), np.uint64), bucket)
 
     return run
 
@@ -393,7 +422,7 @@ def _joined_sets(texts: DataFrame, k: int, frequent: DataFrame, threshold: float
     """(sig, size, frequent tokens) where those tokens are too many to send to every executor."""
     arrays = set_arrays(texts, "text", k).withColumn("size", F.size("tokens"))
     tokens = arrays.select("sig", "size", F.explode("tokens").alias("token"))
-    tokens = tokens.withColumn("path", F.shiftrightunsigned("token", 24)).join(frequent, "path", "left_semi")
+    tokens = tokens.withColumn("path", F.shiftrightunsigned("token", int(_PATH_SHIFT))).join(frequent, "path", "left_semi")
     sets = tokens.groupBy("sig", "size").agg(F.collect_list("token").alias("tokens"))
     sets = sets.filter(F.size("tokens") >= F.ceil(F.col("size") * threshold - 1e-9))
     return sets.select("sig", "size", "tokens")

@@ -397,3 +397,34 @@ def test_every_span_of_the_least_length_has_a_common_kmer(signs):
         assert set(value[owner == 0]) & set(value[owner == 1])
     with pytest.raises(ValueError):
         sharedspans._check_room(300, 256, 6)
+
+
+def test_long_sets_of_frequent_words_are_found(spark):
+    """Sets of many more frequent tokens than are looked at together, in every size ratio that the threshold allows."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        base = rng.sample(words, 160)
+        rows.append((f"a{i:02}", " ".join(base)))
+        other = base[: rng.choice([85, 110, 150])] + (rng.sample(sorted(set(words) - set(base)), 10) if i % 2 else [])
+        rng.shuffle(other)
+        rows.append((f"b{i:02}", " ".join(other)))
+    df = spark.createDataFrame(rows, "record_id string, text string").repartition(2)
+    assert chosenpath._turns(4, 0.5, 0.1, 0.999) > 1 == chosenpath._turns(4, 0.8, 0.1, 0.999)
+    got = {tuple(r) for r in chosenpath.near_duplicate_groups(df, "record_id", "text", k=1, threshold=0.5, bucket=3, deep_bucket=8, max_depth=3).collect()}
+    assert got == groups_of(rows, 1, 0.5)
+
+
+@pytest.mark.parametrize("apart, least", [(4, 1.0), (5, 1.0), (7, 1.0), (9, 1.0), (3, 0.0)])
+def test_recall_of_passages_with_exchanged_words(spark, apart, least):
+    """Every ``apart``-th word exchanged: a stretch of 40 words has enough equal ones if at least three of four are."""
+    rng = random.Random(apart)
+    items, docs = [], []
+    for i in range(60):
+        words = [f"{rng.randrange(10**6)}" for _ in range(40)]
+        shift = rng.randrange(apart)
+        items.append((i, " ".join(words)))
+        docs.append((i, " ".join(["x", "y", *(w if (j + shift) % apart else f"odd{j}" for j, w in enumerate(words)), "z"])))
+    found = seedleaks.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).filter("item_id = doc_id")
+    assert found.count() >= least * len(items)
