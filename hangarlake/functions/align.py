@@ -16,16 +16,18 @@ from hangarlake.functions import fixed
 
 # Signs that are written plainly.
 PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "\xa0": " ", "﻿": "", "°": "*"}
-#: Kinds of tokens; the first that fits counts.
+# Patterns of the kinds of tokens, of which the first that fits counts, and the names under which two of them go.
 KINDS = (
-    ("slash", r"[wW]/[oO]?(?![A-Za-z])|[A-Za-z]{1,4}/[A-Za-z]{1,4}"),
-    ("numref", r"#\s?[0-9]+[A-Za-z]?"),
+    ("wslash", r"[wW]/[oO]?(?![A-Za-z])"),
+    ("slash", r"[A-Za-z]{1,4}/[A-Za-z]{1,4}"),
+    ("numref", r"\#\s?\d+[A-Za-z]?"),
     ("word", r"[A-Za-z]+(?:'[A-Za-z]+)?"),
-    ("num", r"[0-9]+(?:[.,/][0-9]+)?"),
-    ("symbol", r"[&@+*=>\"'#]"),
+    ("num", r"\d+(?:[.,/]\d+)?"),
+    ("sym", r"""[&@+*=>"'#]"""),
     ("ws", r"\s+"),
-    ("punct", r"[^\sA-Za-z0-9]|."),
+    ("punct", r"[^\sA-Za-z0-9]"),
 )
+KIND_NAMES = {"wslash": "slash", "sym": "symbol"}
 
 
 def vectorized(kind: str):
@@ -37,7 +39,7 @@ def vectorized(kind: str):
     return wrap
 
 
-_TOKEN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in KINDS), re.S)
+_TOKEN = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in KINDS))
 
 
 def plain(text: str | None) -> str:
@@ -45,7 +47,7 @@ def plain(text: str | None) -> str:
 
 
 def typed_tokens(text: str | None) -> list[tuple[str, int, int, str]]:
-    return [(m.group(), m.start(), m.end(), m.lastgroup) for m in _TOKEN.finditer(plain(text))]
+    return [(m.group(), m.start(), m.end(), KIND_NAMES.get(m.lastgroup, m.lastgroup)) for m in _TOKEN.finditer(plain(text))]
 
 
 def rendered(words: list[str]) -> str:
@@ -69,69 +71,57 @@ def nfkc_key(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t or "").casefold()).strip(" \t\r\n.,;:-"))
 
 
-def words_to_number(words: list[str]) -> int:
-    values = {w: i for i, w in enumerate(fixed.ONES)} | {w: 20 + 10 * i for i, w in enumerate(fixed.TENS)}
-    whole = part = 0
-    for w in words:
-        if w in values:
-            part += values[w]
-        elif w == "hundred":
-            part = max(part, 1) * 100
-        else:
-            whole, part = whole + max(part, 1) * {"thousand": 1000, "million": 1_000_000}[w], 0
-    return whole + part
+_SCALES = {"hundred": 100, "thousand": 1000, "million": 1_000_000}
+_VALUES = {w: i for i, w in enumerate(fixed.ONES)} | {w: 20 + 10 * i for i, w in enumerate(fixed.TENS)}
 
 
-_SCALES = ("hundred", "thousand", "million")
-_NUMBERS = {*fixed.ONES, *fixed.TENS, *_SCALES}
+def number_of(words: list[str]) -> int:
+    """The value of a phrase of number words, by the grammar: what stands before a scale is multiplied by it, what stands behind is added."""
+    for at, word in enumerate(words):
+        if word in ("thousand", "million"):
+            return (number_of(words[:at]) or 1) * _SCALES[word] + number_of(words[at + 1 :])
+    head, scale, tail = "\n".join(words).rpartition("hundred")
+    return (number_of(head.split()) or 1) * 100 + number_of(tail.split()) if scale else sum(_VALUES[w] for w in words)
+
+
+def _number_phrase() -> re.Pattern:
+    """Number words that belong together: signs that divide a list end a phrase, "and" goes on with one after a scale."""
+    around, dividing = r'[.()"]*', r'[.,;:()"]*'
+    units, scales = "|".join(_VALUES), "|".join(_SCALES)
+    inner = rf"(?:{around}(?:{units}){around}|{around}(?:{scales}){around}(?:\s{around}and{around}(?!\S))?)"
+    return re.compile(rf"(?<!\S)(?:{inner}\s)*(?:{inner}|{dividing}(?:{units}|{scales}){dividing})(?!\S)", re.I)
+
+
+_PHRASE = _number_phrase()
 
 
 def digitized(text: str | None) -> str:
-    """Number words as digits; "and" belongs to a number only after hundred, thousand or million."""
-    words, out, i = (text or "").split(), [], 0
-    while i < len(words):
-        core, j = [], i
-        while j < len(words):
-            bare = words[j].lower().strip('.,;:()"')
-            stops = any(c in words[j] for c in ",;:")
-            if bare in _NUMBERS:
-                core.append(bare)
-                j += 1
-                if stops:
-                    break
-            elif bare == "and" and core and core[-1] in _SCALES and not stops:
-                j += 1
-            else:
-                break
-        if core:
-            out.append(str(words_to_number(core)) + "".join(c for c in words[j - 1] if c in '.,;:)"'))
-            i = j
-        else:
-            out.append(words[i])
-            i += 1
-    return " ".join(out)
+    """Number words as digits; signs behind the last one stay."""
+
+    def digits(phrase: re.Match) -> str:
+        words = [w for w in re.findall("[a-z]+", phrase.group().lower()) if w != "and"]
+        return str(number_of(words)) + re.sub(r'[^.,;:)"]', "", phrase.group().split()[-1])
+
+    return _PHRASE.sub(digits, " ".join((text or "").split()))
+
+
+def _below_thousand(n: int) -> str:
+    hundreds, rest = divmod(n, 100)
+    small = fixed.ONES[rest] if rest < 20 else " ".join([fixed.TENS[rest // 10 - 2], *([fixed.ONES[rest % 10]] if rest % 10 else [])])
+    return " and ".join([*([f"{fixed.ONES[hundreds]} hundred"] if hundreds else []), *([small] if rest else [])])
 
 
 def number_in_words(n: int) -> str:
     """A number below a million in words; larger ones stay digits."""
-    if n < 20:
-        return fixed.ONES[n]
-    if n < 100:
-        return fixed.TENS[n // 10 - 2] + (f" {fixed.ONES[n % 10]}" if n % 10 else "")
-    for size, name, joint in ((1000, "hundred", " and "), (1_000_000, "thousand", " ")):
-        if n < size:
-            unit = 100 if size == 1000 else 1000
-            rest = number_in_words(n % unit) if n % unit else ""
-            return f"{number_in_words(n // unit)} {name}" + (joint + rest if rest else "")
-    return str(n)
+    if n >= 1_000_000:
+        return str(n)
+    groups = ((n // 1000, " thousand"), (n % 1000, ""))
+    return " ".join(_below_thousand(part) + name for part, name in groups if part) or fixed.ONES[0]
 
 
 def spelled(text: str | None) -> str:
-    out = []
-    for word in (text or "").split():
-        bare = word.strip('.,;:()"')
-        out.append(number_in_words(int(bare)) + word[len(word.rstrip('.,;:)"')) :] if re.fullmatch("[0-9]{1,6}", bare) else word)
-    return " ".join(out)
+    """Whole numbers of up to six digits in words; signs behind one stay."""
+    return re.sub(r'(?<!\S)[.,;:()"]*([0-9]{1,6})([.,;:)"]*)(?!\S)', lambda m: number_in_words(int(m[1])) + m[2], " ".join((text or "").split()))
 
 
 @vectorized("struct<digits:string,words:string>")
@@ -178,17 +168,27 @@ def pair_statistics(df: DataFrame) -> DataFrame:
     return sums.select("*", rate("edits", "units").alias("wer"), rate("raw_edits", "units").alias("raw_wer"), rate("hit", "predicted").alias("change_precision"), rate("hit", "gold").alias("change_recall"))
 
 
+def exchanged(source: list[str], target: list[str]) -> list[tuple[str, str]]:
+    """The words that stand for each other between stretches that agree but for case, where as many were taken out as put in."""
+    agreeing = SequenceMatcher(None, [w.lower() for w in source], [w.lower() for w in target], autojunk=False).get_matching_blocks()
+    out, i, k = [], 0, 0
+    for block in agreeing:
+        left, right = source[i : block.a], target[k : block.b]
+        out += zip(left, right, strict=True) if len(left) == len(right) else []
+        i, k = block.a + block.size, block.b + block.size
+    return out
+
+
 @vectorized("array<struct<source:string,target:string>>")
 def replaced_words(raw: pd.Series, reference: pd.Series) -> pd.Series:
-    out = []
-    for s, t in zip(raw, reference, strict=True):
-        a, b = (s or "").split(), (t or "").split()
-        found = []
-        for tag, i, j, k, m in SequenceMatcher(None, [w.lower() for w in a], [w.lower() for w in b], autojunk=False).get_opcodes():
-            if tag == "replace" and j - i == m - k:
-                found += [{"source": p.lower(), "target": q} for p, q in zip(a[i:j], b[k:m], strict=True)]
-        out.append(found)
-    return pd.Series(out)
+    pairs = (exchanged((s or "").split(), (t or "").split()) for s, t in zip(raw, reference, strict=True))
+    return pd.Series([[{"source": a.lower(), "target": b} for a, b in found] for found in pairs])
+
+
+@vectorized("double")
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the signs in agreeing stretches over the signs of both texts, in lower case."""
+    return pd.Series([SequenceMatcher(None, (s or "").lower(), (t or "").lower(), autojunk=len(t or "") >= 200).ratio() for s, t in zip(a, b, strict=True)])
 
 
 def greedy_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -200,17 +200,27 @@ def greedy_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]
     return sorted(taken)
 
 
-def lexicon_spans(patterns: list[tuple[str, str]], text: Column) -> Column:
-    """Spans of the patterns (name, regular expression) in a text, without overlaps."""
-    compiled = [(name, re.compile(pattern)) for name, pattern in patterns]
+def lexicon_spans(names: list[tuple[str, str]], patterns: list[tuple[str, str]], text: Column) -> Column:
+    """Spans of names (kind, name) and of patterns (kind, regular expression) in a text, without overlaps; all names are looked for in one pass."""
+    compiled = [(kind, re.compile(pattern)) for kind, pattern in patterns]
 
     @F.pandas_udf("array<struct<begin:int,end:int,name:string>>")
     def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for kind, name in names:
+            if name:
+                automaton.add_word(name.lower(), (len(name), kind))
+        if len(automaton):
+            automaton.make_automaton()
         for batch in texts:
             rows = []
             for t in batch:
                 low = (t or "").lower()
-                spans = [(m.start(), m.end(), name) for name, p in compiled for m in p.finditer(low) if m.end() > m.start()]
+                hits = [(end - size + 1, end + 1, kind) for end, (size, kind) in automaton.iter(low)] if len(automaton) else []
+                spans = [h for h in hits if not (h[0] and low[h[0] - 1].isalnum()) and not (h[1] < len(low) and low[h[1]].isalnum())]
+                spans += [(m.start(), m.end(), kind) for kind, p in compiled for m in p.finditer(low) if m.end() > m.start()]
                 rows.append([{"begin": a, "end": b, "name": c} for a, b, c in greedy_spans(spans)])
             yield pd.Series(rows)
 

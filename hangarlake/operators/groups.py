@@ -12,11 +12,17 @@ from hangarlake.operators.components import connected_components
 PACKED_GROUPS = 100_000
 
 
+def near_digest(a: str, b: str):
+    """A name for records whose parts have the same near keys; a whole digest, since a short one merges strangers among many records."""
+    return F.concat(F.lit("nr_"), F.md5(F.concat(x.near_key(a), F.lit(" ||| "), x.near_key(b))))
+
+
 def exact_near_groups(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(key, exact_group, near_group): digests of the two parts as they are and of their near keys."""
-    part = lambda f: F.substring(F.md5(F.concat(f(a), F.lit(" ||| "), f(b))), 1, 8)
+    """(key, exact_group, near_group, exact_label, near_label): digests of the two parts as they are and of their near keys, and their short labels for display."""
     plain = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return df.select(key, F.concat(F.lit("ex_"), part(plain)).alias("exact_group"), F.concat(F.lit("nr_"), part(x.near_key)).alias("near_group"))
+    exact = F.concat(F.lit("ex_"), F.md5(F.concat(plain(a), F.lit(" ||| "), plain(b))))
+    rows = df.select(key, exact.alias("exact_group"), near_digest(a, b).alias("near_group"))
+    return rows.select("*", F.substring("exact_group", 1, 11).alias("exact_label"), F.substring("near_group", 1, 11).alias("near_label"))
 
 
 def merged_clusters(df: DataFrame, cluster: str, record: str) -> DataFrame:

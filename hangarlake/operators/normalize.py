@@ -93,16 +93,30 @@ def safest(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.when(a, F.col("candidate")).when(b, F.col("rules")).otherwise(F.col("raw"))).withColumn("choice", F.when(a, "candidate").when(b, "rules").otherwise("raw"))
 
 
-def pair_category(raw: str, reference: str) -> Column:
-    """How a reference differs from its raw text; the first category that fits."""
+def pair_category(raw: str, reference: str, ratio: Column | None = None) -> Column:
+    """How a reference differs from its raw text; the first category that fits. ``ratio`` is the likeness of both, without which many added words alone tell an addition."""
     a, b = x.tokens(raw, "[a-z0-9]+"), x.tokens(reference, "[a-z0-9]+")
     last_a, last_b = F.get(a, F.size(a) - 1), F.get(b, F.size(b) - 1)
     r, t = F.col(raw), F.col(reference)
     completed = (F.size(a) > 0) & (F.size(b) > 0) & last_b.startswith(last_a) & (F.length(last_b) >= F.length(last_a) + 2) & ~r.rlike(r"[.!?]$")
+    added = F.greatest(F.lit(0), F.size(b) - F.size(a))
+    much = added / F.greatest(F.lit(1), F.size(a)) > 0.35
+    if ratio is not None:
+        much = much | ((ratio < 0.55) & (added > 2))
+    opened = F.exists(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: (F.length(z["a"]) <= 5) & (F.length(z["b"]) > 5))
     return (
         F.when((r == "") | (t == ""), "unmatched_or_empty").when(r == t, "unchanged").when(F.lower(r) == F.lower(t), "formatting_only")
-        .when(completed, "possible_truncation_reconstruction")
-        .when(F.greatest(F.lit(0), F.size(b) - F.size(a)) / F.greatest(F.lit(1), F.size(a)) > 0.35, "possible_unsupported_addition").otherwise("lexical_edit")
+        .when(completed, "possible_truncation_reconstruction").when(much, "possible_unsupported_addition")
+        .when(F.coalesce(opened, F.lit(False)), "possible_abbreviation_expansion").otherwise("lexical_edit")
+    )
+
+
+def flagged_category(category: Column, edit: Column, same_source: Column) -> Column:
+    """A category under an editor's flags: another source goes before a completion, that before an anonymized text, that before a cut one."""
+    edit = F.coalesce(edit, F.lit(""))
+    return (
+        F.when(~F.coalesce(same_source, F.lit(False)), "source_mismatch").when(F.contains(edit, F.lit("ANON")), "anonymized_completion")
+        .when(F.contains(edit, F.lit("CUTOFF - C")), "reference_completion").when(F.contains(edit, F.lit("CUTOFF - T")), "reference_truncation").otherwise(category)
     )
 
 
@@ -117,10 +131,26 @@ def learned_replacements(pairs: DataFrame) -> DataFrame:
     return found.groupBy("source").agg(best.alias("b")).select("source", "b.target", "b.n")
 
 
-def named_components(df: DataFrame, terms: DataFrame, key: str, text: str, kind: str = "component") -> DataFrame:
-    """(key, components): the distinct names of a list in a text, in order, the longest first where names overlap."""
-    names = sorted((r[0] for r in terms.filter(F.col("kind") == kind).select(F.lower("term")).limit(ENTRIES).collect()), key=lambda t: (-len(t), t))
-    if not names:
+def names(terms: DataFrame, kind: str) -> list[str]:
+    """The names of a list's kind in lower case, longest first; more than a literal of the plan may hold is a ValueError."""
+    rows = terms.filter(F.col("kind") == kind).select(F.lower("term")).distinct().limit(ENTRIES + 1).collect()
+    if len(rows) > ENTRIES:
+        raise ValueError(f"a list has more than {ENTRIES} names")
+    return sorted((r[0] for r in rows if r[0]), key=lambda t: (-len(t), t))
+
+
+def named_components(df: DataFrame, terms: DataFrame, key: str, text: str, kind: str = "component", synonyms: DataFrame | None = None) -> DataFrame:
+    """(key, components): the distinct names of a list in a text, in order, the longest first where names overlap.
+
+    ``synonyms`` (key, expansion) are other spellings of words of the names; a
+    name found in such a spelling counts as itself.
+    """
+    known = names(terms, kind)
+    if not known:
         return df.select(key, F.array().cast("array<string>").alias("components"))
-    pattern = r"\b(" + "|".join(re.escape(t) for t in names) + r")\b"
-    return df.select(key, F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(1))).alias("components"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if synonyms is not None:
+        words = entries(synonyms)
+        low = F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"[a-z0-9]+|[^a-z0-9]+"), F.lit(0)), lambda w: x.mapped(w, words)), "")
+    pattern = r"\b(" + "|".join(re.escape(t) for t in known) + r")\b"
+    return df.select(key, F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1))).alias("components"))

@@ -38,7 +38,7 @@ def entity_side(t):
 
 @query(f"WITH {RELATIONS}, p AS (SELECT DISTINCT record_id, target AS item, source AS issue FROM rel WHERE relation = 'ISSUE_ON_ITEM' AND problem IS NULL) SELECT record_id, item, issue, place FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY item, issue) AS place FROM p) WHERE place <= 4")
 def subproblems(t):
-    """RC7, JN10, XT33."""
+    """RC7."""
     return c.subproblems(g.resolved_relations(annotated(t))).select("record_id", "item", "issue", "place")
 
 
@@ -49,7 +49,7 @@ _IMPERATIVE = "CASE " + " ".join(f"WHEN regexp_matches(step, '(?i)^{a}\\b') THEN
   WHERE outcome <> 'negative' AND coalesce(action_text, '') <> '' AND cluster_id IS NOT NULL GROUP BY 1, 2)
 SELECT cluster_id, place, {_IMPERATIVE} AS step, records FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY records DESC, k) AS place FROM k) WHERE place <= 8""")
 def job_cards(t):
-    """RC10, RC5, RC9, WN9."""
+    """RC10."""
     return c.job_cards(cases(t), "cluster_id")
 
 
@@ -62,25 +62,25 @@ def cluster_representative(t):
 
 @query(f"WITH {CASES} SELECT record_id, (len(components) > 0)::INT + (len(faults) > 0)::INT + (action_family <> 'Other')::INT + (outcome <> 'unknown')::INT AS parts, coalesce(cluster_id, 'record:' || record_id) AS cluster FROM cases")
 def case_quality(t):
-    """CB5, CB6, D12: how complete a case is, and its cluster or itself."""
+    """CB5: how complete a case is, and its cluster or itself."""
     parts = (F.size("components") > 0).cast("int") + (F.size("faults") > 0).cast("int") + (F.col("action_family") != "Other").cast("int") + (F.col("outcome") != "unknown").cast("int")
     return cases(t).select("record_id", parts.alias("parts"), F.coalesce("cluster_id", F.concat(F.lit("record:"), "record_id")).alias("cluster"))
 
 
 @query("""SELECT ident, to_json(list_transform(entities, lambda v: v.entity_type)) AS types, array_to_string(tokens, ' ') AS text FROM (SELECT DISTINCT ident, tokens, entities FROM gold_annotation)""")
 def nested_as_json(t):
-    """SRC12, SRC18, AP4."""
+    """SRC12."""
     rows = t.gold_annotation.select("ident", "tokens", "entities").distinct()
     return rows.select("ident", F.to_json(F.transform("entities", lambda v: v["entity_type"])).alias("types"), F.array_join("tokens", " ").alias("text"))
 
 
 @query("SELECT term_id, kind, term, row_number() OVER (ORDER BY term_id) - 1 AS place FROM canonical_term")
 def numbered_rows(t):
-    """SRC8, SRC19: places over partitions."""
+    """Places over partitions."""
     return tables.numbered(t.canonical_term, "term_id").withColumnRenamed("_place", "place").select("term_id", "kind", "term", "place")
 
 
 @query("""SELECT record_id, length(full_text) AS chars, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(full_text, '\\S+')))) AS words FROM (SELECT DISTINCT record_id, full_text FROM maintenance_record)""")
 def text_sizes(t):
-    """SRC9, SRC20, IE17: sizes of each text."""
+    """Sizes of each text."""
     return t.maintenance_record.select("record_id", "full_text").distinct().select("record_id", F.length("full_text").cast("long").alias("chars"), F.regexp_count("full_text", F.lit(r"\S+")).cast("long").alias("words"))

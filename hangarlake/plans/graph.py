@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hangarlake.functions import align, fixed
 from hangarlake.operators import graph as g
+from hangarlake.operators import normalize as n
 from hangarlake.plans.registry import query
 
 
@@ -55,13 +56,6 @@ def kg_quarantine(t):
     return bad.groupBy("relation", "problem").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("records"))
 
 
-@query(f"WITH {RELATIONS}, e AS (SELECT {_EDGE}, count(DISTINCT record_id) AS n FROM rel WHERE problem IS NULL GROUP BY ALL) SELECT target AS item, source AS issue, source_type AS issue_type, n AS record_count FROM e WHERE relation = 'ISSUE_ON_ITEM' AND n >= 2 ORDER BY n DESC, item, issue, issue_type LIMIT 200")
-def kg_view_item_faults(t):
-    """ST1: the first 200 rows of kg_view_all_item_faults, as the SQL has it."""
-    rows = g.edges(annotated(t)).filter("relation = 'ISSUE_ON_ITEM' and record_count >= 2").select(F.col("target").alias("item"), F.col("source").alias("issue"), F.col("source_type").alias("issue_type"), "record_count")
-    return rows.orderBy(F.desc("record_count"), "item", "issue", "issue_type").limit(200)
-
-
 #: Records that support an edge of a planning view at least.
 MIN_WEIGHT = 2
 
@@ -77,8 +71,8 @@ def _view(t, columns: dict, *relations: str):
 
 @query(_view_sql("target AS item, source AS issue, source_type AS issue_type", "ISSUE_ON_ITEM"))
 def kg_view_all_item_faults(t):
-    """AG14: the first of six planning views, without a limit."""
-    return _view(t, {"item": "target", "issue": "source", "issue_type": "source_type"}, "ISSUE_ON_ITEM")
+    """AG14, ST1: the first of six planning views, in order."""
+    return _view(t, {"item": "target", "issue": "source", "issue_type": "source_type"}, "ISSUE_ON_ITEM").orderBy(F.desc("record_count"), "item", "issue", "issue_type")
 
 
 @query(_view_sql("target AS issue, source AS action, CASE relation WHEN 'ACTION_ADDRESSES_ISSUE' THEN 'addresses' ELSE 'investigates' END AS kind", *g.ISSUE_KINDS))
@@ -115,7 +109,7 @@ def kg_view_action_references(t):
 
 @query(f"""WITH {RELATIONS}, a AS (SELECT relation, count(*) AS relations, count(DISTINCT record_id) AS records FROM rel WHERE problem IS NULL GROUP BY 1), e AS (SELECT relation, count(DISTINCT (source, source_type, target, target_type)) AS edges FROM rel WHERE problem IS NULL GROUP BY 1) SELECT relation, relations, records, edges FROM a JOIN e USING (relation)""")
 def kg_summary(t):
-    """KG5."""
+    """KG5: by relation."""
     valid = g.resolved_relations(annotated(t)).filter("problem is null")
     return valid.groupBy("relation").agg(F.count("*").alias("relations"), F.count_distinct("record_id").alias("records"), F.count_distinct("source", "source_type", "target", "target_type").alias("edges"))
 
@@ -123,7 +117,7 @@ def kg_summary(t):
 @query(f"""WITH {RELATIONS}, e AS (SELECT {_EDGE}, count(DISTINCT record_id) AS n FROM rel WHERE problem IS NULL GROUP BY ALL), f AS (SELECT * FROM e WHERE n >= 2)
 SELECT DISTINCT * FROM (SELECT source AS label, source_type AS type, 1 AS distance FROM f WHERE target = 'pitot heat relay' UNION ALL SELECT target, target_type, 1 FROM f WHERE source = 'pitot heat relay' UNION ALL SELECT 'pitot heat relay', 'MAINT_ITEM', 0)""")
 def kg_focus_graph(t):
-    """KG3, KG4: a component's neighbours."""
+    """KG3: a component's neighbours."""
     e = g.edges(annotated(t)).filter("record_count >= 2")
     near = e.filter("target = 'pitot heat relay'").select(F.col("source").alias("label"), F.col("source_type").alias("type")).unionByName(e.filter("source = 'pitot heat relay'").select(F.col("target").alias("label"), F.col("target_type").alias("type")))
     center = t.spark.createDataFrame([("pitot heat relay", "MAINT_ITEM", 0)], "label string, type string, distance int")
@@ -148,13 +142,13 @@ def entity_pair_candidates(t):
   CASE WHEN len(entities) = 0 THEN 'no_entities' END], lambda v: v IS NOT NULL)) AS flag FROM rec)
 SELECT flag, count(*) AS n FROM f GROUP BY 1""")
 def record_validation(t):
-    """D1, D2, D3, IE15, IE16, IE18, SRC3."""
+    """IE15, IE16: structural errors."""
     return g.flags(annotated(t)).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {ANNOTATED}, e AS (SELECT record_id, unnest(entities) AS e FROM rec) SELECT a.record_id, a.e.entity_id AS first_id, b.e.entity_id AS second_id FROM e a JOIN e b ON a.record_id = b.record_id AND a.e.entity_id < b.e.entity_id WHERE a.e.start_pos < b.e.end_pos AND b.e.start_pos < a.e.end_pos")
 def span_overlap_pairs(t):
-    """JN12, AG26, EV10."""
+    """JN12."""
     pairs = annotated(t).select("record_id", "entities", F.explode("entities").alias("a")).select("record_id", "a", F.explode("entities").alias("b"))
     both = pairs.filter("a.entity_id < b.entity_id and a.start_pos < b.end_pos and b.start_pos < a.end_pos")
     return both.select("record_id", F.col("a.entity_id").alias("first_id"), F.col("b.entity_id").alias("second_id"))
@@ -180,7 +174,7 @@ def gold(t):
 
 @query(f"WITH {_GOLD}, src AS (SELECT ident, bio AS tags FROM gold), " + _ISLANDS.format(src="src", out="span") + ' SELECT ident, type, begin, "end" FROM span')
 def bio_to_spans(t):
-    """IE2, WN12."""
+    """IE2."""
     return g.spans_of_bio(gold(t), ["ident"])
 
 
@@ -195,7 +189,7 @@ def spans_to_bio(t):
 
 @query("SELECT ident, list_transform(list_filter(entities, lambda v: v.entity_type <> 'REFERENCE'), lambda v: v.entity_type || ':' || v.start_pos || ':' || v.end_pos) AS entities, md5(array_to_string(list_transform(tokens, lambda w: lower(w)), '␟')) AS group_key FROM (SELECT DISTINCT ident, tokens, entities FROM gold_annotation)")
 def schema_view(t):
-    """CL9, CL11, D5: the core labels alone."""
+    """CL9: the core labels alone."""
     rows = t.gold_annotation.select("ident", "tokens", "entities").distinct()
     return rows.select("ident", F.transform(F.filter("entities", lambda v: v["entity_type"] != "REFERENCE"), lambda v: F.concat_ws(":", v["entity_type"], v["start_pos"].cast("string"), v["end_pos"].cast("string"))).alias("entities"), F.md5(F.array_join(F.transform("tokens", F.lower), "␟")).alias("group_key"))
 
@@ -203,7 +197,7 @@ def schema_view(t):
 @query("""WITH e AS (SELECT annotation_batch, unnest(entities).entity_type AS label, 'entity' AS kind FROM gold_annotation), r AS (SELECT annotation_batch, unnest(relations).relation_type AS label, 'relation' AS kind FROM gold_annotation)
 SELECT annotation_batch, kind, label, count(*) AS n, count(*) < 50 AS low FROM (SELECT * FROM e UNION ALL SELECT * FROM r) GROUP BY 1, 2, 3""")
 def annotation_support(t):
-    """XT1, AG22, AG23, AG25, IE19, IE20."""
+    """XT1: entities and relations by batch, with a mark of the rare ones."""
     one = lambda c, f, kind: t.gold_annotation.select("annotation_batch", F.explode(F.transform(c, lambda v: v[f])).alias("label"), F.lit(kind).alias("kind"))
     return one("entities", "entity_type", "entity").unionByName(one("relations", "relation_type", "relation")).groupBy("annotation_batch", "kind", "label").agg(F.count("*").alias("n")).withColumn("low", F.col("n") < 50)
 
@@ -211,8 +205,8 @@ def annotation_support(t):
 @query()
 def weak_annotation(t):
     """IE1, WN11: spans of lexicon names and patterns, the longest first, without overlaps."""
-    terms = [(r.kind, rf"\b{r.term}\b") for r in t.canonical_term.select("kind", "term").limit(10_000).collect()]
-    return t.work_order.select("ident", align.lexicon_spans([*terms, ("location", fixed.LOCATION)], F.col("problem")).alias("spans"))
+    terms = [(kind, name) for kind in ("component", "fault") for name in n.names(t.canonical_term, kind)]
+    return t.work_order.select("ident", align.lexicon_spans(terms, [("location", fixed.LOCATION)], F.col("problem")).alias("spans"))
 
 
 _TRAIN = "annotation_batch = 'round1'"
@@ -232,7 +226,7 @@ def memorized(t):
 
 @query(f"WITH {_MEMO} SELECT count(*) AS tokens, round(avg((gold = pred)::INT), 6) AS accuracy, round(count(DISTINCT CASE WHEN unseen THEN w END) / count(DISTINCT w), 6) AS oov_types FROM pt")
 def memorization_baseline(t):
-    """AG21, IE7 (as the baseline tagger)."""
+    """AG21."""
     rows = memorized(t)
     return rows.agg(F.count("*").alias("tokens"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("int")), 6).alias("accuracy"), F.round(F.count_distinct(F.when(F.col("unseen"), F.col("w"))) / F.count_distinct("w"), 6).alias("oov_types"))
 
@@ -259,7 +253,7 @@ def span_counts(t):
 
 @query(f"WITH {_SPANS} SELECT type, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM k")
 def entity_prf(t):
-    """AG18, ST5, XT5, XT8, XT23: spans against spans, by type."""
+    """AG18, ST5, XT5: spans against spans, by type."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     rate = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
     return span_counts(t).select("type", "tp", "fp", "fn", rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
@@ -268,7 +262,7 @@ def entity_prf(t):
 @query(f"""WITH {_SPANS} SELECT 'micro' AS average, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1 FROM k
 UNION ALL SELECT 'macro', round(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END), 6) FROM k UNION ALL SELECT 'macro_gold', round(avg(2 * tp / (2 * tp + fp + fn)), 6) FROM k WHERE tp + fn > 0""")
 def averaged_f1(t):
-    """AG18, AG19: micro, macro over all labels, macro over gold labels."""
+    """AG18: micro, macro over all labels, macro over gold labels."""
     k = span_counts(t).withColumn("f1", 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
     one = lambda name, df: df.select(F.lit(name).alias("average"), "f1")
     micro = k.agg(F.round(2 * F.sum("tp") / (2 * F.sum("tp") + F.sum("fp") + F.sum("fn")), 6).alias("f1"))

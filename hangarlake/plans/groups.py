@@ -10,27 +10,18 @@ from hangarlake.operators import records as r
 from hangarlake.plans.registry import query
 from hangarlake.plans.texts import CORPUS, NEAR_SQL, corpus
 
-_GROUPS = f"""grp AS (SELECT record_id, dataset_id, problem_text, 'ex_' || substr(md5(coalesce(problem_text, '') || ' ||| ' || coalesce(action_text, '')), 1, 8) AS exact_group,
-  'nr_' || substr(md5({NEAR_SQL.format(c='problem_text')} || ' ||| ' || {NEAR_SQL.format(c='action_text')}), 1, 8) AS near_group FROM corpus)"""
-
-
-def grouped(t):
-    rows = corpus(t)
-    return o.exact_near_groups(rows, "record_id", "problem_text", "action_text").join(rows.select("record_id", "dataset_id", "problem_text"), "record_id")
+_GROUPS = f"""grp AS (SELECT record_id, dataset_id, problem_text, 'ex_' || md5(coalesce(problem_text, '') || ' ||| ' || coalesce(action_text, '')) AS exact_group,
+  'nr_' || md5({NEAR_SQL.format(c='problem_text')} || ' ||| ' || {NEAR_SQL.format(c='action_text')}) AS near_group FROM corpus)"""
 
 
 def keyed(t, *more):
     """Corpus rows with their near group, in one pass."""
-    rows = corpus(t)
-    from hangarlake.functions import text as x
-
-    near = F.concat(F.lit("nr_"), F.substring(F.md5(F.concat(x.near_key("problem_text"), F.lit(" ||| "), x.near_key("action_text"))), 1, 8))
-    return rows.select("record_id", *more, near.alias("near_group"))
+    return corpus(t).select("record_id", *more, o.near_digest("problem_text", "action_text").alias("near_group"))
 
 
-@query(f"WITH {CORPUS}, {_GROUPS} SELECT record_id, exact_group, near_group FROM grp")
+@query(f"WITH {CORPUS}, {_GROUPS} SELECT record_id, exact_group, near_group, substr(exact_group, 1, 11) AS exact_label, substr(near_group, 1, 11) AS near_label FROM grp")
 def exact_near_groups(t):
-    """CL1, CL10."""
+    """CL1: whole digests to group by, short labels to show."""
     return o.exact_near_groups(corpus(t), "record_id", "problem_text", "action_text")
 
 
@@ -80,7 +71,7 @@ def semi_annotated(t):
 
 @query(f"WITH {CORPUS} SELECT c.dataset_id, count(*) AS records, count(s.record_id) AS with_structure, count(*) - count(s.record_id) AS without_structure FROM corpus c LEFT JOIN (SELECT DISTINCT record_id FROM structure_case) s USING (record_id) GROUP BY 1")
 def join_coverage(t):
-    """JN3, JN4, JN6, JN16."""
+    """Records with and without a structure, by source."""
     known = t.structure_case.select("record_id").distinct().withColumn("_k", F.lit(1))
     return corpus(t).join(known, "record_id", "left").groupBy("dataset_id").agg(F.count("*").alias("records"), F.count("_k").alias("with_structure")).withColumn("without_structure", F.col("records") - F.col("with_structure"))
 
@@ -97,7 +88,7 @@ def merge_clusters(t):
 @query(f"""WITH {CORPUS}, {_GROUPS}, p AS (SELECT record_id, near_group, ('0x' || substr(sha256('v1:' || near_group), 1, 8))::BIGINT / 4294967296.0 AS x FROM grp)
 SELECT record_id, near_group, CASE WHEN x < 0.7 THEN 'train' WHEN x < 0.85 THEN 'dev' ELSE 'test' END AS assigned FROM p""")
 def group_split(t):
-    """CL7, CL12, ST7, JN13."""
+    """CL7, ST7."""
     return o.hashed_split(keyed(t), "near_group", [("train", 0.7), ("dev", 0.85), ("test", 1.0)], "v1:").select("record_id", "near_group", "assigned")
 
 
@@ -110,7 +101,7 @@ def packed_split(t):
 
 @query(f"WITH {CORPUS} SELECT record_id, CASE WHEN lower(trim(split)) IN ('test', 'dev', 'val', 'validation') THEN lower(trim(split)) ELSE 'train' END AS frozen FROM corpus")
 def frozen_split(t):
-    """CL8, XT3: what was frozen stays; all else trains."""
+    """What was frozen stays; all else trains."""
     s = F.lower(F.trim("split"))
     return corpus(t).select("record_id", F.when(s.isin("test", "dev", "val", "validation"), s).otherwise("train").alias("frozen"))
 
@@ -124,7 +115,7 @@ def leakage_check(t):
 @query(f"""WITH {CORPUS}, {_GROUPS}, p AS (SELECT DISTINCT near_group, lower(trim(split)) AS part FROM grp JOIN corpus USING (record_id) WHERE split IS NOT NULL)
 SELECT a.part AS first_part, b.part AS second_part, count(*) AS shared_groups FROM p a JOIN p b ON a.near_group = b.near_group AND a.part < b.part GROUP BY 1, 2""")
 def split_overlap(t):
-    """AG22, XT37: groups that two splits share; splits are a handful, so the pairs come from each group's own set."""
+    """Groups that two splits share; splits are a handful, so the pairs come from each group's own set."""
     parts = keyed(t, F.lower(F.trim("split")).alias("part")).filter("part is not null").groupBy("near_group").agg(F.sort_array(F.collect_set("part")).alias("parts")).filter(F.size("parts") > 1)
     pairs = parts.select("parts", F.explode("parts").alias("first_part")).select("first_part", F.explode("parts").alias("second_part")).filter("first_part < second_part")
     return pairs.groupBy("first_part", "second_part").agg(F.count("*").alias("shared_groups"))
@@ -157,10 +148,13 @@ def seeded_sample(t):
 
 @query("SELECT asset_id, record_id, logged_at, CAST(date_diff('second', lag(logged_at) OVER w, logged_at) AS BIGINT) AS seconds_since FROM (SELECT DISTINCT asset_id, record_id, logged_at FROM maintenance_record WHERE logged_at IS NOT NULL AND asset_id IS NOT NULL) WINDOW w AS (PARTITION BY asset_id ORDER BY logged_at, record_id)")
 def time_since_last(t):
-    """Time between the entries of an asset (window over sorted, spilling partitions)."""
-    rows = t.maintenance_record.select("asset_id", "record_id", "logged_at").filter("logged_at is not null and asset_id is not null").distinct()
-    before = F.lag("logged_at").over(Window.partitionBy("asset_id").orderBy("logged_at", "record_id"))
-    return rows.select("asset_id", "record_id", "logged_at", F.timestamp_diff("SECOND", before, F.col("logged_at")).alias("seconds_since"))
+    """Time between the entries of an asset, month by month, so that an asset with very many entries is many tasks' work; a month's first entry follows the last one of the months before."""
+    rows = t.maintenance_record.select("asset_id", "record_id", "logged_at").filter("logged_at is not null and asset_id is not null").distinct().withColumn("month", F.date_trunc("month", "logged_at"))
+    within = F.lag("logged_at").over(Window.partitionBy("asset_id", "month").orderBy("logged_at", "record_id"))
+    ends = rows.groupBy("asset_id", "month").agg(F.max("logged_at").alias("last"))
+    carried = ends.select("asset_id", "month", F.lag("last").over(Window.partitionBy("asset_id").orderBy("month")).alias("carried"))
+    before = F.coalesce("within", "carried")
+    return rows.withColumn("within", within).join(carried, ["asset_id", "month"]).select("asset_id", "record_id", "logged_at", F.timestamp_diff("SECOND", before, F.col("logged_at")).alias("seconds_since"))
 
 
 @query("""WITH g AS (SELECT source, target, n FROM (SELECT c.o_orderpriority AS source, l.l_returnflag AS target, count(*) AS n FROM orders c JOIN lineitem l ON l.l_orderkey = c.o_orderkey GROUP BY 1, 2))

@@ -86,12 +86,6 @@ def struct_overlap(t):
     return r.top_k(struct_scores(t), 5)
 
 
-@query(f"""WITH {TFIDF}, a AS ({_RANKED.format(src='bm', k=50)}), b AS ({_RANKED.format(src='tf', k=50)}), f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) {_RANKED.format(src='f', k=5)}""")
-def rrf_fusion(t):
-    """The best 50 of two channels, fused, as the SQL has it; rrf_hybrid is the whole fusion."""
-    return r.top_k(r.fused_ranks([r.top_k(bm25(t), 50), r.top_k(tfidf(t), 50)]), 5)
-
-
 @query(f"""WITH {TFIDF}, u AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-12 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS score FROM bm WINDOW w AS (PARTITION BY query_id)),
 h AS (SELECT query_id, doc_id, sum(s) AS score FROM (SELECT query_id, doc_id, score * {fixed.MIX_WEIGHTS['bm25']} AS s FROM u UNION ALL SELECT query_id, doc_id, score * {fixed.MIX_WEIGHTS['word']} FROM tf) GROUP BY 1, 2) {_RANKED.format(src='h', k=5)}""")
 def weighted_hybrid(t):
@@ -179,13 +173,13 @@ VOTES = f"""{HITS}, votes AS (SELECT query_id, family, evidence, support, row_nu
 
 @query(f"WITH {VOTES} SELECT query_id, family, evidence, support, rank FROM votes")
 def family_evidence(t):
-    """AG27, AG29, RC1."""
+    """AG27: votes of the hits by family."""
     return e.family_votes(hits(t))
 
 
 @query(f"WITH {VOTES} SELECT query_id, max(evidence) FILTER (rank = 1) AS top, coalesce(max(evidence) FILTER (rank = 2), 0) AS second, round(max(evidence) FILTER (rank = 1) - coalesce(max(evidence) FILTER (rank = 2), 0), 6) AS margin FROM votes GROUP BY 1")
 def top_margin(t):
-    """WN8, WN17."""
+    """WN8."""
     v = e.family_votes(hits(t)).filter("rank <= 2")
     first, second = F.max(F.when(F.col("rank") == 1, F.col("evidence"))), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("evidence"))), F.lit(0.0))
     return v.groupBy("query_id").agg(first.alias("top"), second.alias("second"), F.round(first - second, 6).alias("margin"))
@@ -194,7 +188,7 @@ def top_margin(t):
 @query(f"""WITH {VOTES}, m AS (SELECT query_id, max(support) FILTER (rank = 1) AS support, max(evidence) FILTER (rank = 1) AS top, coalesce(max(evidence) FILTER (rank = 2), 0) AS second, sum(evidence) AS total FROM votes GROUP BY 1)
 SELECT query_id, CASE WHEN support >= 3 AND (top - second) / total >= 0.08 AND top / total >= 0.75 THEN 'strong' WHEN support >= 2 AND (top - second) / total >= 0.03 AND top / total >= 0.5 THEN 'moderate' WHEN support = 1 THEN 'limited' ELSE 'exploratory' END AS tier FROM m""")
 def evidence_tiers(t):
-    """RC3, RC2, D14."""
+    """RC3."""
     v = e.family_votes(hits(t))
     at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
     m = v.groupBy("query_id").agg(at(1, "support").alias("support"), at(1, "evidence").alias("top"), F.coalesce(at(2, "evidence"), F.lit(0.0)).alias("second"), F.sum("evidence").alias("total"))
@@ -213,20 +207,20 @@ def ranks(t):
 
 @query(f"WITH {RANKS} SELECT count(*) AS queries, round(avg((coalesce(rank, 1000000) <= 1)::INT), 6) AS hit_1, round(avg((coalesce(rank, 1000000) <= 3)::INT), 6) AS hit_3, round(avg((coalesce(rank, 1000000) <= 5)::INT), 6) AS hit_5, round(avg(coalesce(1 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg_5 FROM ranks")
 def rank_metrics(t):
-    """EV1, EV2, EV4, EV7."""
+    """EV1."""
     return e.rank_metrics(ranks(t))
 
 
 @query(f"WITH {RANKS} SELECT true_family AS family, count(*) AS queries, round(avg((coalesce(rank, 0) = 1)::INT), 6) AS recall FROM ranks GROUP BY 1")
 def family_recall(t):
-    """AG28, AG31."""
+    """Recall by family."""
     return ranks(t).groupBy(F.col("true_family").alias("family")).agg(F.count("*").alias("queries"), F.round(F.avg((F.coalesce("rank", F.lit(0)) == 1).cast("int")), 6).alias("recall"))
 
 
 @query(f"""WITH {HITS}, gr AS (SELECT query_id, rank, (CASE WHEN family = true_family THEN 2 WHEN family <> 'Other' THEN 1 ELSE 0 END) AS grade FROM hit), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS best FROM gr),
 s AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 5 THEN (pow(2, grade) - 1) / log2(best + 1) ELSE 0 END) AS ideal FROM i GROUP BY 1) SELECT query_id, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg_5 FROM s""")
 def graded_ndcg(t):
-    """EV5, EV6."""
+    """EV5."""
     from pyspark.sql import Window
 
     grade = F.when(F.col("family") == F.col("true_family"), 2).when(F.col("family") != "Other", 1).otherwise(0)
@@ -276,7 +270,7 @@ def bootstrap_interval(t):
 
 @query(f"WITH {SCORED}, b AS (SELECT round, sum(w * ((p >= 0.8)::INT = y)::INT) / sum(w) AS first, sum(w * ((p >= 0.6)::INT = y)::INT) / sum(w) AS second FROM (SELECT round, p, y, {_POISSON} AS w FROM (SELECT round, p, y, ('0x' || substr(md5(round || ':' || k), 1, 8))::BIGINT / 4294967296.0 AS u FROM sc, (SELECT unnest(generate_series(1, 100)) AS round))) GROUP BY 1) SELECT round(avg(first - second), 6) AS difference, round(avg((first - second <= 0)::INT), 6) AS p_value FROM b")
 def paired_bootstrap(t):
-    """EV8, XT18."""
+    """EV8."""
     right = lambda cut: ((F.col("p") >= cut).cast("int") == F.col("y")).cast("int")
     b = e.bootstrap(scored(t), "k", 100, a=right(0.8), b=right(0.6), n=F.lit(1)).withColumn("d", F.col("a") / F.col("n") - F.col("b") / F.col("n"))
     return b.agg(F.round(F.avg("d"), 6).alias("difference"), F.round(F.avg((F.col("d") <= 0).cast("int")), 6).alias("p_value"))
@@ -366,7 +360,7 @@ def normalized_clusters(t):
 
 @query(f"""WITH {CASES}, f AS (SELECT record_id, unnest(list_distinct(faults)) AS fault FROM cases), c AS (SELECT fault, count(*) AS n FROM f GROUP BY 1) SELECT record_id, c.fault AS anchor, c.n AS support FROM f JOIN c USING (fault) WHERE c.n >= 20""")
 def anchor_support(t):
-    """AG32, RC4, RC6: how many records stand behind each record's faults; counts are pre-aggregated before the join."""
+    """How many records stand behind each record's faults; counts are pre-aggregated before the join."""
     faults = cases(t).select("record_id", F.explode(F.array_distinct("faults")).alias("anchor"))
     return faults.join(faults.groupBy("anchor").agg(F.count("*").alias("support")).filter("support >= 20"), "anchor")
 

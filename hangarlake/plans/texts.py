@@ -94,18 +94,36 @@ def family_classify(t):
     return rows.withColumn("action_role", x.action_role("action_family"))
 
 
-@query()
+_LOC = _escaped(fixed.LOCATION)
+_FORMS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in fixed.LOCATION_FORMS.items()) + "}"
+_ORDERED = "[v FOR v, i IN {l} IF list_position({l}, v) = i]"
+
+
+@query(rf"""WITH {CORPUS}, l AS (SELECT record_id, [regexp_replace(trim(v), '\s+', ' ', 'g') FOR v IN regexp_extract_all(lower(coalesce(full_text, '')), '{_LOC}', 1)] AS l FROM corpus),
+k AS (SELECT record_id, [regexp_replace(coalesce({_FORMS}[replace(v, ' ', '')], v), '^(?:no\.?|number)\s*([0-9])', '#\1') FOR v IN l] AS l FROM l) SELECT record_id, {_ORDERED.format(l='l')} AS locations FROM k""")
 def ordered_locations(t):
     """STR18."""
     return corpus(t).select("record_id", x.locations("full_text").alias("locations"))
 
 
-@query()
+@query(f"""WITH {CORPUS}, p AS (SELECT '\\b(' || string_agg(regexp_escape(lower(term)), '|' ORDER BY length(term) DESC, lower(term)) || ')\\b' AS p FROM canonical_term WHERE kind = 'component'),
+k AS (SELECT record_id, regexp_extract_all(lower(coalesce(full_text, '')), p, 1) AS l FROM corpus, p) SELECT record_id, {_ORDERED.format(l='l')} AS components FROM k""")
 def ordered_components(t):
-    """STR16, STR17: names found in the text, longest first, as their canonical entry."""
+    """STR17: names found in the text, longest first."""
     return n.named_components(corpus(t), t.canonical_term, "record_id", "full_text")
 
 
+_WORDS = """d AS (SELECT map_from_entries(list(struct_pack(k := key, v := expansion))) AS d FROM (SELECT lower(abbrev) AS key, min(expansion) AS expansion FROM abbreviation GROUP BY 1 HAVING count(DISTINCT expansion) = 1
+  UNION ALL SELECT lower(misspelling), min(correction) FROM misspelling WHERE length(misspelling) >= 4 AND lower(misspelling) NOT IN (SELECT lower(abbrev) FROM abbreviation) GROUP BY 1 HAVING count(DISTINCT correction) = 1))"""
+
+
+@query(f"""WITH {CORPUS}, {_WORDS}, p AS (SELECT '\\b(' || string_agg(regexp_escape(lower(term)), '|' ORDER BY length(term) DESC, lower(term)) || ')\\b' AS p FROM canonical_term WHERE kind = 'component'),
+k AS (SELECT record_id, regexp_extract_all(array_to_string([coalesce(d.d[w], w) FOR w IN regexp_extract_all(lower(coalesce(full_text, '')), '[a-z0-9]+|[^a-z0-9]+')], ''), p, 1) AS l FROM corpus, p, d) SELECT record_id, {_ORDERED.format(l='l')} AS components FROM k""")
+def canonical_components(t):
+    """STR16: names found in any known spelling of their words, as their canonical entry."""
+    return n.named_components(corpus(t), t.canonical_term, "record_id", "full_text", synonyms=n.dictionary(t.abbreviation, t.misspelling))
+
+
 @query(r"""WITH c AS (SELECT ident, trim(regexp_replace(coalesce(problem, ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(action, ''), '\s+', ' ', 'g')) AS b FROM work_order)
 SELECT ident, CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN regexp_matches(a, '[.!?]$') THEN a || ' ' || b ELSE a || '. ' || b END AS text,
   translate(b, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS upper_action FROM c""")
@@ -117,7 +135,7 @@ def combined_text(t):
 @query("""SELECT ident, CASE """ + " ".join(f"WHEN regexp_matches(action, '(?i)^{a}\\b') THEN regexp_replace(action, '(?i)^{a}\\b', '{b}')" for a, b in fixed.IMPERATIVES) + """ ELSE action END AS step,
   regexp_matches(lower(coalesce(action, '')), 'check|run ?up|leak|ops|inspect') AS verified FROM work_order""")
 def imperative_steps(t):
-    """STR27, STR28, STR29."""
+    """STR27, STR29."""
     return t.work_order.select("ident", x.imperative("action").alias("step"), F.lower(F.coalesce("action", F.lit(""))).rlike("check|run ?up|leak|ops|inspect").alias("verified"))
 
 
@@ -125,7 +143,7 @@ def imperative_steps(t):
 SELECT ident, pos - 1 AS pos, token, regexp_replace(regexp_replace(regexp_replace(token, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'd', 'g') AS shape, left(lower(token), 3) AS prefix, right(lower(token), 3) AS suffix,
   regexp_matches(token, '[0-9]') AS digit, contains(token, '/') AS slash, lag(lower(token)) OVER g AS before, lead(lower(token)) OVER g AS after FROM w WINDOW g AS (PARTITION BY ident ORDER BY pos)""")
 def token_features(t):
-    """STR32, WN6, IE5: shape, affixes and neighbours, from the array itself, without an exchange."""
+    """STR32, WN6: shape, affixes and neighbours, from the array itself, without an exchange."""
     w, i = F.col("tokens"), F.col("pos")
     rows = t.gold_annotation.select("ident", "tokens", F.posexplode("tokens").alias("pos", "token"))
     near = lambda j: F.when((j >= 0) & (j < F.size(w)), F.lower(F.get(w, j)))
@@ -154,9 +172,10 @@ def _pairs(t):
 @query(f"""WITH {PAIRS_SQL}, k AS (SELECT *, regexp_extract_all(lower(raw), '[a-z0-9]+') AS a, regexp_extract_all(lower(reference), '[a-z0-9]+') AS b FROM pairs)
 SELECT ident, raw, CASE WHEN raw = '' OR reference = '' THEN 'unmatched_or_empty' WHEN raw = reference THEN 'unchanged' WHEN lower(raw) = lower(reference) THEN 'formatting_only'
   WHEN len(a) > 0 AND len(b) > 0 AND starts_with(b[-1], a[-1]) AND length(b[-1]) >= length(a[-1]) + 2 AND NOT regexp_matches(raw, '[.!?]$') THEN 'possible_truncation_reconstruction'
-  WHEN greatest(0, len(b) - len(a)) / greatest(1, len(a)) > 0.35 THEN 'possible_unsupported_addition' ELSE 'lexical_edit' END AS category FROM k""")
+  WHEN greatest(0, len(b) - len(a)) / greatest(1, len(a)) > 0.35 THEN 'possible_unsupported_addition'
+  WHEN len(list_filter([i FOR i IN range(1, least(len(a), len(b)) + 1)], lambda i: length(a[i]) <= 5 AND length(b[i]) > 5)) > 0 THEN 'possible_abbreviation_expansion' ELSE 'lexical_edit' END AS category FROM k""")
 def pair_categories(t):
-    """STR23, STR24, JN15: how two versions of a text differ."""
+    """How two versions of a text differ, without the likeness, which SQL lacks; pair_audit has it."""
     return _pairs(t).select("ident", "raw", n.pair_category("raw", "reference").alias("category"))
 
 
@@ -173,7 +192,7 @@ def text_predicates(t):
 m AS (SELECT lower(misspelling) AS key, min(correction) AS expansion FROM misspelling WHERE length(misspelling) >= 4 GROUP BY 1 HAVING count(DISTINCT correction) = 1)
 SELECT key, expansion, 'abbreviation' AS kind FROM g WHERE n = 1 UNION ALL SELECT key, expansion, 'misspelling' FROM m WHERE key NOT IN (SELECT key FROM g)""")
 def dictionary_build(t):
-    """NRM1, XT32: unambiguous entries; abbreviations before misspellings."""
+    """NRM1: unambiguous entries; abbreviations before misspellings."""
     return n.dictionary(t.abbreviation, t.misspelling)
 
 
@@ -188,7 +207,7 @@ def dictionary_apply(t):
 
 @query()
 def rules_normalizer(t):
-    """NRM2, NRM3, NRM4, NRM9, XT13: phrases, numbers, symbols; protected values stay."""
+    """NRM2, NRM9: phrases, numbers, symbols; protected values stay."""
     return n.normalized_by_rules(t.work_order, "ident", "problem", n.dictionary(t.abbreviation, t.misspelling))
 
 
@@ -238,7 +257,7 @@ def word_error_rate(t):
 v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(term), '[a-z]+')) AS w FROM canonical_term)
 SELECT dataset_id, count(*) AS tokens, count(DISTINCT w) AS types, round(avg((w NOT IN (SELECT w FROM v))::INT), 6) AS oov_rate FROM w GROUP BY 1""")
 def oov_report(t):
-    """AG17, AG24: tokens, types and the share outside a vocabulary, by source."""
+    """AG17: tokens, types and the share outside a vocabulary, by source."""
     words = corpus(t).select("dataset_id", F.explode(x.tokens("full_text", "[a-z]+")).alias("w"))
     known = t.canonical_term.select(F.explode(x.tokens("term", "[a-z]+")).alias("w")).distinct().withColumn("_k", F.lit(1))
     counts = words.groupBy("dataset_id", "w").agg(F.count("*").alias("n")).join(known, "w", "left")
@@ -248,7 +267,7 @@ def oov_report(t):
 @query(f"""WITH {CORPUS} SELECT record_id, 'silver_rules' AS label, problem_text AS raw, 'normalize problem: ' || problem_text AS prompt FROM corpus
 WHERE trim(coalesce(problem_text, '')) <> '' AND record_id NOT IN (SELECT ident FROM gold_annotation WHERE ident IS NOT NULL)""")
 def silver_set(t):
-    """NRM15, NRM13, STR31, JN7, XT15: records outside the held-out ones, labelled."""
+    """NRM15, JN7, XT15: records outside the held-out ones, labelled."""
     held = t.gold_annotation.select(F.col("ident").alias("record_id"))
     rows = corpus(t).filter("trim(coalesce(problem_text, '')) <> ''").join(held, "record_id", "left_anti")
     return rows.select("record_id", F.lit("silver_rules").alias("label"), F.col("problem_text").alias("raw"), F.concat(F.lit("normalize problem: "), "problem_text").alias("prompt"))
