@@ -161,7 +161,8 @@ def _thinned(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray, level: in
     many = np.bincount(owner, minlength=len(sizes))
     keep = (many >= np.maximum(need, level))[owner]
     share = np.minimum(1.0, _kept(level) / np.maximum(many, 1))
-    keep &= ((share[owner] >= 1) & (turn == 0)) | ((share[owner] < 1) & _sampled(tokens, share[owner], 0x77 + 0x1000 * turn))
+    if turn or (share < 1).any():
+        keep &= ((share[owner] >= 1) & (turn == 0)) | ((share[owner] < 1) & _sampled(tokens, share[owner], 0x77 + 0x1000 * turn))
     need = np.where(share < 1, np.maximum(level, (need * share * threshold).astype(np.int64)), need)
     return tokens[keep], owner[keep], need
 
@@ -195,6 +196,7 @@ def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: flo
 def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket: int, crowded: list[np.ndarray], k: int | None):
     """Of texts, where k is given and the frequent tokens are sent along; else of (sig, size, frequent tokens)."""
     known = crowded[level - 2] if level > 2 and len(crowded) >= level - 1 else None
+    turns = _turns(level, threshold, rate, recall)
 
     def sets(batches):
         if k is not None:
@@ -212,7 +214,7 @@ def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket
         for sig, sizes, tokens, owner in sets(batches):
             count = np.bincount(owner, minlength=len(sig))
             pack = _pack(sizes, tv.bitmaps(np.concatenate([[0], np.cumsum(count)]), tokens, False)[0], count)
-            for turn in range(_turns(level, threshold, rate, recall)):
+            for turn in range(turns if (count > _kept(level)).any() else 1):
                 some_tokens, some_owner, need = _thinned(tokens, owner, sizes, level, threshold, turn)
                 order = np.lexsort((some_tokens, some_owner))
                 some_tokens, some_owner = some_tokens[order], some_owner[order]
