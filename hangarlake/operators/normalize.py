@@ -131,6 +131,23 @@ def learned_replacements(pairs: DataFrame) -> DataFrame:
     return found.groupBy("source").agg(best.alias("b")).select("source", "b.target", "b.n")
 
 
+def replaced(df: DataFrame, key: str, text: str, learned: DataFrame) -> DataFrame:
+    """(key, text, reference, applied): words exchanged by a table of replacements; it may be large, so the words are joined with it."""
+    words = df.select(key, text, "reference", F.posexplode(F.split(text, r"\s+")).alias("_at", "_w"))
+    found = words.join(learned.select(F.col("source").alias("_k"), "target"), F.lower("_w") == F.col("_k"), "left")
+    again = found.groupBy(key, text, "reference").agg(F.sort_array(F.collect_list(F.struct("_at", F.coalesce("target", "_w").alias("w")))).alias("_l"))
+    return again.select(key, text, "reference", F.array_join(F.transform("_l", lambda v: v["w"]), " ").alias("applied"))
+
+
+def layered(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(key, expansion, origin): entries of several dictionaries; of a key's the earliest one counts."""
+    rows = None
+    for place, (origin, df) in enumerate(parts):
+        one = df.select("key", F.struct(F.lit(place).alias("place"), "expansion", F.lit(origin).alias("origin")).alias("_e"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("key").agg(F.min("_e").alias("_e")).select("key", "_e.expansion", "_e.origin")
+
+
 def names(terms: DataFrame, kind: str) -> list[str]:
     """The names of a list's kind in lower case, longest first; more than a literal of the plan may hold is a ValueError."""
     rows = terms.filter(F.col("kind") == kind).select(F.lower("term")).distinct().limit(ENTRIES + 1).collect()

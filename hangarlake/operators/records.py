@@ -54,3 +54,39 @@ def quotas(counts: DataFrame, group: str, total: int) -> DataFrame:
     left = F.lit(total) - F.sum("_floor").over(everything)
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), F.asc(group)))
     return rows.withColumn("_left", left).withColumn("_place", place).select(group, "n", (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("long")).cast("long").alias("quota"))
+
+
+def exact_count(df: DataFrame, rows: int, label: str) -> DataFrame:
+    """``df``, or a ValueError if it hasn't exactly so many rows."""
+    found = df.limit(rows + 1).count()
+    if found != rows:
+        raise ValueError(f"{label}: {'more than' if found > rows else found} {rows if found > rows else f'rows, not {rows}'}")
+    return df
+
+
+def covered(df: DataFrame, column: str) -> DataFrame:
+    """``df``, or a ValueError if the column is null anywhere."""
+    if not df.filter(F.col(column).isNull()).isEmpty():
+        raise ValueError(f"{column} is not known for every row")
+    return df
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join, or a ValueError if a key comes more than once on either side."""
+    for name, df in (("left", left), ("right", right)):
+        if not repeated_keys(df, key).isEmpty():
+            raise ValueError(f"{key} is not unique on the {name} side")
+    return left.join(right, key, "left")
+
+
+def joined_or_zipped(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """An inner join by id with ``method``; by place, in order of the ids, where no id agrees and both sides have as many rows.
+
+    Without a common id and with different counts it is a ValueError: rows are never matched by guess.
+    """
+    found = left.join(right, key)
+    if not found.isEmpty() or left.isEmpty() or right.isEmpty():
+        return found.withColumn("method", F.lit("id"))
+    from hangarlake.sources.tables import zipped
+
+    return zipped(left, right.withColumnRenamed(key, f"other_{key}"), key, f"other_{key}").withColumn("method", F.lit("place"))

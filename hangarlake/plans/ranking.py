@@ -5,17 +5,18 @@ Queries are the work orders whose number is divisible by 100, documents all work
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hangarlake.functions import fixed
 from hangarlake.functions import text as x
 from hangarlake.operators import evaluate as e
-from hangarlake.operators import groups as g
 from hangarlake.operators import retrieval as r
 from hangarlake.operators.radius import text_clusters, text_pairs
 from hangarlake.operators.setjoin import set_members, similar_sets
 from hangarlake.plans.insights import CASES, cases
 from hangarlake.plans.registry import query
+from hangarlake.session import cut
 
 _IS_QUERY = "CAST(substr({c}, 3) AS BIGINT) % 100 = 0"
 
@@ -150,8 +151,10 @@ def hits(t, k: int = 10):
     facts = cases(t).select("record_id", F.coalesce("cluster_id", "record_id").alias("cluster"), F.col("action_family").alias("family"))
     scores = bm25(t).withColumn("score", F.round("score", 6)).filter("doc_id <> query_id")
     joined = scores.join(facts.withColumnRenamed("record_id", "doc_id"), "doc_id").join(facts.select(F.col("record_id").alias("query_id"), F.col("cluster").alias("own"), F.col("family").alias("true_family")), "query_id").filter("cluster <> own")
-    best = g.diversified(joined, "query_id", "cluster", "score", "doc_id", k)
-    return best.join(joined.select("query_id", "doc_id", "family", "true_family"), ["query_id", "doc_id"])
+    # The best document of a cluster carries its family along, so nothing is joined back.
+    best = joined.groupBy("query_id", "cluster", "true_family").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_id", "family")).alias("b"))
+    rows = best.select("query_id", "cluster", "true_family", "b.doc_id", "b.family", (-F.col("b.s")).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k)
 
 
 @query(f"WITH {HITS} SELECT query_id, doc_id, cluster, score, rank FROM hit")
@@ -199,7 +202,7 @@ RANKS = f"{VOTES}, truth AS (SELECT DISTINCT query_id, true_family FROM hit), ra
 
 
 def ranks(t):
-    found = hits(t)
+    found = cut(hits(t))
     truth = found.select("query_id", "true_family").distinct()
     votes = e.family_votes(found).select("query_id", F.col("family").alias("true_family"), "rank")
     return truth.join(votes, ["query_id", "true_family"], "left")
@@ -221,8 +224,6 @@ def family_recall(t):
 s AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN best <= 5 THEN (pow(2, grade) - 1) / log2(best + 1) ELSE 0 END) AS ideal FROM i GROUP BY 1) SELECT query_id, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg_5 FROM s""")
 def graded_ndcg(t):
     """EV5."""
-    from pyspark.sql import Window
-
     grade = F.when(F.col("family") == F.col("true_family"), 2).when(F.col("family") != "Other", 1).otherwise(0)
     rows = hits(t).withColumn("grade", grade).withColumn("best", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "rank")))
     gain = lambda c: F.sum(F.when(F.col(c) <= 5, (F.pow(F.lit(2.0), "grade") - 1) / F.log2(F.col(c) + 1)).otherwise(0.0))

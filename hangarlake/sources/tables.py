@@ -80,15 +80,19 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def zipped(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
-    """Two tables of equal length side by side, by the place of a shared order column; lengths are checked.
+def zipped(left: DataFrame, right: DataFrame, order: str, right_order: str | None = None, equal: tuple[str, str] | None = None) -> DataFrame:
+    """Two tables of equal length side by side, by the place in each one's order; lengths are checked, and so are two columns that must agree.
 
     Places come from partition offsets, not from one sorted task.
     """
     a, b = left.count(), right.count()
     if a != b:
         raise ValueError(f"{a} and {b} rows can't be zipped")
-    return numbered(left, order).join(numbered(right.drop(order), None) if order not in right.columns else numbered(right, order).drop(order), "_place").drop("_place")
+    second = numbered(right, right_order or order)
+    rows = numbered(left, order).join(second if right_order else second.drop(order), "_place").drop("_place")
+    if equal and not rows.filter(~F.col(equal[0]).eqNullSafe(F.col(equal[1]))).isEmpty():
+        raise ValueError(f"{equal[0]} and {equal[1]} don't agree")
+    return rows
 
 
 def numbered(df: DataFrame, order: str | None) -> DataFrame:
