@@ -116,3 +116,38 @@ def bio_of_spans(tokens: str, entities: str) -> Column:
     tag = lambda i: F.get(F.filter(F.col(entities), lambda v: (v["start_pos"] <= i) & (i < v["end_pos"])), F.lit(0))
     one = lambda i: F.when(tag(i).isNull(), "O").when(tag(i)["start_pos"] == i, F.concat(F.lit("B-"), tag(i)["entity_type"])).otherwise(F.concat(F.lit("I-"), tag(i)["entity_type"]))
     return F.when(F.size(tokens) > 0, F.transform(place, one)).otherwise(F.array().cast("array<string>"))
+
+
+def flattened(entities: str) -> Column:
+    """Spans without overlaps: in order of their begins, the longest first of those that begin together, each that begins behind the last one kept."""
+    order = F.array_sort(F.col(entities), lambda a, b: F.when(a["start_pos"] != b["start_pos"], a["start_pos"] - b["start_pos"]).otherwise(b["end_pos"] - a["end_pos"]))
+    start = F.slice(order, 1, 0)
+    return F.aggregate(order, start, lambda kept, v: F.when(F.coalesce(F.try_element_at(kept, F.lit(-1))["end_pos"] <= v["start_pos"], F.lit(True)), F.concat(kept, F.array(v))).otherwise(kept))
+
+
+def without_types(df: DataFrame, dropped: tuple[str, ...]) -> DataFrame:
+    """Rows of (entities, relations by place) without the spans of some types; relations keep their ends under the new places, or go with them."""
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("entities") - 1, F.lit(0))), lambda i: F.coalesce(~F.get("entities", i)["entity_type"].isin(*dropped), F.lit(False)))
+    rows = df.withColumn("_keep", places)
+    at = lambda i: (F.array_position("_keep", i) - 1).cast("int")
+    stay = F.filter("relations", lambda r: F.array_contains("_keep", r["head_pos"]) & F.array_contains("_keep", r["tail_pos"]))
+    moved = F.transform(stay, lambda r: F.struct(r["relation_type"].alias("relation_type"), at(r["head_pos"]).alias("head_pos"), at(r["tail_pos"]).alias("tail_pos")))
+    return rows.withColumn("relations", moved).withColumn("entities", F.filter("entities", lambda v: ~v["entity_type"].isin(*dropped))).drop("_keep")
+
+
+def enumerated_spans(df: DataFrame, tokens: str, most: int) -> DataFrame:
+    """(..., begin, end) of every span of up to ``most`` tokens, from the row itself."""
+    rows = df.withColumn("begin", F.explode(F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1))))
+    return rows.withColumn("end", F.explode(F.sequence(F.col("begin") + 1, F.least(F.col("begin") + most, F.size(tokens)))))
+
+
+def character_span(tokens: str, begin: Column, end: Column) -> tuple[Column, Column]:
+    """A token span's places in the tokens' text, with one blank between tokens."""
+    upto = lambda n: F.length(F.array_join(F.slice(tokens, 1, n), " "))
+    return F.when(begin == 0, 0).otherwise(upto(begin) + 1), upto(end)
+
+
+def snapped(tokens: str, begin: Column, end: Column) -> tuple[Column, Column]:
+    """The least token span that holds two places of the tokens' text: what a marking that cuts words is widened to."""
+    ends = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda n: F.length(F.array_join(F.slice(tokens, 1, n), " ")))
+    return F.size(F.filter(ends, lambda v: v <= begin)), F.size(F.filter(ends, lambda v: v < end)) + 1

@@ -114,3 +114,13 @@ def json_safe(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     bad = lambda c: F.isnan(c) | F.abs(c).eqNullSafe(F.lit(float("inf")))
     return df.select(*[F.when(~bad(F.col(c)), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+
+
+def represented(df: DataFrame, key: str, text: str, forms: dict, name: str) -> DataFrame:
+    """(key, text, representation) in one of several forms; a form is unknown or changes the set of ids: ValueError."""
+    if name not in forms:
+        raise ValueError(f"no representation {name!r}; there are {', '.join(sorted(forms))}")
+    rows = df.select(key, forms[name](F.col(text)).alias("text"), F.lit(name).alias("representation"))
+    if not df.select(key).exceptAll(rows.filter("text is not null").select(key)).isEmpty():
+        raise ValueError(f"the representation {name!r} has other ids than the raw one")
+    return rows
