@@ -6,7 +6,7 @@ from importlib import import_module
 
 from hangarlake.plans.registry import QUERIES, SQL
 
-MODULES = ("texts", "insights", "graph", "groups", "ranking", "cases", "systems", "annotation")
+MODULES = ("texts", "insights", "graph", "groups", "ranking", "cases", "systems", "annotation", "advice")
 
 
 def _load() -> None:
