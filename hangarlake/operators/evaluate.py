@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hangarlake.sources.tables import numbered
+
 
 def family_votes(hits: DataFrame, how: str = "max") -> DataFrame:
     """(query_id, family, evidence, support, rank): families by the sum over clusters of each cluster's best (or whole) score."""
@@ -39,20 +41,17 @@ def calibration_error(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, key: str) -> DataFrame:
-    """Accuracy of the surest ceil(n * c) rows for c = 0.1 ... 1.
+    """Accuracy of the surest ceil(n * c) rows for c = 0.1 ... 1; of equally sure ones the smaller key comes first.
 
-    Rows are counted by their probability first, so the running sums go over
-    distinct probabilities; ties at a cut share its accuracy by order of the
-    key only within that probability.
+    Places come from a range-partitioned sort, so no task holds all rows, nor
+    all rows of one probability; then one aggregation has every coverage.
     """
-    groups = df.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    run = groups.select("p", "n", "y", F.sum("n").over(order).alias("upto"), F.sum("y").over(order).alias("right"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    cuts = run.withColumn("tenth", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumn("want", F.ceil(F.col("all") * F.col("tenth") / 10))
-    at = cuts.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
-    first = df.withColumn("_place", F.row_number().over(Window.partitionBy("p").orderBy(key))).select("p", "_place", F.col("y").alias("_y"))
-    inside = at.join(first, "p").filter(F.col("_place") <= F.col("want") - (F.col("upto") - F.col("n"))).groupBy("tenth").agg(F.sum("_y").alias("_y"))
-    return at.join(inside, "tenth").select((F.col("tenth") / 10).alias("coverage"), F.col("want").alias("rows"), F.round((F.col("right") - F.col("y") + F.col("_y")) / F.col("want"), 6).alias("accuracy"))
+    placed = numbered(df.select((-F.col("p")).alias("_p_down"), F.col(key).alias("_key"), "y"), "_p_down", "_key")
+    n = placed.agg(F.count("*").alias("n"))
+    want = lambda tenth: F.ceil(F.col("n") * tenth / 10)
+    sums = placed.join(F.broadcast(n)).groupBy("n").agg(*[F.sum(F.when(F.col("_place") < want(i), F.col("y")).otherwise(0)).alias(f"y{i}") for i in range(1, 11)])
+    each = F.explode(F.array(*[F.struct(F.lit(i / 10).alias("coverage"), want(i).alias("rows"), F.round(F.col(f"y{i}") / want(i), 6).alias("accuracy")) for i in range(1, 11)]))
+    return sums.select(each.alias("v")).select("v.*")
 
 
 def bootstrap(df: DataFrame, key: str, rounds: int, **sums: Column) -> DataFrame:

@@ -151,3 +151,11 @@ def snapped(tokens: str, begin: Column, end: Column) -> tuple[Column, Column]:
     """The least token span that holds two places of the tokens' text: what a marking that cuts words is widened to."""
     ends = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda n: F.length(F.array_join(F.slice(tokens, 1, n), " ")))
     return F.size(F.filter(ends, lambda v: v <= begin)), F.size(F.filter(ends, lambda v: v < end)) + 1
+
+
+def projected(text: Column, begin: Column, end: Column) -> tuple[Column, Column, Column]:
+    """(begin, end, text) of a span in the canonical form of its text: lower case, single blanks, none outside."""
+    space = "[ \\t\\n\\r]+"
+    place = lambda n: F.length(F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), n), f"^{space}", ""), space, " "))
+    canonical = F.lower(F.trim(F.regexp_replace(text, space, " ")))
+    return place(begin), place(end), F.substring(canonical, place(begin) + 1, place(end) - place(begin))

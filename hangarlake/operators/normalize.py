@@ -77,6 +77,80 @@ def normalized_by_rules(df: DataFrame, key: str, text: str, words: DataFrame) ->
     return df.select(key, F.col(text).alias("raw"), run(text).alias("r")).select(key, "raw", "r.rules", "r.applied")
 
 
+def aligned_by_rules(df: DataFrame, key: str, text: str, words: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
+    """(key, normalized, steps, expansions): lower-case text with phrases mended first, then entries, number signs and symbols word by word.
+
+    Brackets are dropped. ``steps`` has each token of the mended text with its
+    place, what it became and the rule that applied.
+    """
+    pairs = entries(words)
+    kinds = dict((r[0], r[1]) for r in words.select("key", "kind").limit(ENTRIES + 1).collect())
+    mended = [(re.compile(rf"\b{re.escape(a)}\b", re.I), b) for a, b in sorted((phrases or {}).items(), key=lambda p: (-len(p[0]), p[0]))]
+    symbols = {"&": "and", "@": "at", "+": "plus", "=": "equals", "#": "number"}
+
+    def became(token: str, kind: str) -> tuple[str, str]:
+        low = token.lower()
+        if token in "()":
+            return "", "drop_bracket"
+        if kind == "numref":
+            return f"number {low.lstrip('#').strip()}", "numref"
+        if kind == "symbol" and token in symbols:
+            return symbols[token], "symbol"
+        return (pairs[low], kinds.get(low, "entry")) if kind in ("word", "slash") and low in pairs else (low, "keep")
+
+    @F.pandas_udf("struct<normalized:string,steps:array<struct<token:string,begin:int,end:int,target:string,rule:string>>,expansions:int>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in texts:
+            plain = align.plain(raw)
+            for pattern, right in mended:
+                plain = pattern.sub(right, plain)
+            steps = [(t, b, e, *became(t, k)) for t, b, e, k in align.typed_tokens(plain) if k != "ws"]
+            rows.append((align.rendered([s[3] for s in steps]), [dict(zip(("token", "begin", "end", "target", "rule"), s, strict=True)) for s in steps], sum(s[4] not in ("keep", "drop_bracket") for s in steps)))
+        return pd.DataFrame(rows, columns=["normalized", "steps", "expansions"])
+
+    return df.select(key, run(text).alias("r")).select(key, "r.*")
+
+
+def shielded_by_rules(text: Column, words: DataFrame) -> Column:
+    """Upper-case text with entries, longest first, and number signs written out; protected values come through letter for letter.
+
+    A text is taken apart into protected values and what lies between, and only the latter is rewritten.
+    """
+    shield = "|".join(f"(?:{p})" for p in x.fixed.PROTECTED)
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?is)({shield})|((?:(?!{shield}).)+)"), F.lit(0))
+
+    def rewritten(piece: Column) -> Column:
+        out = piece
+        for a, b in sorted(entries(words).items(), key=lambda p: (-len(p[0]), p[0])):
+            out = F.regexp_replace(out, rf"(?i)(?<![A-Za-z0-9_]){re.escape(a)}(?![A-Za-z0-9_])", b.replace("\\", "\\\\").replace("$", "\\$"))
+        return F.upper(F.regexp_replace(out, r"#\s*([0-9]+)", "number $1"))
+
+    each = F.transform(pieces, lambda v: F.when(v.rlike(rf"(?i)^(?:{shield})$"), v).otherwise(rewritten(v)))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(each, ""), r"\s+", " "), r"\s+([,.;:!?])", "$1"))
+
+
+def rewrite_problems(source: Column, rules: Column, candidate: Column) -> Column:
+    """What speaks against a rewriting that a model made: numbers, identifiers or directions that changed, new number words, a length out of all proportion."""
+    number = r"[0-9]+(?:[.,][0-9]+)?"
+    values = lambda c, p: F.array_sort(F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(p), F.lit(0)), lambda v: F.replace(v, F.lit(","), F.lit("."))))
+    words = r"\b(?:" + "|".join((*x.fixed.ONES, *x.fixed.TENS, "hundred", "thousand", "million")) + r")\b"
+    parts = r"\b(?=[a-z0-9-]*[0-9])(?=[a-z0-9-]*[a-z])[a-z0-9-]{4,}\b"
+    directions = r"\b(?:left|right|upper|lower|front|rear|forward|aft|inboard|outboard|top|bottom)\b"
+    sets = lambda c, p: F.array_distinct(values(c, p))
+    size = F.length(F.coalesce(rules, F.lit("")))
+    checks = {
+        "empty": F.trim(F.coalesce(candidate, F.lit(""))) == "",
+        "numbers": values(source, number) != values(candidate, number),
+        "number_words": F.size(F.array_except(sets(candidate, words), sets(rules, words))) > 0,
+        "identifiers": values(source, parts) != values(candidate, parts),
+        "directions": F.array_sort(sets(rules, directions)) != F.array_sort(sets(candidate, directions)),
+        "too_long": F.length(candidate) > F.greatest(F.lit(5000), size * 3 + 80),
+        "too_short": F.length(candidate) < F.greatest(F.lit(3), F.floor(size * 0.35)),
+    }
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda v: v.isNotNull())
+
+
 def guarded(source: Column, candidate: Column) -> Column:
     """Whether a rewriting keeps every protected value and adds no number."""
     upper = F.upper(F.coalesce(candidate, F.lit("")))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hangarlake.session import cut
+from hangarlake.session import cut, sent
+
+#: Sets that begin with one element from which its pairs are made by several tasks.
+PART = 2048
 
 
 def _sets(df: DataFrame, key: str, elements: str) -> DataFrame:
@@ -32,8 +35,13 @@ def similar_sets(df: DataFrame, key: str, elements: str, threshold: float) -> Da
     counts = one.groupBy("e").agg(F.count("*").alias("df"))
     ordered = one.join(counts, "e").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("o"))
     prefix = ordered.select("k", "n", F.explode(F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("x")).select("k", "n", "x.e")
-    a, b = (prefix.select(F.col("k").alias(x), F.col("n").alias(f"n_{x}"), "e") for x in "ab")
-    pairs = a.join(b, "e").filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
+    prefix = cut(prefix)
+    # An element that many sets begin with is divided into parts, so that its pairs are made by many tasks.
+    hot = sent(cut(prefix.groupBy("e").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")))
+    part, marked = F.coalesce("parts", F.lit(1)), prefix.join(hot, "e", "left")
+    a = marked.select(F.col("k").alias("a"), F.col("n").alias("n_a"), "e", F.explode(F.sequence(F.lit(0), part - 1)).alias("part"))
+    b = marked.select(F.col("k").alias("b"), F.col("n").alias("n_b"), "e", F.pmod(F.xxhash64("k"), part).cast("int").alias("part"))
+    pairs = a.join(b, ["e", "part"]).filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
     left, right = (sets.select(F.col("k").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("likeness", shared / (F.size("s_a") + F.size("s_b") - shared))

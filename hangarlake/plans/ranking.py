@@ -279,33 +279,43 @@ def paired_bootstrap(t):
 
 @query()
 def calibration_model(t):
-    """CA1: a logistic calibration fitted on half of the rows by digest, applied to the others."""
+    """CA1: how likely a query's leading family is right, from its evidence, margin and support; fitted on half of the queries by digest, applied to the others."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    rows = VectorAssembler(inputCols=["p"], outputCol="raw").transform(scored(t).withColumn("half", F.pmod(F.xxhash64("k"), F.lit(2))))
+    found = cut(hits(t))
+    votes = e.family_votes(found)
+    at = lambda k, c: F.coalesce(F.max(F.when(F.col("rank") == k, F.col(c))), F.lit(0.0))
+    best = votes.groupBy("query_id").agg(at(1, "evidence").alias("top"), (at(1, "evidence") - at(2, "evidence")).alias("margin"), F.max(F.when(F.col("rank") == 1, F.col("support"))).cast("double").alias("support"), F.max(F.when(F.col("rank") == 1, F.col("family"))).alias("family"))
+    rows = best.join(found.select("query_id", "true_family").distinct(), "query_id").withColumn("y", (F.col("family") == F.col("true_family")).cast("int"))
+    rows = cut(VectorAssembler(inputCols=["top", "margin", "support"], outputCol="raw").transform(rows).withColumn("half", F.pmod(F.xxhash64("query_id"), F.lit(2))))
     dev = rows.filter("half = 0")
+    if dev.isEmpty():
+        return rows.select("query_id", "top", "margin", "support", F.lit(None).cast("double").alias("calibrated"), "y")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(dev)
     model = LogisticRegression(featuresCol="features", labelCol="y", maxIter=50).fit(scaler.transform(dev))
-    return model.transform(scaler.transform(rows.filter("half = 1"))).select("k", "p", F.round(vector_to_array("probability")[1], 4).alias("calibrated"), "y")
+    return model.transform(scaler.transform(rows.filter("half = 1"))).select("query_id", "top", "margin", "support", F.round(vector_to_array("probability")[1], 4).alias("calibrated"), "y")
 
 
 @query()
 def relation_model(t):
-    """IE6, IE8: whether a pair of entities is related, from their types, order and distance, with balanced weights."""
+    """IE8: whether a pair of entities is related, from their types, order and distance, with balanced weights; fitted on half of the records, scored on the others."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import FeatureHasher
 
-    rows = t.maintenance_record.groupBy("record_id").agg(F.max_by(F.struct("entities", "relations"), "received_at").alias("r")).select("record_id", "r.*")
-    pairs = rows.select("record_id", "relations", "entities", F.explode("entities").alias("a")).select("record_id", "relations", "a", F.explode("entities").alias("b")).filter("a.entity_id <> b.entity_id")
+    rows = t.maintenance_record.groupBy("record_id").agg(F.max_by(F.struct("full_text", "entities", "relations"), "received_at").alias("r")).select("record_id", "r.*")
+    pairs = rows.select("record_id", "full_text", "relations", "entities", F.explode("entities").alias("a")).select("record_id", "full_text", "relations", "a", F.explode("entities").alias("b")).filter("a.entity_id <> b.entity_id")
     related = F.exists("relations", lambda v: (v["source_entity_id"] == F.col("a.entity_id")) & (v["target_entity_id"] == F.col("b.entity_id")))
-    data = pairs.select("record_id", F.concat_ws(">", "a.entity_type", "b.entity_type").alias("types"), (F.col("a.start_pos") < F.col("b.start_pos")).cast("string").alias("order"), F.least(F.lit(10), F.floor(F.abs(F.col("a.start_pos") - F.col("b.start_pos")) / 10)).cast("string").alias("distance"), related.cast("int").alias("y"))
-    data = FeatureHasher(inputCols=["types", "order", "distance"], outputCol="features", numFeatures=256).transform(data)
-    share = data.agg(F.avg("y")).first()[0] or 0.5
-    data = data.withColumn("w", F.when(F.col("y") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
-    model = LogisticRegression(labelCol="y", weightCol="w", maxIter=30, regParam=0.001).fit(data)
-    return model.transform(data).groupBy("types", "y", F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
+    low, high = F.least("a.end_pos", "b.end_pos"), F.greatest("a.start_pos", "b.start_pos")
+    between = F.array_join(F.slice(x.tokens(F.substring("full_text", low + 1, F.greatest(high - low, F.lit(0))), "[a-z]+"), 1, 2), " ")
+    data = pairs.select("record_id", F.concat_ws(">", "a.entity_type", "b.entity_type").alias("types"), (F.col("a.start_pos") < F.col("b.start_pos")).cast("string").alias("order"), F.least(F.lit(10), F.floor(F.abs(F.col("a.start_pos") - F.col("b.start_pos")) / 10)).cast("string").alias("distance"), F.coalesce(between, F.lit("")).alias("between"), F.coalesce(related, F.lit(False)).cast("int").alias("y"))
+    data = FeatureHasher(inputCols=["types", "order", "distance", "between"], outputCol="features", numFeatures=1024).transform(data).withColumn("half", F.pmod(F.xxhash64("record_id"), F.lit(2)))
+    fit = data.filter("half = 0")
+    share = fit.agg(F.avg("y")).first()[0] or 0.5
+    weighted = fit.withColumn("w", F.when(F.col("y") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
+    model = LogisticRegression(labelCol="y", weightCol="w", maxIter=30, regParam=0.001).fit(weighted)
+    return model.transform(data.filter("half = 1")).groupBy("types", "y", F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
 
 
 _GRAMS = "(SELECT list_sort(list_distinct([substr(p, i, 3) FOR i IN range(1, length(p) - 1)]))) "

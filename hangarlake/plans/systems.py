@@ -209,3 +209,74 @@ def cluster_conflicts(t):
     """JN16: records that several clusters claim."""
     rows = t.maintenance_record.filter("record_id is not null").groupBy("record_id")
     return rows.agg(F.count_distinct("cluster_id").alias("clusters"), F.min("cluster_id").alias("first_cluster")).filter("clusters > 1")
+
+
+@query()
+def aligned_rules(t):
+    """NRM2, XT13: the rule normalizer in lower case, phrases first, with every token's place, what it became and why."""
+    rows = t.work_order.filter("ident is not null").select("ident", "problem").distinct()
+    return n.aligned_by_rules(rows, "ident", "problem", n.dictionary(t.abbreviation, t.misspelling), {"work order": "order", "out of limits": "beyond limits"})
+
+
+@query()
+def shielded_rules(t):
+    """NRM4, NRM3: the rule normalizer in upper case that leaves protected values letter for letter."""
+    return t.work_order.filter("ident is not null").select("ident", n.shielded_by_rules(F.col("problem"), n.dictionary(t.abbreviation, t.misspelling)).alias("normalized")).distinct()
+
+
+_NUMBER_WORDS = "\\\\b(?:" + "|".join((*fixed.ONES, *fixed.TENS, "hundred", "thousand", "million")) + ")\\\\b"
+
+
+@query()
+def rewrite_checks(t):
+    """NRM11: the rewritings of one system held against its source, by what speaks against them."""
+    words = n.dictionary(t.abbreviation, t.misspelling)
+    rows = _order_texts(t).withColumn("candidate", n.expanded("raw", words))
+    found = rows.select(F.explode(n.rewrite_problems(F.col("raw"), F.lower("raw"), F.col("candidate"))).alias("problem"))
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {CORPUS}, e AS (SELECT record_id, full_text, unnest(entities) AS e FROM (SELECT record_id, any_value(full_text) AS full_text, arg_max(entities, received_at) AS entities FROM maintenance_record GROUP BY 1)),
+p AS (SELECT record_id, e.entity_id, lower(trim(regexp_replace(full_text, '[ 	
+]+', ' ', 'g'))) AS canon, length(regexp_replace(ltrim(substr(full_text, 1, e.start_pos), ' 	
+'), '[ 	
+]+', ' ', 'g')) AS a, length(regexp_replace(ltrim(substr(full_text, 1, e.end_pos), ' 	
+'), '[ 	
+]+', ' ', 'g')) AS b FROM e)
+SELECT record_id, entity_id, a AS begin_char, b AS end_char, substr(canon, a::BIGINT + 1, b - a) AS text FROM p""")
+def projected_spans(t):
+    """SM6, XT19: spans of a text as places in its canonical form; each border goes where the text before it ends there."""
+    from hangarlake.operators.graph import projected
+
+    rows = t.maintenance_record.groupBy("record_id").agg(F.max_by(F.struct("full_text", "entities"), "received_at").alias("r")).select("record_id", "r.full_text", F.explode("r.entities").alias("e"))
+    a, b, text = projected(F.col("full_text"), F.col("e.start_pos"), F.col("e.end_pos"))
+    return rows.select("record_id", "e.entity_id", a.cast("long").alias("begin_char"), b.cast("long").alias("end_char"), text.alias("text"))
+
+
+@query("SELECT ident, [CASE WHEN length(w) - 3 < 0 OR length(w) - 3 >= 8 THEN 0 ELSE length(w) - 3 END FOR w IN tokens] AS ids FROM (SELECT DISTINCT ident, tokens FROM gold_annotation)")
+def sane_token_ids(t):
+    """XT31: ids outside the vocabulary as padding."""
+    ids = F.transform("tokens", lambda w: (F.length(w) - 3).cast("long"))
+    return t.gold_annotation.select("ident", "tokens").distinct().select("ident", F.transform(ids, lambda v: F.when((v < 0) | (v >= 8), F.lit(0).cast("long")).otherwise(v)).alias("ids"))
+
+
+@query(f"""WITH {CORPUS}, g AS (SELECT min(record_id) AS record_id, dataset_id, count(*) AS copies FROM corpus WHERE record_id NOT IN (SELECT ident FROM gold_annotation WHERE ident IS NOT NULL) AND coalesce(problem_text, '') <> '' GROUP BY trim(regexp_replace(lower(problem_text), '[^a-z0-9]+', ' ', 'g')), dataset_id),
+s AS (SELECT * FROM g ORDER BY sha256('pilot' || record_id), record_id LIMIT 100) SELECT dataset_id, count(*) AS records, sum(copies)::BIGINT AS copies FROM s GROUP BY 1""")
+def pilot_composition(t):
+    """XT2: the first labelling sample: one of each text that wasn't labelled, a hundred of them by digest, and what it is made of."""
+    rows = corpus(t).filter("coalesce(problem_text, '') <> ''").join(t.gold_annotation.select(F.col("ident").alias("record_id")), "record_id", "left_anti")
+    one = rows.groupBy(x.fingerprint("problem_text").alias("k"), "dataset_id").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies"))
+    sample = one.orderBy(F.sha2(F.concat(F.lit("pilot"), "record_id"), 256), "record_id").limit(100)
+    return sample.groupBy("dataset_id").agg(F.count("*").alias("records"), F.sum("copies").alias("copies"))
+
+
+@query("""WITH RECURSIVE hub AS (SELECT record_id, min(cluster_id) AS low FROM maintenance_record WHERE cluster_id IS NOT NULL AND record_id IS NOT NULL GROUP BY 1 HAVING min(cluster_id) < max(cluster_id)),
+star AS (SELECT DISTINCT m.cluster_id AS a, hub.low AS b FROM maintenance_record m JOIN hub USING (record_id) WHERE m.cluster_id <> hub.low), edge AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach AS (SELECT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a), root AS (SELECT a AS cluster_id, min(b) AS root FROM reach GROUP BY a)
+SELECT DISTINCT m.cluster_id, 'EC-' || substr(sha256(m.cluster_id), 1, 12) AS evidence_cluster, 'LG-' || substr(sha256(coalesce(root, m.cluster_id)), 1, 12) AS leakage_group FROM maintenance_record m LEFT JOIN root USING (cluster_id) WHERE m.cluster_id IS NOT NULL""")
+def leakage_groups(t):
+    """CL10: each cluster's own name and that of all clusters it is linked with."""
+    from hangarlake.operators.groups import merged_clusters
+
+    rows = merged_clusters(t.maintenance_record, "cluster_id", "record_id")
+    return rows.select("cluster_id", x.stable_hash("EC-", F.col("cluster_id"), 12).alias("evidence_cluster"), x.stable_hash("LG-", F.col("component"), 12).alias("leakage_group"))

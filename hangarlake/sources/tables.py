@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from xml.sax.saxutils import quoteattr
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hangarlake.session import cut
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """csv, tsv, json, jsonl, parquet, orc or text by suffix; csv columns are text unless a schema says otherwise.
@@ -95,16 +100,10 @@ def zipped(left: DataFrame, right: DataFrame, order: str, right_order: str | Non
     return rows
 
 
-def numbered(df: DataFrame, order: str | None) -> DataFrame:
-    """Rows with their place: partition counts first, then each partition's own offset."""
-    rows = df.repartitionByRange(order).sortWithinPartitions(order) if order else df
-    rows = rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from hangarlake.session import cut
-
-    rows = cut(rows)
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with their place in an order: partition counts first, then each partition's own offset."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     counts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
-    from pyspark.sql import Window
-
     offset = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(F.broadcast(counts.withColumn("_offset", offset).select("_p", "_offset", "_first")), "_p").withColumn("_place", F.col("_offset") + F.col("_i") - F.col("_first")).drop("_p", "_i", "_offset", "_first")
 
@@ -124,3 +123,48 @@ def represented(df: DataFrame, key: str, text: str, forms: dict, name: str) -> D
     if not df.select(key).exceptAll(rows.filter("text is not null").select(key)).isEmpty():
         raise ValueError(f"the representation {name!r} has other ids than the raw one")
     return rows
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str, shown: int = 20) -> DataFrame:
+    """JSON lines of one or many files; rows that don't parse are a ValueError that names the first files and lines.
+
+    The check is one pass over the files. Lines are counted only in the files that have bad ones, and only until enough were found.
+    """
+    kind = spark.createDataFrame([], schema).schema
+    marked = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
+    rows = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    bad = cut(rows.select("*", F.col("_metadata.file_path").alias("_file")).filter("_bad is not null").select("_file", "_bad"))
+    if not bad.isEmpty():
+        found = []
+        for file in [r[0] for r in bad.select("_file").distinct().orderBy("_file").limit(shown).collect()]:
+            for number, row in enumerate(spark.read.text(file).coalesce(1).toLocalIterator(), 1):
+                try:
+                    json.loads(row[0] or "null")
+                except ValueError as error:
+                    found.append(f"{file}:{number}: {error}")
+                if len(found) >= shown:
+                    break
+            if len(found) >= shown:
+                break
+        raise ValueError("; ".join(found) or "rows that don't fit the schema")
+    return rows.drop("_bad")
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as one GraphML file on the driver's disk: (id, label) and (source, target, label), row by row, never whole in memory."""
+    with open(path, "w", encoding="utf-8") as file:
+        file.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="label" for="all" attr.name="label" attr.type="string"/>\n<graph edgedefault="directed">\n')
+        data = lambda v: f'<data key="label">{quoteattr(v or "")[1:-1]}</data>'
+        for row in nodes.select("id", "label").orderBy("id").toLocalIterator():
+            file.write(f"<node id={quoteattr(row[0])}>{data(row[1])}</node>\n")
+        for row in edges.select("source", "target", "label").orderBy("source", "target", "label").toLocalIterator():
+            file.write(f"<edge source={quoteattr(row[0])} target={quoteattr(row[1])}>{data(row[2])}</edge>\n")
+        file.write("</graph>\n</graphml>\n")
+
+
+def write_versioned(df: DataFrame, folder: str, name: str, run: str) -> list[str]:
+    """A result under its run, which is never written twice, and under its plain name, which is the latest; the paths."""
+    kept, latest = f"{folder}/archive/{name}__{run}.parquet", f"{folder}/{name}.parquet"
+    write_table(df, kept)
+    write_table(df.sparkSession.read.parquet(kept), latest, "overwrite")
+    return [kept, latest]
