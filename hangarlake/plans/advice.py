@@ -444,3 +444,34 @@ def pairwise_verdicts(t):
     pairs = [F.struct(F.lit(f"a{i}").alias("first"), F.lit(f"a{j}").alias("second"), ((F.col(f"a{i}") / F.col("n")) - (F.col(f"a{j}") / F.col("n"))).alias("d")) for i in range(4) for j in range(i + 1, 4)]
     rows = b.select(F.explode(F.array(*pairs)).alias("v")).select("v.*").groupBy("first", "second").agg(F.round(F.percentile("d", 0.025), 6).alias("low"), F.round(F.percentile("d", 0.975), 6).alias("high"))
     return rows.withColumn("verdict", F.when(F.col("low") > 0, "first").when(F.col("high") < 0, "second").otherwise("neither"))
+
+
+_LOCATED = f"""{RELATIONS}, lo AS (SELECT record_id, min(label) AS lone FROM ent WHERE type = 'LOC' AND label <> '' GROUP BY 1 HAVING count(DISTINCT label) = 1), hl AS (SELECT record_id, source AS item, min(target) AS place FROM rel WHERE relation = 'HAS_LOCATION' AND source_type = 'MAINT_ITEM' AND problem IS NULL AND target <> '' GROUP BY 1, 2),
+su AS (SELECT DISTINCT record_id, target AS item, source AS issue FROM rel WHERE relation = 'ISSUE_ON_ITEM' AND problem IS NULL)"""
+
+
+@query(f"WITH {_LOCATED} SELECT record_id, item, issue, location, place FROM (SELECT record_id, item, issue, coalesce(hl.place, lone) AS location, row_number() OVER (PARTITION BY record_id ORDER BY item, issue) AS place FROM su LEFT JOIN hl USING (record_id, item) LEFT JOIN lo USING (record_id)) WHERE place <= 4")
+def located_subproblems(t):
+    """RC7: a compound problem as up to four pairs of an issue and its item, each with the item's location."""
+    records = annotated(t)
+    relations = cut(g.resolved_relations(records).filter("problem is null"))
+    own = relations.filter("relation = 'HAS_LOCATION' and source_type = 'MAINT_ITEM' and target <> ''").groupBy("record_id", F.col("source").alias("item")).agg(F.min("target").alias("_own"))
+    lone = g.mentions(records).filter("type = 'LOC' and label <> ''").groupBy("record_id").agg(F.min("label").alias("_lone"), F.max("label").alias("_m")).filter("_lone = _m").drop("_m")
+    rows = c.subproblems(relations).join(own, ["record_id", "item"], "left").join(lone, "record_id", "left")
+    return rows.select("record_id", "item", "issue", F.coalesce("_own", "_lone").alias("location"), "place")
+
+
+@query(f"""WITH {CASES}, o AS (SELECT * FROM cases WHERE outcome <> 'negative' AND cluster_id IS NOT NULL), m AS (SELECT cluster_id, count(*) AS records FROM o GROUP BY 1),
+i AS (SELECT cluster_id, list(record_id ORDER BY record_id) AS sources FROM (SELECT cluster_id, record_id, row_number() OVER (PARTITION BY cluster_id ORDER BY record_id) AS rn FROM o) WHERE rn <= 25 GROUP BY 1) SELECT cluster_id, records, sources FROM m JOIN i USING (cluster_id)""")
+def job_card_sources(t):
+    """RC10: the records without a bad outcome behind each card, the first 25 by id; job_cards has its steps."""
+    rows = cases(t).filter("outcome <> 'negative' and cluster_id is not null").select("cluster_id", "record_id")
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy("cluster_id").orderBy("record_id"))).filter("_n <= 25")
+    return rows.groupBy("cluster_id").agg(F.count("*").alias("records")).join(few.groupBy("cluster_id").agg(F.sort_array(F.collect_list("record_id")).alias("sources")), "cluster_id")
+
+
+@query(f"WITH {CASES}, n AS (SELECT cluster_id, action_family, count(*) AS n FROM cases WHERE outcome <> 'negative' AND cluster_id IS NOT NULL GROUP BY 1, 2) SELECT cluster_id, action_family AS dominant, n FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, action_family) AS rn FROM n) WHERE rn = 1")
+def dominant_actions(t):
+    """RC10: the family that most of a card's records have."""
+    n = cases(t).filter("outcome <> 'negative' and cluster_id is not null").groupBy("cluster_id", "action_family").agg(F.count("*").alias("n"))
+    return n.groupBy("cluster_id").agg(F.min_by(F.struct("action_family", "n"), F.struct(-F.col("n"), "action_family")).alias("b")).select("cluster_id", F.col("b.action_family").alias("dominant"), "b.n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hangarlake.functions import fixed
 from hangarlake.functions import text as x
 from hangarlake.operators import graph as g
+from hangarlake.operators import tagging
 from hangarlake.plans.graph import _GOLD, _ISLANDS, _MEMO, ANNOTATED, annotated, gold, memorized
 from hangarlake.plans.registry import query
 from hangarlake.plans.texts import CORPUS, corpus
@@ -297,3 +298,41 @@ def multiset_counts(t):
     spans = annotated(t).select("record_id", F.explode("entities").alias("e")).select("record_id", F.col("e.entity_type").alias("type"), F.lower("e.text").alias("label"), F.when(F.coalesce("e.confidence", F.lit(1.0)) >= 0.7, 1).otherwise(0).alias("sure"))
     counts = spans.groupBy("record_id", "type", "label").agg(F.count("*").alias("gold"), F.sum("sure").alias("found"))
     return counts.groupBy("type").agg(F.sum(F.least("gold", "found")).alias("tp"), F.sum(F.greatest(F.col("gold") - F.col("found"), F.lit(0))).alias("fn"), F.sum(F.greatest(F.col("found") - F.col("gold"), F.lit(0))).alias("fp"))
+
+
+def _tagged(t, train_filter: str = "annotation_batch = 'round1'"):
+    rows = t.gold_annotation.select("ident", "tokens", "bio", "annotation_batch").distinct()
+    model = tagging.fitted(rows.filter(train_filter), "tokens", "bio")
+    held = rows.filter("coalesce(annotation_batch, '') <> 'round1'").select("ident", "tokens", "bio").distinct()
+    return held.select("ident", "tokens", "bio", tagging.tagged(F.col("tokens"), model).alias("m")).select("ident", "tokens", "bio", "m.tags", F.round("m.margin", 4).alias("margin"))
+
+
+@query()
+def sequence_tagger(t):
+    """IE7: tags by a chain model that was fitted on one batch, with a margin that tells how sure they are; on all other rows."""
+    return _tagged(t).select("ident", "tags", "bio", "margin")
+
+
+@query()
+def learning_curve(t):
+    """XT9: the tagger's accuracy on the same rows with a quarter, half and all of its training rows, by digest."""
+    out = None
+    for part in (1, 2, 4):
+        rows = _tagged(t, f"annotation_batch = 'round1' and pmod(crc32(encode(coalesce(ident, ''), 'UTF-8')), 4) < {part}")
+        same = F.size(F.filter(F.arrays_zip("tags", "bio"), lambda z: z["tags"] == z["bio"]))
+        one = rows.agg(F.lit(part / 4).alias("share"), F.round(F.sum(same) / F.sum(F.size("bio")), 4).alias("accuracy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_MEMO}, a AS (SELECT 'memorized' AS model, round(avg((gold = pred)::INT), 6) AS accuracy FROM pt), b AS (SELECT 'nothing' AS model, round(avg((gold = 'O')::INT), 6) AS accuracy FROM pt UNION ALL SELECT 'memorized', 0.0)
+SELECT model, accuracy, 'report' AS origin FROM a UNION ALL SELECT model, accuracy, 'fallback' FROM b WHERE model NOT IN (SELECT model FROM a)""")
+def recovered_metrics(t):
+    """XT10: each model's measure from the first of several sources that has it."""
+    from hangarlake.operators.normalize import layered
+
+    rows = memorized(t)
+    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
+    report = rows.agg(rate(F.col("gold") == F.col("pred")).alias("expansion")).select(F.lit("memorized").alias("key"), "expansion")
+    other = rows.agg(rate(F.col("gold") == "O").alias("expansion")).select(F.lit("nothing").alias("key"), "expansion").unionByName(t.spark.createDataFrame([("memorized", 0.0)], "key string, expansion double"))
+    return layered([("report", report), ("fallback", other)]).select(F.col("key").alias("model"), F.col("expansion").alias("accuracy"), "origin")

@@ -268,3 +268,10 @@ def averaged_f1(t):
     micro = k.agg(F.round(2 * F.sum("tp") / (2 * F.sum("tp") + F.sum("fp") + F.sum("fn")), 6).alias("f1"))
     macro = k.agg(F.round(F.avg("f1"), 6).alias("f1"))
     return one("micro", micro).unionByName(one("macro", macro)).unionByName(one("macro_gold", k.filter("tp + fn > 0").agg(F.round(F.avg("f1"), 6).alias("f1"))))
+
+
+@query()
+def kg_canonical_labels(t):
+    """STR7: labels under their compatible, case-folded key, with how many spellings each has; only different spellings go through Python."""
+    spellings = annotated(t).select(F.explode("entities").alias("e")).groupBy(F.col("e.text").alias("text"), F.col("e.entity_type").alias("type")).agg(F.count("*").alias("n"))
+    return spellings.withColumn("label", align.nfkc_key("text")).groupBy("label", "type").agg(F.count("*").alias("spellings"), F.sum("n").alias("mentions"))

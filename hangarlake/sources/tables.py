@@ -132,11 +132,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str,
     """
     kind = spark.createDataFrame([], schema).schema
     marked = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    bad = cut(rows.select("*", F.col("_metadata.file_path").alias("_file")).filter("_bad is not null").select("_file", "_bad"))
-    if not bad.isEmpty():
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    rows = lines.select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_r"))
+    bad = [r[0] for r in rows.filter("_r._bad is not null").select("_file").distinct().orderBy("_file").limit(shown).collect()]
+    if bad:
         found = []
-        for file in [r[0] for r in bad.select("_file").distinct().orderBy("_file").limit(shown).collect()]:
+        for file in bad:
             for number, row in enumerate(spark.read.text(file).coalesce(1).toLocalIterator(), 1):
                 try:
                     json.loads(row[0] or "null")
@@ -147,7 +148,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str,
             if len(found) >= shown:
                 break
         raise ValueError("; ".join(found) or "rows that don't fit the schema")
-    return rows.drop("_bad")
+    return rows.select(*[F.col(f"_r.{c.name}") for c in kind])
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
