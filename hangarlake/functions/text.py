@@ -15,8 +15,8 @@ def _c(x) -> Column:
 
 
 def clean(x) -> Column:
-    """Null to empty, runs of white space to one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\s+", " "))
+    """Null to empty, runs of white space of any kind to one blank, trimmed."""
+    return F.trim(F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"[\s\p{Z}]+", " "))
 
 
 def canonical_id(x) -> Column:

@@ -155,7 +155,7 @@ def snapped(tokens: str, begin: Column, end: Column) -> tuple[Column, Column]:
 
 def projected(text: Column, begin: Column, end: Column) -> tuple[Column, Column, Column]:
     """(begin, end, text) of a span in the canonical form of its text: lower case, single blanks, none outside."""
-    space = "[ \\t\\n\\r]+"
+    space = r"[\s\p{Z}]+"
     place = lambda n: F.length(F.regexp_replace(F.regexp_replace(F.substring(text, F.lit(1), n), f"^{space}", ""), space, " "))
     canonical = F.lower(F.trim(F.regexp_replace(text, space, " ")))
     return place(begin), place(end), F.substring(canonical, place(begin) + 1, place(end) - place(begin))

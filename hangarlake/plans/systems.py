@@ -237,12 +237,7 @@ def rewrite_checks(t):
 
 
 @query(rf"""WITH {CORPUS}, e AS (SELECT record_id, full_text, unnest(entities) AS e FROM (SELECT record_id, any_value(full_text) AS full_text, arg_max(entities, received_at) AS entities FROM maintenance_record GROUP BY 1)),
-p AS (SELECT record_id, e.entity_id, lower(trim(regexp_replace(full_text, '[ 	
-]+', ' ', 'g'))) AS canon, length(regexp_replace(ltrim(substr(full_text, 1, e.start_pos), ' 	
-'), '[ 	
-]+', ' ', 'g')) AS a, length(regexp_replace(ltrim(substr(full_text, 1, e.end_pos), ' 	
-'), '[ 	
-]+', ' ', 'g')) AS b FROM e)
+p AS (SELECT record_id, e.entity_id, lower(trim(regexp_replace(full_text, '[\s\p{{Z}}]+', ' ', 'g'))) AS canon, length(regexp_replace(regexp_replace(substr(full_text, 1, e.start_pos), '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+', ' ', 'g')) AS a, length(regexp_replace(regexp_replace(substr(full_text, 1, e.end_pos), '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+', ' ', 'g')) AS b FROM e)
 SELECT record_id, entity_id, a AS begin_char, b AS end_char, substr(canon, a::BIGINT + 1, b - a) AS text FROM p""")
 def projected_spans(t):
     """SM6, XT19: spans of a text as places in its canonical form; each border goes where the text before it ends there."""

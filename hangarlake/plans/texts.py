@@ -39,7 +39,7 @@ OUTCOME_SQL = f"CASE WHEN {_GOOD} AND {_BAD} THEN 'mixed' WHEN {_BAD} THEN 'nega
 NEAR_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '#\s?[0-9]+[a-z]?', ' ', 'g'),
   '\bnumber [0-9]+\b', ' ', 'g'), '[0-9]+', ' ', 'g'), '[^a-z ]', ' ', 'g'), '\s+', ' ', 'g'))"""
 PROBLEM_NORM_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce(problem_text, '')), '[^A-Za-z0-9_\s#]', ' ', 'g'), '\s+', ' ', 'g'))"
-CLEAN_SQL = r"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
+CLEAN_SQL = r"trim(regexp_replace(coalesce({c}, ''), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
 @query(f"""SELECT ident, {CLEAN_SQL.format(c='problem')} AS problem_clean, {CLEAN_SQL.format(c='action')} AS action_clean, regexp_replace(trim(ident), '^([0-9]+)\\.0$', '\\1') AS id FROM work_order""")
@@ -124,7 +124,7 @@ def canonical_components(t):
     return n.named_components(corpus(t), t.canonical_term, "record_id", "full_text", synonyms=n.dictionary(t.abbreviation, t.misspelling))
 
 
-@query(r"""WITH c AS (SELECT ident, trim(regexp_replace(coalesce(problem, ''), '\s+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(action, ''), '\s+', ' ', 'g')) AS b FROM work_order)
+@query(r"""WITH c AS (SELECT ident, trim(regexp_replace(coalesce(problem, ''), '[\s\p{Z}]+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(action, ''), '[\s\p{Z}]+', ' ', 'g')) AS b FROM work_order)
 SELECT ident, CASE WHEN a = '' THEN b WHEN b = '' THEN a WHEN regexp_matches(a, '[.!?]$') THEN a || ' ' || b ELSE a || '. ' || b END AS text,
   translate(b, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS upper_action FROM c""")
 def combined_text(t):
@@ -159,7 +159,7 @@ def valid_ids(t):
     return t.work_order.filter(F.col("ident").rlike("^MR[0-9]+$")).select("ident", "problem", F.trim(F.regexp_replace("problem", r"\([^)]*\)", " ")).alias("without_notes"))
 
 
-PAIRS_SQL = r"""pairs AS (SELECT DISTINCT record_id AS ident, trim(regexp_replace(coalesce(fault_surfaces[i], ''), '\s+', ' ', 'g')) AS raw, trim(regexp_replace(coalesce(faults[i], ''), '\s+', ' ', 'g')) AS reference
+PAIRS_SQL = r"""pairs AS (SELECT DISTINCT record_id AS ident, trim(regexp_replace(coalesce(fault_surfaces[i], ''), '[\s\p{Z}]+', ' ', 'g')) AS raw, trim(regexp_replace(coalesce(faults[i], ''), '[\s\p{Z}]+', ' ', 'g')) AS reference
   FROM (SELECT record_id, fault_surfaces, faults, unnest(generate_series(1, least(len(fault_surfaces), len(faults)))) AS i FROM structure_case))"""
 
 
