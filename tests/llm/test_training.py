@@ -428,3 +428,54 @@ def test_recall_of_passages_with_exchanged_words(spark, apart, least):
         docs.append((i, " ".join(["x", "y", *(w if (j + shift) % apart else f"odd{j}" for j, w in enumerate(words)), "z"])))
     found = seedleaks.leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).filter("item_id = doc_id")
     assert found.count() >= least * len(items)
+
+
+def test_cut_texts_with_signs_marks_and_strays(spark):
+    """Limits below a dozen stray lengths, cuts behind a comma and at a blank, marks put behind a cut, words that few texts have."""
+    rng = random.Random(12)
+    items = [f"{a} {b}" for a in ("outer", "inner", "spare", "main") for b in ("pump", "valve", "line", "cooler", "harness", "coupling")]
+    rare = ["".join(rng.choices("bcdfghklmnprst", k=3)) + rng.choice(["ation", "ment", "ness"]) for _ in range(150)]
+    rows, true = [], set()
+    strays = set(range(1, 20000, 2600))
+    for i in range(20000):
+        whole = f"found {rng.choice(items)} with {rng.choice(rare)}, {rng.choice(['lever heavy', 'stain visible', 'smell present'])} on {rng.choice(['taxi', 'climb', 'runup', 'descent', 'cold start'])}" + rng.choice(["", "."])
+        text, lost = whole, False
+        if i in strays:
+            text = whole.rstrip(".") + " still" * (4 + i // 2600)
+        elif i % 2:
+            text = whole[:52].rstrip()
+            lost = len(text) < len(whole.rstrip("."))
+        elif rng.random() < 0.04:
+            text, lost = whole[: rng.randrange(15, len(whole) - 6)] + rng.choice(["", ">>", "~"]), True
+        if lost:
+            true.add(f"r{i}")
+        rows.append((f"r{i}", "wide" if i % 2 else "free", text, None))
+    df = spark.createDataFrame(rows, "record_id string, dataset_id string, problem_text string, action_text string")
+    scored, limits = truncation.scored_endings(df, "record_id", "dataset_id", ["problem_text"])
+    assert {(r["source"], r["limit"]) for r in limits.collect()} == {("wide", 52), ("free", -1)}
+    got = {r["id"] for r in scored.filter("posterior >= 0.5").collect()}
+    assert len(got & true) > 0.9 * len(true) and len(got - true) < 0.05 * len(got)
+
+
+def test_planted_values_map():
+    rng = random.Random(31)
+    firsts, seconds = ["fuel", "oil", "brake", "rudder", "cowl", "magneto", "exhaust", "starter"], ["pump", "cooler", "cylinder", "pulley", "actuator", "harness", "manifold", "solenoid", "bulkhead", "linkage"]
+    terms = [(i + 1, f"{a} {b}") for i, (a, b) in enumerate((a, b) for a in firsts for b in seconds)]
+    short = {"cooler": "clr", "cylinder": "cyl", "actuator": "actr", "manifold": "mnfld", "solenoid": "sol"}
+    m = canonicalmap.Mapper(terms, [(b, a) for a, b in short.items()])
+
+    def dirty(name):
+        words = [short.get(w, w) if rng.random() < 0.3 else w for w in name.split()]
+        if rng.random() < 0.4:
+            k = rng.randrange(len(words))
+            if len(words[k]) > 4:
+                at = rng.randrange(1, len(words[k]) - 1)
+                words[k] = words[k][:at] + rng.choice([words[k][at + 1 :], rng.choice("aeiost") + words[k][at:], words[k][at + 1] + words[k][at] + words[k][at + 2 :]])
+        if rng.random() < 0.3:
+            words.reverse()
+        text = rng.choice([" ", " ", "-", "  ", ""]).join(words)
+        return rng.choice([text, text.upper(), f"the {text}", f"{text} (new)", f"#2 {text}!"])
+
+    cases = [(t, v) for t, n in terms for _ in range(6) if (v := dirty(n)) != n] + [(0, v) for v in ("coffee mug", "unknown", "see notes", "n/a", "window blind")]
+    right = sum((m.map(v) or 0) == t for t, v in cases)
+    assert right >= 0.97 * len(cases), [(v, t, m.map(v)) for t, v in cases if (m.map(v) or 0) != t]
