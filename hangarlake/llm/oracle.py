@@ -85,7 +85,7 @@ SELECT DISTINCT a.id AS item_id, b.id AS doc_id FROM g a JOIN g b ON a.g = b.g W
 #: Every stretch of 400 characters, by two hashes of 64 bits.
 _SHARED = """
 WITH t AS (SELECT text, list(DISTINCT doc_id) AS ids FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400 GROUP BY 1),
-n AS (SELECT row_number() OVER () AS n, text, ids FROM t),
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY text) AS n, text, ids FROM t),
 s AS (SELECT DISTINCT n, hash(v) AS h, hash(v || '#') AS k FROM (SELECT n, substr(text, i, 400) AS v FROM (SELECT n, text, unnest(range(1, length(text) - 398)) AS i FROM n))),
 many AS (SELECT h, k, list(n) AS l FROM s GROUP BY 1, 2 HAVING count(*) > 1),
 pairs AS (SELECT DISTINCT a.n AS a, b.n AS b FROM (SELECT h, k, unnest(l) AS n FROM many) a JOIN (SELECT h, k, unnest(l) AS n FROM many) b ON a.h = b.h AND a.k = b.k UNION SELECT n, n FROM n WHERE len(ids) > 1)
