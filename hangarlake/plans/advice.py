@@ -475,3 +475,31 @@ def dominant_actions(t):
     """RC10: the family that most of a card's records have."""
     n = cases(t).filter("outcome <> 'negative' and cluster_id is not null").groupBy("cluster_id", "action_family").agg(F.count("*").alias("n"))
     return n.groupBy("cluster_id").agg(F.min_by(F.struct("action_family", "n"), F.struct(-F.col("n"), "action_family")).alias("b")).select("cluster_id", F.col("b.action_family").alias("dominant"), "b.n")
+
+
+_TOPS = {"component": "component", "fault": "fault", "family": "action_family", "outcome": "outcome"}
+
+
+@query(f"WITH {CASES}, u AS ({' UNION ALL '.join(f"SELECT '{k}' AS kind, {c} AS name FROM cases" for k, c in _TOPS.items())}), n AS (SELECT kind, name, count(*) AS n FROM u WHERE name NOT IN ('', '(unspecified)', 'Other') GROUP BY 1, 2) SELECT kind, name, n, place FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) AS place FROM n) WHERE place <= 8")
+def overview(t):
+    """XT24: the eight most frequent components, faults, families and outcomes, from one pass over the cases."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(col).alias("name")) for k, col in _TOPS.items()])).alias("v")
+    n = cases(t).select(kinds).select("v.*").filter(~F.col("name").isin("", "(unspecified)", "Other")).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name"))).filter("place <= 8")
+
+
+_FOUR = {"c": ("components", 0.4), "f": ("faults", 0.3), "e": ("entity_types", 0.15), "r": ("relation_types", 0.15)}
+_FOUR_SQL = f"""{CASES}, ty AS (SELECT record_id, list_distinct(list_transform(e, lambda v: v.entity_type)) AS entity_types, list_distinct(list_transform(r, lambda v: v.relation_type)) AS relation_types FROM (SELECT record_id, arg_max(entities, received_at) AS e, arg_max(relations, received_at) AS r FROM maintenance_record GROUP BY 1)),
+al AS (SELECT c.record_id, list_distinct(components) AS components, list_distinct(faults) AS faults, coalesce(entity_types, []) AS entity_types, coalesce(relation_types, []) AS relation_types FROM cases c LEFT JOIN ty USING (record_id)),
+qs AS (SELECT *, {' + '.join(f'(CASE WHEN len({c}) > 0 THEN {w} ELSE 0 END)' for c, w in _FOUR.values())} AS total FROM al WHERE CAST(substr(record_id, 3) AS BIGINT) % 100 = 0),
+pt AS ({' UNION ALL '.join(f'SELECT q.record_id AS query_id, d.record_id AS doc_id, {w} / len(q.{c}) / q.total AS s FROM (SELECT *, unnest({c}) AS v FROM qs) q JOIN (SELECT record_id, unnest({c}) AS v FROM al) d USING (v)' for c, w in _FOUR.values())}),
+fo AS (SELECT query_id, doc_id, sum(s) AS score FROM pt GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_FOUR_SQL} {_RANKED.format(src='fo', k=5)}")
+def structure_topk(t):
+    """SM9: the share of a query's components, faults, entity types and relation types that a document has, by weight, over the sets that the query has."""
+    types = annotated(t).select("record_id", F.array_distinct(F.transform("entities", lambda v: v["entity_type"])).alias("entity_types"), F.array_distinct(F.transform("relations", lambda v: v["relation_type"])).alias("relation_types"))
+    empty = F.array().cast("array<string>")
+    rows = cases(t).select("record_id", "components", "faults").join(types, "record_id", "left").select(F.col("record_id").alias("doc_id"), "components", "faults", F.coalesce("entity_types", empty).alias("entity_types"), F.coalesce("relation_types", empty).alias("relation_types"))
+    return r.top_k(r.structural(_queries(rows), rows, [col for col, _ in _FOUR.values()]), 5)

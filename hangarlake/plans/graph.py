@@ -85,7 +85,7 @@ def kg_view_fault_actions(t):
 i AS (SELECT record_id, head, target AS item FROM v WHERE relation IN ('ACTION_ON_ITEM', 'ACTION_USES_ITEM')), s AS (SELECT record_id, head, target AS issue, source AS action, CASE relation WHEN 'ACTION_ADDRESSES_ISSUE' THEN 'addresses' ELSE 'investigates' END AS kind FROM v WHERE relation IN ('ACTION_ADDRESSES_ISSUE', 'ACTION_INVESTIGATES_ISSUE'))
 SELECT issue, action, coalesce(item, '') AS item, kind, count(DISTINCT record_id) AS record_count FROM s LEFT JOIN i USING (record_id, head) GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT record_id) >= {MIN_WEIGHT}""")
 def kg_view_fault_solutions(t):
-    """AG14."""
+    """AG14, JN10: actions, issues and items joined through the same mention of an action."""
     return g.solutions(annotated(t), MIN_WEIGHT)
 
 
@@ -275,3 +275,18 @@ def kg_canonical_labels(t):
     """STR7: labels under their compatible, case-folded key, with how many spellings each has; only different spellings go through Python."""
     spellings = annotated(t).select(F.explode("entities").alias("e")).groupBy(F.col("e.text").alias("text"), F.col("e.entity_type").alias("type")).agg(F.count("*").alias("n"))
     return spellings.withColumn("label", align.nfkc_key("text")).groupBy("label", "type").agg(F.count("*").alias("spellings"), F.sum("n").alias("mentions"))
+
+
+@query(f"WITH {RELATIONS}, v AS (SELECT * FROM rel WHERE problem IS NULL) SELECT 'records' AS measure, count(*) AS n FROM rec UNION ALL SELECT 'nodes', count(*) FROM (SELECT DISTINCT label, type FROM ent) UNION ALL SELECT 'mentions', count(*) FROM ent UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT {_EDGE} FROM v) UNION ALL SELECT 'support', count(*) FROM (SELECT DISTINCT {_EDGE}, record_id FROM v) UNION ALL SELECT 'quarantined', count(*) FROM rel WHERE problem IS NOT NULL")
+def kg_manifest(t):
+    """KG5, XT25: what a build of the graph consists of; sources.tables.content_digest freezes its tables."""
+    records = annotated(t)
+    parts = {
+        "records": records, "nodes": g.mentions(records).select("label", "type").distinct(), "mentions": g.mentions(records), "edges": g.edges(records), "support": g.edge_evidence(records),
+        "quarantined": g.resolved_relations(records).filter("problem is not null"),
+    }
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.lit(name).alias("measure"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

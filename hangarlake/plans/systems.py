@@ -275,3 +275,23 @@ def leakage_groups(t):
 
     rows = merged_clusters(t.maintenance_record, "cluster_id", "record_id")
     return rows.select("cluster_id", x.stable_hash("EC-", F.col("cluster_id"), 12).alias("evidence_cluster"), x.stable_hash("LG-", F.col("component"), 12).alias("leakage_group"))
+
+
+@query(f"WITH {CORPUS}, {_WORDS}, g AS (SELECT DISTINCT ident FROM work_order WHERE ident IS NOT NULL), gold AS (SELECT ident, min(problem) AS target FROM work_order WHERE coalesce(problem, '') <> '' GROUP BY 1) SELECT record_id, problem_text AS input, coalesce(gold.target, {_APPLY.format(c='problem_text')}) AS target, CASE WHEN gold.target IS NULL THEN 'silver' ELSE 'gold' END AS origin FROM corpus LEFT JOIN gold ON gold.ident = record_id, d WHERE coalesce(problem_text, '') <> ''")
+def training_pairs(t):
+    """XT15: each text with its reference where one is given, else with what the rules make of it."""
+    known = t.work_order.filter("coalesce(problem, '') <> ''").groupBy(F.col("ident").alias("record_id")).agg(F.min("problem").alias("_gold"))
+    rows = corpus(t).filter("coalesce(problem_text, '') <> ''").select("record_id", F.col("problem_text").alias("input")).join(known, "record_id", "left")
+    return rows.select("record_id", "input", F.coalesce("_gold", n.expanded("input", n.dictionary(t.abbreviation, t.misspelling))).alias("target"), F.when(F.col("_gold").isNull(), "silver").otherwise("gold").alias("origin"))
+
+
+_FP = "trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"WITH a AS (SELECT DISTINCT {_FP.format(c='problem')} AS k FROM work_order), b AS (SELECT DISTINCT {_FP.format(c='problem_text')} AS k FROM maintenance_record) SELECT 'first' AS part, count(*) AS n FROM a UNION ALL SELECT 'second', count(*) FROM b UNION ALL SELECT 'both', count(*) FROM a JOIN b USING (k) UNION ALL SELECT 'either', count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)")
+def pool_overlap(t):
+    """ST9: the distinct texts of two sets of rows, of both and of either; one aggregation instead of four joins."""
+    one = lambda df, c, side: df.select(x.fingerprint(c).alias("k"), F.lit(side).alias("side")).distinct()
+    keys = one(t.work_order, "problem", 1).unionByName(one(t.maintenance_record, "problem_text", 2)).groupBy("k").agg(F.sum("side").alias("s"))
+    sums = keys.agg(F.count_if(F.col("s") != 2).alias("first"), F.count_if(F.col("s") != 1).alias("second"), F.count_if(F.col("s") == 3).alias("both"), F.count("*").alias("either"))
+    return sums.select(F.explode(F.create_map(*[v for c in ("first", "second", "both", "either") for v in (F.lit(c), F.col(c))])).alias("part", "n"))
