@@ -82,13 +82,13 @@ WITH w AS (SELECT item_id AS id, true AS item, regexp_extract_all(lower(text), '
 g AS (SELECT DISTINCT id, item, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, item, w, unnest(range(1, len(w) - 10)) AS i FROM w))
 SELECT DISTINCT a.id AS item_id, b.id AS doc_id FROM g a JOIN g b ON a.g = b.g WHERE a.item AND NOT b.item"""
 
-#: Every stretch of 400 characters, by two hashes of 64 bits.
+#: Every stretch of 400 characters, by its digest.
 _SHARED = """
 WITH t AS (SELECT text, list(DISTINCT doc_id) AS ids FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 400 GROUP BY 1),
 n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY text) AS n, text, ids FROM t),
-s AS (SELECT DISTINCT n, hash(v) AS h, hash(v || '#') AS k FROM (SELECT n, substr(text, i, 400) AS v FROM (SELECT n, text, unnest(range(1, length(text) - 398)) AS i FROM n))),
-many AS (SELECT h, k, list(n) AS l FROM s GROUP BY 1, 2 HAVING count(*) > 1),
-pairs AS (SELECT DISTINCT a.n AS a, b.n AS b FROM (SELECT h, k, unnest(l) AS n FROM many) a JOIN (SELECT h, k, unnest(l) AS n FROM many) b ON a.h = b.h AND a.k = b.k UNION SELECT n, n FROM n WHERE len(ids) > 1)
+s AS (SELECT DISTINCT n, md5_number(v) AS h FROM (SELECT n, substr(text, i, 400) AS v FROM (SELECT n, text, unnest(range(1, length(text) - 398)) AS i FROM n))),
+many AS (SELECT h, list(n) AS l FROM s GROUP BY 1 HAVING count(*) > 1),
+pairs AS (SELECT DISTINCT a.n AS a, b.n AS b FROM (SELECT h, unnest(l) AS n FROM many) a JOIN (SELECT h, unnest(l) AS n FROM many) b ON a.h = b.h UNION SELECT n, n FROM n WHERE len(ids) > 1)
 SELECT DISTINCT least(x, y) AS doc_id_a, greatest(x, y) AS doc_id_b FROM (SELECT x, unnest(m.ids) AS y FROM (SELECT p.b, unnest(n.ids) AS x FROM pairs p JOIN n ON n.n = p.a) q JOIN n m ON m.n = q.b) WHERE x <> y"""
 
 
