@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hangarlake.functions import text as x
 from hangarlake.operators.components import connected_components
-
-#: Groups that a driver-side packing takes at most; beyond it use hashed splits.
-PACKED_GROUPS = 100_000
+from hangarlake.session import sent
+from hangarlake.sources.tables import numbered
 
 
 def near_digest(a: str, b: str):
@@ -42,18 +43,49 @@ def hashed_split(df: DataFrame, group: str, cuts: list[tuple[str, float]], seed:
     return df.withColumn("assigned", out)
 
 
-def packed_split(sizes: DataFrame, group: str, n: str, ratios: dict[str, float]) -> DataFrame:
-    """(group, assigned): largest group first into the split that is emptiest for its ratio. One row for each group, with a bound."""
-    rows = sizes.select(group, n).limit(PACKED_GROUPS + 1).collect()
-    if len(rows) > PACKED_GROUPS:
-        raise ValueError(f"more than {PACKED_GROUPS} groups; use hashed_split")
+def packing(counts: list[tuple[int, int]], ratios: dict[str, float]) -> list[tuple[int, str, int, int]]:
+    """(size, split, from, to): how the groups of each size, by their place, are dealt out by "the largest first, into the split that is emptiest for its ratio".
+
+    ``counts`` has (size, number of groups). Equal sizes need no turn for each
+    group: a split's k-th group of a size goes in at (filled + (k - 1) * size) /
+    ratio, and those that go in lowest are taken; ties by name.
+    """
     filled = dict.fromkeys(ratios, 0)
-    out = []
-    for name, size in sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0])):
-        best = min(ratios, key=lambda s: (filled[s] / ratios[s], s))
-        filled[best] += size
-        out.append((name, best))
-    return sizes.sparkSession.createDataFrame(out, f"{group} string, assigned string")
+    plan = []
+    for size, many in sorted(counts, reverse=True):
+        level = lambda x: {s: min(many, max(0, math.floor((x * r - filled[s]) / size) + 1)) for s, r in ratios.items()}  # noqa: E731,B023
+        low, high = 0.0, (max(filled[s] / r for s, r in ratios.items()) + (many + 1) * size / min(ratios.values()))
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (low, middle) if sum(level(middle).values()) >= many else (middle, high)
+        taken = level(low) if sum(level(low).values()) <= many else dict.fromkeys(ratios, 0)
+        for _ in range(many - sum(taken.values())):
+            best = min(ratios, key=lambda s: ((filled[s] + taken[s] * size) / ratios[s], s))  # noqa: B023
+            taken[best] += 1
+        begin = 0
+        for split, n in taken.items():
+            if n:
+                plan.append((size, split, begin, begin + n))
+            begin, filled[split] = begin + n, filled[split] + n * size
+    return plan
+
+
+def packed_split(sizes: DataFrame, group: str, n: str, ratios: dict[str, float], seed: str = "pack") -> DataFrame:
+    """(group, assigned): the largest group first into the split that is emptiest for its ratio; among equal sizes a digest decides who goes where.
+
+    Only the numbers of groups of each size come to the driver: of N rows there
+    are less than sqrt(2 N) different sizes, however many groups.
+    """
+    rows = sizes.select(F.col(group).alias("_g"), F.col(n).cast("long").alias("_n")).filter("_n > 0")
+    counts = [(r[0], r[1]) for r in rows.groupBy("_n").agg(F.count("*").alias("c")).collect()]
+    schema = "_n long, assigned string, _from long, _to long"
+    before, first = 0, {}
+    for size, many in sorted(counts, reverse=True):
+        first[size], before = before, before + many
+    plan = [(size, split, first[size] + begin, first[size] + end) for size, split, begin, end in packing(counts, ratios)]
+    dealt = sent(sizes.sparkSession.createDataFrame(plan, schema))
+    placed = numbered(rows.withColumn("_down", -F.col("_n")).withColumn("_digest", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("_g").cast("string")), 256)), "_down", "_digest", "_g")
+    return placed.join(dealt, "_n").filter("_place >= _from and _place < _to").select(F.col("_g").alias(group), "assigned")
 
 
 def leaks(df: DataFrame, group: str, split: str) -> DataFrame:

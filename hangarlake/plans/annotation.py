@@ -182,7 +182,7 @@ def tag_agreement(t):
 SELECT count(*) AS rows, sum((w IS NULL)::INT)::BIGINT AS without_text, sum((len(regexp_extract_all(a, '[a-z0-9]+')) = len(w))::INT)::BIGINT AS same_count, sum((regexp_extract_all(a, '[a-z0-9]+') = w)::INT)::BIGINT AS same_words FROM j""")
 def token_parity(t):
     """IE17, IE19, XT26: whether the tokens of the labelled rows are those of the records' texts."""
-    words = corpus(t).select(F.col("record_id").alias("ident"), x.tokens("full_text", "[a-z0-9]+").alias("w"), F.col("full_text").isNotNull().alias("_t"))
+    words = corpus(t, ("full_text",)).select(F.col("record_id").alias("ident"), x.tokens("full_text", "[a-z0-9]+").alias("w"), F.col("full_text").isNotNull().alias("_t"))
     rows = gold(t).join(words.filter("_t"), "ident", "left")
     own = F.regexp_extract_all(F.array_join(F.filter(F.transform("tokens", F.lower), lambda v: v.rlike("[a-z0-9]")), " "), F.lit("[a-z0-9]+"), F.lit(0))
     count = lambda c: F.sum(c.cast("long"))
@@ -243,7 +243,7 @@ def coarse_types(t):
 @query(f"WITH {CORPUS} SELECT record_id, lower({'problem_text'}) AS text, 'lower' AS representation FROM corpus WHERE problem_text IS NOT NULL")
 def representation_view(t):
     """SRC9: the corpus in a chosen representation; its ids must be those of the raw one."""
-    return tables.represented(corpus(t).filter("problem_text is not null"), "record_id", "problem_text", {"raw": lambda c: c, "lower": F.lower}, "lower")
+    return tables.represented(corpus(t, ("problem_text",)).filter("problem_text is not null"), "record_id", "problem_text", {"raw": lambda c: c, "lower": F.lower}, "lower")
 
 
 @query("""WITH g AS (SELECT DISTINCT md5(array_to_string(list_transform(tokens, lambda w: lower(w)), '␟')) AS g FROM gold_annotation WHERE sampling_population IS NOT NULL), f AS (SELECT g, row_number() OVER (ORDER BY sha256('freeze:' || g)) AS place FROM g),

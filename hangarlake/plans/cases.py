@@ -23,7 +23,7 @@ def problem_boundary(t):
     """CB1."""
     words = F.regexp_extract_all("full_text", F.lit(r"\S+"), F.lit(0))
     at, method = c.boundary(words, F.col("problem_text"))
-    return corpus(t).select("record_id", at.cast("long").alias("boundary"), method.alias("method"))
+    return corpus(t, ("full_text", "problem_text")).select("record_id", at.cast("long").alias("boundary"), method.alias("method"))
 
 
 @query(f"""WITH {CORPUS}, e AS (SELECT record_id, unnest(entities) AS e FROM (SELECT record_id, arg_max(entities, received_at) AS entities FROM maintenance_record GROUP BY 1)),
@@ -31,7 +31,7 @@ s AS (SELECT c.record_id, e.entity_id, contains(lower(coalesce(problem_text, '')
 SELECT record_id, entity_id, CASE WHEN a AND NOT b THEN 'problem' WHEN b AND NOT a THEN 'action' ELSE 'unknown' END AS side FROM s""")
 def entity_side(t):
     """CB2: by containment alone, where no boundary is used."""
-    rows = annotated(t).select("record_id", F.explode("entities").alias("e")).join(corpus(t).select("record_id", "problem_text", "action_text"), "record_id")
+    rows = annotated(t).select("record_id", F.explode("entities").alias("e")).join(corpus(t, ("problem_text", "action_text")).select("record_id", "problem_text", "action_text"), "record_id")
     nothing = F.lit(None).cast("int")
     return rows.select("record_id", "e.entity_id", c.side(F.col("e.start_pos"), F.col("e.end_pos"), F.col("e.text"), nothing, F.col("problem_text"), F.col("action_text")).alias("side"))
 

@@ -16,19 +16,19 @@ _GROUPS = f"""grp AS (SELECT record_id, dataset_id, problem_text, 'ex_' || md5(c
 
 def keyed(t, *more):
     """Corpus rows with their near group, in one pass."""
-    return corpus(t).select("record_id", *more, o.near_digest("problem_text", "action_text").alias("near_group"))
+    return corpus(t, ("problem_text", "action_text")).select("record_id", *more, o.near_digest("problem_text", "action_text").alias("near_group"))
 
 
 @query(f"WITH {CORPUS}, {_GROUPS} SELECT record_id, exact_group, near_group, substr(exact_group, 1, 11) AS exact_label, substr(near_group, 1, 11) AS near_label FROM grp")
 def exact_near_groups(t):
     """CL1: whole digests to group by, short labels to show."""
-    return o.exact_near_groups(corpus(t), "record_id", "problem_text", "action_text")
+    return o.exact_near_groups(corpus(t, ("problem_text", "action_text")), "record_id", "problem_text", "action_text")
 
 
 @query(f"WITH {CORPUS}, {_GROUPS} SELECT count(*) AS records, count(DISTINCT exact_group) AS exact_groups, count(DISTINCT near_group) AS near_groups, round(1 - count(DISTINCT near_group) / count(*), 6) AS near_rate FROM grp")
 def duplicate_stats(t):
     """AG16."""
-    rows = o.exact_near_groups(corpus(t), "record_id", "problem_text", "action_text")
+    rows = o.exact_near_groups(corpus(t, ("problem_text", "action_text")), "record_id", "problem_text", "action_text")
     return rows.agg(F.count("*").alias("records"), F.count_distinct("exact_group").alias("exact_groups"), F.count_distinct("near_group").alias("near_groups"), F.round(1 - F.count_distinct("near_group") / F.count("*"), 6).alias("near_rate"))
 
 
@@ -54,7 +54,7 @@ def unique_id_guard(t):
 SELECT record_id, CASE WHEN c.record_id IS NULL THEN 'right_only' WHEN w.record_id IS NULL THEN 'left_only' ELSE 'both' END AS merge FROM c FULL JOIN w USING (record_id)""")
 def pair_outer_merge(t):
     """JN1, D18."""
-    return r.merged(corpus(t).select("record_id"), t.work_order.select(F.col("ident").alias("record_id")).distinct(), "record_id").select("record_id", "merge")
+    return r.merged(corpus(t, ()).select("record_id"), t.work_order.select(F.col("ident").alias("record_id")).distinct(), "record_id").select("record_id", "merge")
 
 
 @query("SELECT DISTINCT ident FROM work_order WHERE ident NOT IN (SELECT ident FROM gold_annotation WHERE ident IS NOT NULL)")
@@ -73,7 +73,7 @@ def semi_annotated(t):
 def join_coverage(t):
     """Records with and without a structure, by source."""
     known = t.structure_case.select("record_id").distinct().withColumn("_k", F.lit(1))
-    return corpus(t).join(known, "record_id", "left").groupBy("dataset_id").agg(F.count("*").alias("records"), F.count("_k").alias("with_structure")).withColumn("without_structure", F.col("records") - F.col("with_structure"))
+    return corpus(t, ()).join(known, "record_id", "left").groupBy("dataset_id").agg(F.count("*").alias("records"), F.count("_k").alias("with_structure")).withColumn("without_structure", F.col("records") - F.col("with_structure"))
 
 
 @query("""WITH RECURSIVE hub AS (SELECT record_id, min(cluster_id) AS low FROM maintenance_record WHERE cluster_id IS NOT NULL AND record_id IS NOT NULL GROUP BY 1 HAVING min(cluster_id) < max(cluster_id)),
@@ -94,16 +94,16 @@ def group_split(t):
 
 @query()
 def packed_split(t):
-    """CL5, CL6: sources packed into splits, the largest first."""
-    sizes = corpus(t).groupBy("dataset_id").agg(F.count("*").alias("n"))
-    return o.packed_split(sizes, "dataset_id", "n", {"train": 0.7, "dev": 0.15, "test": 0.15})
+    """CL5, CL6: near groups packed into splits, the largest first; however many there are."""
+    sizes = keyed(t).groupBy("near_group").agg(F.count("*").alias("n"))
+    return o.packed_split(sizes, "near_group", "n", {"train": 0.7, "dev": 0.15, "test": 0.15})
 
 
 @query(f"WITH {CORPUS} SELECT record_id, CASE WHEN lower(trim(split)) IN ('test', 'dev', 'val', 'validation') THEN lower(trim(split)) ELSE 'train' END AS frozen FROM corpus")
 def frozen_split(t):
     """What was frozen stays; all else trains."""
     s = F.lower(F.trim("split"))
-    return corpus(t).select("record_id", F.when(s.isin("test", "dev", "val", "validation"), s).otherwise("train").alias("frozen"))
+    return corpus(t, ()).select("record_id", F.when(s.isin("test", "dev", "val", "validation"), s).otherwise("train").alias("frozen"))
 
 
 @query(f"WITH {CORPUS}, {_GROUPS} SELECT near_group, count(DISTINCT lower(trim(split))) AS splits, count(*) AS rows FROM grp JOIN corpus USING (record_id) GROUP BY 1 HAVING count(DISTINCT lower(trim(split))) > 1")

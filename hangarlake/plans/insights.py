@@ -18,7 +18,7 @@ def cases(t):
     first = lambda c: F.when(F.size(c) > 0, F.coalesce(F.get(c, F.lit(0)), F.lit(o.UNSPECIFIED))).otherwise(o.UNSPECIFIED)
     structure = first_per_group(t.structure_case.select("record_id", "components", "faults", F.to_json(F.struct("components", "faults")).alias("_o")), "record_id", ["_o"])
     structure = structure.select("record_id", F.coalesce("components", F.array().cast("array<string>")).alias("components"), F.coalesce("faults", F.array().cast("array<string>")).alias("faults"))
-    rows = corpus(t).join(structure, "record_id", "left")
+    rows = corpus(t, ("problem_text", "action_text")).join(structure, "record_id", "left")
     empty = F.array().cast("array<string>")
     return rows.select(
         "record_id", "cluster_id", "dataset_id", "problem_text", "action_text", "split", x.normalized_problem("problem_text").alias("problem_norm"), F.coalesce("components", empty).alias("components"),

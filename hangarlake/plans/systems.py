@@ -103,7 +103,7 @@ SELECT record_id, split, p AS problem_raw, a AS action_raw, trim(p || ' ' || a)
 def corpus_predictions(t):
     """NRM14: the whole corpus field by field, raw and normalized, and both fields together."""
     words = n.dictionary(t.abbreviation, t.misspelling)
-    rows = corpus(t).select("record_id", "split", x.clean("problem_text").alias("problem_raw"), x.clean("action_text").alias("action_raw"))
+    rows = corpus(t, ("problem_text", "action_text")).select("record_id", "split", x.clean("problem_text").alias("problem_raw"), x.clean("action_text").alias("action_raw"))
     rows = rows.select("*", n.expanded("problem_raw", words).alias("problem_normalized"), n.expanded("action_raw", words).alias("action_normalized"))
     both = lambda k: F.trim(F.concat(f"problem_{k}", F.lit(" "), f"action_{k}")).alias(f"combined_{k}")
     return rows.select("*", both("raw"), both("normalized"), F.lit("dictionary").alias("system"))
@@ -114,7 +114,7 @@ n AS (SELECT dataset_id, count(DISTINCT w) FILTER (system = 'raw') AS raw_types,
 def vocabulary_reduction(t):
     """AG17: how many different words a normalization saves, by source."""
     words = n.dictionary(t.abbreviation, t.misspelling)
-    both = corpus(t).select("dataset_id", F.explode(F.array(F.struct(F.lit(0).alias("s"), x.tokens("problem_text", "[a-z]+").alias("w")), F.struct(F.lit(1).alias("s"), F.regexp_extract_all(n.expanded("problem_text", words), F.lit("[a-z]+"), F.lit(0)).alias("w")))).alias("z"))
+    both = corpus(t, ("problem_text",)).select("dataset_id", F.explode(F.array(F.struct(F.lit(0).alias("s"), x.tokens("problem_text", "[a-z]+").alias("w")), F.struct(F.lit(1).alias("s"), F.regexp_extract_all(n.expanded("problem_text", words), F.lit("[a-z]+"), F.lit(0)).alias("w")))).alias("z"))
     types = both.select("dataset_id", "z.s", F.explode("z.w").alias("w")).groupBy("dataset_id", "w").agg(F.max((F.col("s") == 0).cast("long")).alias("a"), F.max((F.col("s") == 1).cast("long")).alias("b"))
     return types.groupBy("dataset_id").agg(F.sum("a").alias("raw_types"), F.sum("b").alias("types")).withColumn("reduction", F.round(1 - F.col("types") / F.col("raw_types"), 6))
 
@@ -133,7 +133,7 @@ SELECT dataset_id, count(*) AS pairs, sum(same::INT)::BIGINT AS agreeing FROM k
 def source_agreement(t):
     """JN15: whether the raw rows have the text that the records give as theirs, but for case."""
     raw = t.work_order.select(F.col("ident").alias("record_id"), x.clean("problem").alias("p")).distinct()
-    rows = raw.join(corpus(t).select("record_id", "dataset_id", x.clean("problem_text").alias("q")), "record_id")
+    rows = raw.join(corpus(t, ("problem_text",)).select("record_id", "dataset_id", x.clean("problem_text").alias("q")), "record_id")
     return rows.groupBy("dataset_id").agg(F.count("*").alias("pairs"), F.sum((F.lower("p") == F.lower("q")).cast("long")).alias("agreeing"))
 
 
@@ -141,7 +141,7 @@ def source_agreement(t):
 def pair_audit(t):
     """STR23, STR24: how two versions of a text differ, under an editor's flags; the likeness is asked for only where words were added."""
     raw = t.work_order.select(F.col("ident").alias("record_id"), x.clean("action").alias("raw"), F.col("problem").alias("_p")).distinct()
-    rows = raw.join(corpus(t).select("record_id", x.clean("full_text").alias("reference"), "problem_text"), "record_id")
+    rows = raw.join(corpus(t, ("full_text", "problem_text")).select("record_id", x.clean("full_text").alias("reference"), "problem_text"), "record_id")
     edit = F.when(F.col("raw") == "", "ANON").when(F.length("raw") >= 55, "CUTOFF - T").when(F.length("reference") >= 115, "CUTOFF - C")
     category = n.pair_category("raw", "reference", align.likeness("raw", "reference"))
     return rows.select("record_id", category.alias("category"), n.flagged_category(category, edit, F.lower(x.clean("_p")) == F.lower(x.clean("problem_text"))).alias("flagged"))
@@ -186,7 +186,7 @@ def dictionary_layers(t):
 def guarded_join(t):
     """JN3: rows joined by id, or by place where no ids agree and the counts do; the method is recorded."""
     left = t.work_order.filter("ident is not null").select("ident").distinct()
-    return r.joined_or_zipped(left, corpus(t).select(F.col("record_id").alias("ident"), "dataset_id", "split"), "ident")
+    return r.joined_or_zipped(left, corpus(t, ()).select(F.col("record_id").alias("ident"), "dataset_id", "split"), "ident")
 
 
 @query("WITH w AS (SELECT DISTINCT ident FROM work_order WHERE ident IS NOT NULL), g AS (SELECT ident, max(len(entities)) AS entities FROM gold_annotation WHERE ident IS NOT NULL GROUP BY 1) SELECT w.ident, coalesce(g.entities, 0) AS entities FROM w LEFT JOIN g USING (ident)")
@@ -200,7 +200,7 @@ def validated_merge(t):
 @query(f"WITH {CORPUS}, w AS (SELECT DISTINCT ident FROM work_order WHERE ident IS NOT NULL) SELECT ident, lower(trim(split)) AS part FROM w JOIN corpus ON record_id = ident WHERE split IS NOT NULL")
 def split_lookup(t):
     """JN6, XT37: each row's split from the frozen map; records.covered refuses a null."""
-    known = corpus(t).filter("split is not null").select(F.col("record_id").alias("ident"), F.lower(F.trim("split")).alias("part"))
+    known = corpus(t, ()).filter("split is not null").select(F.col("record_id").alias("ident"), F.lower(F.trim("split")).alias("part"))
     return r.covered(t.work_order.select("ident").distinct().join(known, "ident"), "part")
 
 
@@ -259,7 +259,7 @@ def sane_token_ids(t):
 s AS (SELECT * FROM g ORDER BY sha256('pilot' || record_id), record_id LIMIT 100) SELECT dataset_id, count(*) AS records, sum(copies)::BIGINT AS copies FROM s GROUP BY 1""")
 def pilot_composition(t):
     """XT2: the first labelling sample: one of each text that wasn't labelled, a hundred of them by digest, and what it is made of."""
-    rows = corpus(t).filter("coalesce(problem_text, '') <> ''").join(t.gold_annotation.select(F.col("ident").alias("record_id")), "record_id", "left_anti")
+    rows = corpus(t, ("problem_text",)).filter("coalesce(problem_text, '') <> ''").join(t.gold_annotation.select(F.col("ident").alias("record_id")), "record_id", "left_anti")
     one = rows.groupBy(x.fingerprint("problem_text").alias("k"), "dataset_id").agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies"))
     sample = one.orderBy(F.sha2(F.concat(F.lit("pilot"), "record_id"), 256), "record_id").limit(100)
     return sample.groupBy("dataset_id").agg(F.count("*").alias("records"), F.sum("copies").alias("copies"))
@@ -281,7 +281,7 @@ def leakage_groups(t):
 def training_pairs(t):
     """XT15: each text with its reference where one is given, else with what the rules make of it."""
     known = t.work_order.filter("coalesce(problem, '') <> ''").groupBy(F.col("ident").alias("record_id")).agg(F.min("problem").alias("_gold"))
-    rows = corpus(t).filter("coalesce(problem_text, '') <> ''").select("record_id", F.col("problem_text").alias("input")).join(known, "record_id", "left")
+    rows = corpus(t, ("problem_text",)).filter("coalesce(problem_text, '') <> ''").select("record_id", F.col("problem_text").alias("input")).join(known, "record_id", "left")
     return rows.select("record_id", "input", F.coalesce("_gold", n.expanded("input", n.dictionary(t.abbreviation, t.misspelling))).alias("target"), F.when(F.col("_gold").isNull(), "silver").otherwise("gold").alias("origin"))
 
 

@@ -11,9 +11,12 @@ from hangarlake.operators.records import keep_last
 from hangarlake.plans.registry import Tables, query
 
 
-def corpus(t: Tables):
-    """One row for each record: the last delivery."""
-    columns = ["record_id", "received_at", "dataset_id", "full_text", "problem_text", "action_text", "split", "cluster_id", "asset_id"]
+TEXTS = ("full_text", "problem_text", "action_text")
+
+
+def corpus(t: Tables, texts: tuple[str, ...] = TEXTS):
+    """One row for each record: the last delivery. Only the texts that are asked for are exchanged; a record's deliveries agree in them."""
+    columns = ["record_id", "received_at", "dataset_id", *[c for c in TEXTS if c in texts], "split", "cluster_id", "asset_id"]
     return keep_last(t.maintenance_record.select(*columns), ["record_id"], ["received_at"])
 
 
@@ -53,13 +56,13 @@ def clean_text(t):
 def fingerprint_key(t):
     """STR3, STR4."""
     key = x.fingerprint("full_text")
-    return corpus(t).select("record_id", key.alias("fingerprint"), x.stable_hash("normgrp-", key).alias("group_key"), F.replace(key, F.lit(" "), F.lit("")).alias("characters"))
+    return corpus(t, ("full_text",)).select("record_id", key.alias("fingerprint"), x.stable_hash("normgrp-", key).alias("group_key"), F.replace(key, F.lit(" "), F.lit("")).alias("characters"))
 
 
 @query(f"WITH {CORPUS} SELECT record_id, {NEAR_SQL.format(c='problem_text')} AS near_key, {PROBLEM_NORM_SQL} AS problem_norm FROM corpus")
 def near_dup_key(t):
     """STR5, STR6."""
-    return corpus(t).select("record_id", x.near_key("problem_text").alias("near_key"), x.normalized_problem("problem_text").alias("problem_norm"))
+    return corpus(t, ("problem_text",)).select("record_id", x.near_key("problem_text").alias("near_key"), x.normalized_problem("problem_text").alias("problem_norm"))
 
 
 @query("""SELECT ident, regexp_extract_all(lower(coalesce(problem, '')), '[a-z0-9#]+') AS retrieval, regexp_extract_all(lower(coalesce(problem, '')), '[a-z]+(?:''[a-z]+)?|[0-9]+') AS simple,
@@ -90,7 +93,7 @@ def offset_tokens(t):
 SELECT *, CASE WHEN action_family IN ('Inspect', 'Diagnose') THEN 'diagnostic' ELSE 'corrective' END AS action_role FROM f""")
 def family_classify(t):
     """STR19, STR20, STR21, STR22, IE12."""
-    rows = corpus(t).select("record_id", x.action_family("action_text").alias("action_family"), x.issue_family("problem_text").alias("issue_family"), x.outcome("action_text").alias("outcome"))
+    rows = corpus(t, ("problem_text", "action_text")).select("record_id", x.action_family("action_text").alias("action_family"), x.issue_family("problem_text").alias("issue_family"), x.outcome("action_text").alias("outcome"))
     return rows.withColumn("action_role", x.action_role("action_family"))
 
 
@@ -103,14 +106,14 @@ _ORDERED = "[v FOR v, i IN {l} IF list_position({l}, v) = i]"
 k AS (SELECT record_id, [regexp_replace(coalesce({_FORMS}[replace(v, ' ', '')], v), '^(?:no\.?|number)\s*([0-9])', '#\1') FOR v IN l] AS l FROM l) SELECT record_id, {_ORDERED.format(l='l')} AS locations FROM k""")
 def ordered_locations(t):
     """STR18."""
-    return corpus(t).select("record_id", x.locations("full_text").alias("locations"))
+    return corpus(t, ("full_text",)).select("record_id", x.locations("full_text").alias("locations"))
 
 
 @query(f"""WITH {CORPUS}, p AS (SELECT '\\b(' || string_agg(regexp_escape(lower(term)), '|' ORDER BY length(term) DESC, lower(term)) || ')\\b' AS p FROM canonical_term WHERE kind = 'component'),
 k AS (SELECT record_id, regexp_extract_all(lower(coalesce(full_text, '')), p, 1) AS l FROM corpus, p) SELECT record_id, {_ORDERED.format(l='l')} AS components FROM k""")
 def ordered_components(t):
     """STR17: names found in the text, longest first."""
-    return n.named_components(corpus(t), t.canonical_term, "record_id", "full_text")
+    return n.named_components(corpus(t, ("full_text",)), t.canonical_term, "record_id", "full_text")
 
 
 _WORDS = """d AS (SELECT map_from_entries(list(struct_pack(k := key, v := expansion))) AS d FROM (SELECT lower(abbrev) AS key, min(expansion) AS expansion FROM abbreviation GROUP BY 1 HAVING count(DISTINCT expansion) = 1
@@ -121,7 +124,7 @@ _WORDS = """d AS (SELECT map_from_entries(list(struct_pack(k := key, v := expans
 k AS (SELECT record_id, regexp_extract_all(array_to_string([coalesce(d.d[w], w) FOR w IN regexp_extract_all(lower(coalesce(full_text, '')), '[a-z0-9]+|[^a-z0-9]+')], ''), p, 1) AS l FROM corpus, p, d) SELECT record_id, {_ORDERED.format(l='l')} AS components FROM k""")
 def canonical_components(t):
     """STR16: names found in any known spelling of their words, as their canonical entry."""
-    return n.named_components(corpus(t), t.canonical_term, "record_id", "full_text", synonyms=n.dictionary(t.abbreviation, t.misspelling))
+    return n.named_components(corpus(t, ("full_text",)), t.canonical_term, "record_id", "full_text", synonyms=n.dictionary(t.abbreviation, t.misspelling))
 
 
 @query(r"""WITH c AS (SELECT ident, trim(regexp_replace(coalesce(problem, ''), '[\s\p{Z}]+', ' ', 'g')) AS a, trim(regexp_replace(coalesce(action, ''), '[\s\p{Z}]+', ' ', 'g')) AS b FROM work_order)
@@ -258,7 +261,7 @@ v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(term), '[a-z]+')) AS w FRO
 SELECT dataset_id, count(*) AS tokens, count(DISTINCT w) AS types, round(avg((w NOT IN (SELECT w FROM v))::INT), 6) AS oov_rate FROM w GROUP BY 1""")
 def oov_report(t):
     """AG17: tokens, types and the share outside a vocabulary, by source."""
-    words = corpus(t).select("dataset_id", F.explode(x.tokens("full_text", "[a-z]+")).alias("w"))
+    words = corpus(t, ("full_text",)).select("dataset_id", F.explode(x.tokens("full_text", "[a-z]+")).alias("w"))
     known = t.canonical_term.select(F.explode(x.tokens("term", "[a-z]+")).alias("w")).distinct().withColumn("_k", F.lit(1))
     counts = words.groupBy("dataset_id", "w").agg(F.count("*").alias("n")).join(known, "w", "left")
     return counts.groupBy("dataset_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.round(F.sum(F.when(F.col("_k").isNull(), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("oov_rate"))
@@ -269,5 +272,5 @@ WHERE trim(coalesce(problem_text, '')) <> '' AND record_id NOT IN (SELECT ident
 def silver_set(t):
     """NRM15, JN7, XT15: records outside the held-out ones, labelled."""
     held = t.gold_annotation.select(F.col("ident").alias("record_id"))
-    rows = corpus(t).filter("trim(coalesce(problem_text, '')) <> ''").join(held, "record_id", "left_anti")
+    rows = corpus(t, ("problem_text",)).filter("trim(coalesce(problem_text, '')) <> ''").join(held, "record_id", "left_anti")
     return rows.select("record_id", F.lit("silver_rules").alias("label"), F.col("problem_text").alias("raw"), F.concat(F.lit("normalize problem: "), "problem_text").alias("prompt"))

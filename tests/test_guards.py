@@ -218,3 +218,34 @@ def test_text_keys_and_runs(spark):
     assert first(spark, align.nfkc_key("a"), a=" Oil ﬁlter, ") == "oil filter"
     rows = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
     assert [r[0] for r in rows.select(x.ngrams(F.col("w"), 2)).collect()] == [["a b", "b c"], [], []]
+
+
+def test_packing_deals_as_one_by_one(spark):
+    from collections import Counter
+
+    from hangarlake.operators import groups
+
+    def one_by_one(sizes, ratios):
+        filled, out = dict.fromkeys(ratios, 0), Counter()
+        for size in sorted(sizes, reverse=True):
+            best = min(ratios, key=lambda s: (filled[s] / ratios[s], s))
+            filled[best] += size
+            out[size, best] += 1
+        return out
+
+    rng = random.Random(13)
+    for ratios in ({"train": 0.7, "dev": 0.15, "test": 0.15}, {"a": 0.5, "b": 0.25, "c": 0.25}):
+        for _ in range(30):
+            sizes = [rng.choice([1, 1, 1, 2, 3, 5, 8, 40, 300]) for _ in range(rng.randrange(1, 400))]
+            got = Counter({(size, split): b - a for size, split, a, b in groups.packing(list(Counter(sizes).items()), ratios)})
+            want = one_by_one(sizes, ratios)
+            fill = lambda c: sorted((s, sum(k[0] * n for k, n in c.items() if k[1] == s)) for s in ratios)  # noqa: E731,B023
+            assert got == want or fill(got) == fill(want)
+    rows = [(f"g{i}", rng.choice([1, 2, 7])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, n int").repartition(4)
+    dealt = {r["g"]: r["assigned"] for r in groups.packed_split(df, "g", "n", {"train": 0.7, "dev": 0.15, "test": 0.15}).collect()}
+    assert len(dealt) == 500
+    total = sum(n for _, n in rows)
+    for split, share in (("train", 0.7), ("dev", 0.15), ("test", 0.15)):
+        assert abs(sum(n for g, n in rows if dealt[g] == split) / total - share) < 0.01
+    assert groups.packed_split(df.limit(0), "g", "n", {"train": 0.7, "test": 0.3}).count() == 0
