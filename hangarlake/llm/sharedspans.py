@@ -34,7 +34,6 @@ from hangarlake.session import cut, sent
 _U = np.uint64
 #: A token's greatest length.
 PLACES = 16
-_LAST = _U(2**64 - 1)
 _inverse = np.ones(1, np.uint64)
 
 
