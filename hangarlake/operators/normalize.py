@@ -13,6 +13,8 @@ from hangarlake.functions import text as x
 
 #: Entries of a dictionary at most: it becomes a literal map of the plan.
 ENTRIES = 50_000
+#: Number words that a guard reads as numbers.
+NUMBER_WORDS = {w: str(i) for i, w in enumerate(x.fixed.ONES)} | {w: str(20 + 10 * i) for i, w in enumerate(x.fixed.TENS)}
 
 
 def dictionary(abbreviations: DataFrame, misspellings: DataFrame, keep: tuple[str, ...] = (), least_size: int = 4) -> DataFrame:
@@ -151,14 +153,22 @@ def rewrite_problems(source: Column, rules: Column, candidate: Column) -> Column
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda v: v.isNotNull())
 
 
+def numbers_in(text: Column) -> Column:
+    """The numbers of a text, written in digits or as a word up to twenty or a ten."""
+    text = F.coalesce(text, F.lit(""))
+    spelled = F.regexp_extract_all(F.lower(text), F.lit(r"\b(" + "|".join(NUMBER_WORDS) + r")\b"), F.lit(1))
+    table = F.create_map(*[F.lit(v) for kv in NUMBER_WORDS.items() for v in kv])
+    return F.concat(F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0)), F.transform(spelled, lambda w: F.element_at(table, w)))
+
+
 def guarded(source: Column, candidate: Column) -> Column:
-    """Whether a rewriting keeps every protected value and adds no number."""
+    """Whether a rewriting keeps every protected value, as a word of its own or a direction's other form, and adds no number; number words count as numbers."""
     upper = F.upper(F.coalesce(candidate, F.lit("")))
     forms = F.transform(x.protected(F.upper(source)), lambda v: F.regexp_replace(v, r"[./-]+$", ""))
     same = {"LH": "LEFT", "RH": "RIGHT", "L/H": "LEFT", "R/H": "RIGHT"}
-    kept = F.forall(forms, lambda v: F.contains(upper, v) | F.contains(upper, x.mapped(v, same)))
-    digits = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    return kept & (F.size(F.array_except(digits(upper), digits(F.coalesce(source, F.lit(""))))) == 0)
+    alone = lambda v: F.regexp_like(upper, F.concat(F.lit(r"(^|[^A-Z0-9])\Q"), v, F.lit(r"\E($|[^A-Z0-9])")))
+    kept = F.forall(forms, lambda v: alone(v) | alone(x.mapped(v, same)))
+    return kept & (F.size(F.array_except(numbers_in(upper), numbers_in(source))) == 0)
 
 
 def safest(df: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hangarlake.functions import fixed
 from hangarlake.functions import text as x
 from hangarlake.operators import graph as g
 from hangarlake.operators import tagging

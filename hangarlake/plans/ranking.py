@@ -318,9 +318,6 @@ def relation_model(t):
     return model.transform(data.filter("half = 1")).groupBy("types", "y", F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
 
 
-_GRAMS = "(SELECT list_sort(list_distinct([substr(p, i, 3) FOR i IN range(1, length(p) - 1)]))) "
-
-
 @query(f"""WITH k AS (SELECT ident, trim(regexp_replace(lower(problem), '[^a-z0-9]+', ' ', 'g')) AS p FROM work_order WHERE problem IS NOT NULL), s AS (SELECT min(ident) AS k, s FROM (SELECT ident, list_sort(list_distinct([substr(p, i, 3) FOR i IN range(1, length(p) - 1)])) AS s FROM k WHERE length(p) >= 3) GROUP BY s),
 v AS (SELECT k, unnest(s) AS e, len(s) AS n FROM s), p AS (SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM v a JOIN v b ON a.e = b.e AND a.k < b.k GROUP BY 1, 2)
 SELECT a, b, round(c / (na + nb - c), 6) AS likeness FROM p WHERE c / (na + nb - c) >= 0.8 - 1e-9""")

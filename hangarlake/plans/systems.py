@@ -11,9 +11,12 @@ from hangarlake.operators import records as r
 from hangarlake.plans.registry import query
 from hangarlake.plans.texts import _WORDS, CLEAN_SQL, CORPUS, PAIRS_SQL, _pairs, corpus
 
-_KEPT = """(len(list_filter([regexp_replace(v, '[./-]+$', '') FOR v IN list_concat(<guards>)], lambda v: NOT contains(upper(coalesce(<c>, '')), v)
-  AND NOT contains(upper(coalesce(<c>, '')), coalesce(map {'LH': 'LEFT', 'RH': 'RIGHT', 'L/H': 'LEFT', 'R/H': 'RIGHT'}[v], v)))) = 0
-  AND len(list_filter(regexp_extract_all(upper(coalesce(<c>, '')), '[0-9]+(?:\\.[0-9]+)?'), lambda d: NOT list_contains(regexp_extract_all(coalesce(<s>, ''), '[0-9]+(?:\\.[0-9]+)?'), d))) = 0)"""
+_KEPT = """(len(list_filter([regexp_replace(v, '[./-]+$', '') FOR v IN list_concat(<guards>)], lambda v: NOT regexp_matches(upper(coalesce(<c>, '')), '(^|[^A-Z0-9])' || regexp_escape(v) || '($|[^A-Z0-9])')
+  AND NOT regexp_matches(upper(coalesce(<c>, '')), '(^|[^A-Z0-9])' || regexp_escape(coalesce(map {'LH': 'LEFT', 'RH': 'RIGHT', 'L/H': 'LEFT', 'R/H': 'RIGHT'}[v], v)) || '($|[^A-Z0-9])'))) = 0
+  AND len(list_filter(<numbers c>, lambda d: NOT list_contains(<numbers s>, d))) = 0)"""
+_NUMBERS = "list_concat(regexp_extract_all(coalesce(<t>, ''), '[0-9]+(?:\\.[0-9]+)?'), [<map>[w] FOR w IN regexp_extract_all(lower(coalesce(<t>, '')), '\\b(<words>)\\b', 1)])"
+_NUMBERS = _NUMBERS.replace("<words>", "|".join(n.NUMBER_WORDS)).replace("<map>", "map {" + ", ".join(f"'{k}': '{v}'" for k, v in n.NUMBER_WORDS.items()) + "}")
+_KEPT = _KEPT.replace("<numbers c>", _NUMBERS.replace("<t>", "<c>")).replace("<numbers s>", _NUMBERS.replace("<t>", "<s>"))
 _KEPT = _KEPT.replace("<guards>", ", ".join(f"regexp_extract_all(upper(coalesce(<s>, '')), '(?i){p}')" for p in fixed.PROTECTED))
 
 
@@ -224,9 +227,6 @@ def shielded_rules(t):
     return t.work_order.filter("ident is not null").select("ident", n.shielded_by_rules(F.col("problem"), n.dictionary(t.abbreviation, t.misspelling)).alias("normalized")).distinct()
 
 
-_NUMBER_WORDS = "\\\\b(?:" + "|".join((*fixed.ONES, *fixed.TENS, "hundred", "thousand", "million")) + ")\\\\b"
-
-
 @query()
 def rewrite_checks(t):
     """NRM11: the rewritings of one system held against its source, by what speaks against them."""

@@ -222,7 +222,7 @@ def protected_tokens(t):
 
 @query()
 def selective_fallback(t):
-    """NRM10, NRM11, NRM12, NRM17: the candidate, else the rules' text, else the raw one; whichever keeps what is protected."""
+    """NRM10, NRM12: the candidate, else the rules' text, else the raw one; whichever keeps what is protected."""
     rules = n.normalized_by_rules(t.work_order, "ident", "problem", n.dictionary(t.abbreviation, t.misspelling))
     return n.safest(rules.withColumn("candidate", n.expanded("raw", n.dictionary(t.abbreviation, t.misspelling))))
 

@@ -249,3 +249,8 @@ def test_packing_deals_as_one_by_one(spark):
     for split, share in (("train", 0.7), ("dev", 0.15), ("test", 0.15)):
         assert abs(sum(n for g, n in rows if dealt[g] == split) / total - share) < 0.01
     assert groups.packed_split(df.limit(0), "g", "n", {"train": 0.7, "test": 0.3}).count() == 0
+
+
+@pytest.mark.parametrize("source, candidate, kept", [("LH PUMP AB-12 30 PSI", "left pump ab-12 30 psi", True), ("LH PUMP", "right pump", False), ("ITEM AB-12", "item ab-123", False), ("CHECK #3", "check number three", True), ("CHECK", "check two", False), ("NOT OK", "notok", False), ("", "", True), (None, None, True)])
+def test_rewrites_keep_what_is_protected(spark, source, candidate, kept):
+    assert first(spark, normalize.guarded(F.col("s"), F.col("c")), s=source, c=candidate) is kept
