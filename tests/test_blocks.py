@@ -36,3 +36,7 @@ def checked(spark, con, monkeypatch, name, size=100):
 
 def test_rrf_hybrid(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "rrf_hybrid")
+
+
+def test_weighted_channels(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "weighted_channels")
