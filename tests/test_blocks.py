@@ -40,3 +40,7 @@ def test_rrf_hybrid(spark, con, monkeypatch):
 
 def test_weighted_channels(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "weighted_channels")
+
+
+def test_blinded_pool(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "blinded_pool")
