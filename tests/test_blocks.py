@@ -44,3 +44,7 @@ def test_weighted_channels(spark, con, monkeypatch):
 
 def test_blinded_pool(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "blinded_pool")
+
+
+def test_struct_overlap(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "struct_overlap")
