@@ -48,3 +48,7 @@ def test_blinded_pool(spark, con, monkeypatch):
 
 def test_struct_overlap(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "struct_overlap")
+
+
+def test_method_table(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "method_table")
