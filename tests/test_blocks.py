@@ -52,3 +52,7 @@ def test_struct_overlap(spark, con, monkeypatch):
 
 def test_method_table(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "method_table")
+
+
+def test_reranked(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "reranked")
