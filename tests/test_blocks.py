@@ -56,3 +56,17 @@ def test_method_table(spark, con, monkeypatch):
 
 def test_reranked(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "reranked")
+
+
+def test_bits_leave_all_similar_sets(spark):
+    import random
+
+    from hangarlake.operators.setjoin import similar_sets
+
+    rng = random.Random(3)
+    sets = [frozenset(f"e{rng.randrange(40)}" for _ in range(rng.randrange(3, 30))) for _ in range(40)]
+    sets = list(dict.fromkeys(sets + [s | {f"n{i}"} for i, s in enumerate(sets)]))
+    df = similar_sets(spark.createDataFrame([(f"{i:03}", sorted(s)) for i, s in enumerate(sets)], "ident string, g array<string>"), "ident", "g", 0.8)
+    want = {(f"{j:03}", f"{i:03}") for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b) - 1e-9}
+    assert {(r["a"], r["b"]) for r in df.collect()} == want and len(want) > 20
+    assert "bit_count" in df._jdf.queryExecution().optimizedPlan().toString()
