@@ -58,6 +58,10 @@ def test_reranked(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "reranked")
 
 
+def test_graded_ndcg(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "graded_ndcg")
+
+
 def test_bits_leave_all_similar_sets(spark):
     import random
 
