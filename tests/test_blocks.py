@@ -62,6 +62,10 @@ def test_graded_ndcg(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "graded_ndcg")
 
 
+def test_narrowed_pool(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "narrowed_pool")
+
+
 def test_bits_leave_all_similar_sets(spark):
     import random
 
