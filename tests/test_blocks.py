@@ -66,6 +66,10 @@ def test_narrowed_pool(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "narrowed_pool")
 
 
+def test_chosen_method(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "chosen_method")
+
+
 def test_bits_leave_all_similar_sets(spark):
     import random
 
