@@ -70,6 +70,10 @@ def test_chosen_method(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "chosen_method")
 
 
+def test_norm_tfidf_topk(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "norm_tfidf_topk")
+
+
 def test_bits_leave_all_similar_sets(spark):
     import random
 
