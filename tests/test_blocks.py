@@ -74,6 +74,10 @@ def test_norm_tfidf_topk(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "norm_tfidf_topk")
 
 
+def test_anchor_coverage(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "anchor_coverage")
+
+
 def test_bits_leave_all_similar_sets(spark):
     import random
 
