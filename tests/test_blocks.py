@@ -78,6 +78,10 @@ def test_anchor_coverage(spark, con, monkeypatch):
     checked(spark, con, monkeypatch, "anchor_coverage")
 
 
+def test_strategy_list(spark, con, monkeypatch):
+    checked(spark, con, monkeypatch, "strategy_list")
+
+
 def test_bits_leave_all_similar_sets(spark):
     import random
 
