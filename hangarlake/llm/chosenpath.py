@@ -94,8 +94,8 @@ def _emit(path: np.ndarray, sig: np.ndarray, pack: np.ndarray, more: np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(tv.to_long(x[i : i + (1 << 16)])) for x in out], ["path", "sig", "pack", "more"])
 
 
-def _distinct_sets(batches, k: int):
-    """(signatures, packs, maps, sizes, offsets, tokens) of the distinct sets of each segment."""
+def _distinct_sets(batches, k: int, most: float = math.inf):
+    """(signatures, packs, maps, sizes, offsets, tokens) of the distinct sets of each segment, of those of up to ``most`` tokens."""
     held: list[tuple] = []
     size = 0
 
@@ -105,13 +105,13 @@ def _distinct_sets(batches, k: int):
         tokens = np.concatenate([h[2] for h in held])
         upper, other = (np.concatenate(x) for x in zip(*(tv.bitmaps(h[1], h[2], True) for h in held), strict=True))
         _, one = np.unique(sig, return_index=True)
-        one = one[sizes[one] > 0]
+        one = one[(sizes[one] > 0) & (sizes[one] <= most)]
         mask = np.zeros(len(sig), bool)
         mask[one] = True
         return sig[mask], _pack(sizes[mask], upper[mask]), other[mask], sizes[mask], np.concatenate([[0], np.cumsum(sizes[mask])]), tokens[np.repeat(mask, sizes)]
 
     for batch in batches:
-        for _, texts in tv.chunks(batch.column(0)):
+        for _, texts in tv.slices(batch.column(0)):
             offsets, tokens = tv.shingle_sets(texts, k)
             held.append((tv.set_signatures(offsets, tokens), offsets, tokens))
             size += len(tokens)
@@ -122,9 +122,9 @@ def _distinct_sets(batches, k: int):
         yield join()
 
 
-def _first_level(k: int, bucket: int):
+def _first_level(k: int, bucket: int, most: float = math.inf):
     def run(batches):
-        for sig, pack, more, sizes, _, tokens in _distinct_sets(batches, k):
+        for sig, pack, more, sizes, _, tokens in _distinct_sets(batches, k, most):
             yield from _emit(tokens, np.repeat(sig, sizes), np.repeat(pack, sizes), np.repeat(more, sizes), bucket)
 
     return run
@@ -193,14 +193,14 @@ def _subsets(tokens: np.ndarray, level: int, need: int, rate: float, recall: flo
     return row, path[row, column]
 
 
-def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket: int, crowded: list[np.ndarray], k: int | None):
-    """Of texts, where k is given and the frequent tokens are sent along; else of (sig, size, frequent tokens)."""
+def _deep_level(level: int, threshold: float, rate: float, recall: float, bucket: int, crowded: list[np.ndarray], k: int | None, most: float = math.inf):
+    """Of texts, where k is given and the frequent tokens are sent along; else of (sig, size, frequent tokens). Only sets of up to ``most`` tokens."""
     known = crowded[level - 2] if level > 2 and len(crowded) >= level - 1 else None
     turns = _turns(level, threshold, rate, recall)
 
     def sets(batches):
         if k is not None:
-            for sig, _, _, sizes, _, tokens in _distinct_sets(batches, k):
+            for sig, _, _, sizes, _, tokens in _distinct_sets(batches, k, most):
                 frequent = np.isin(tokens >> _PATH_SHIFT, crowded[0])
                 yield sig, sizes, tokens[frequent], np.repeat(np.arange(len(sig)), sizes)[frequent]
             return
@@ -251,6 +251,13 @@ def _alike(a: tuple, b: tuple, threshold: float) -> np.ndarray:
     return (sig_a != sig_b) & (long | fits)
 
 
+def _reach(packs: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each set what it allows of differing bits: two sets that are ``_alike`` differ in as many as both allow, at most."""
+    n = (packs & _U(255)).astype(np.float32)
+    some = ((packs >> _U(8)) & _U(255)).astype(np.float32)
+    return np.where(n == 254, np.float32(np.inf), some - n * np.float32(2 * threshold / (1 + threshold)) + np.float32(0.01))
+
+
 def _joined(batches, least: int):
     """The batches' four columns, together until they have ``least`` rows."""
     held: list[tuple] = []
@@ -287,21 +294,38 @@ def _compare(threshold: float, bucket: int):
             heavy = path[first[crowded]]
             small = ~np.repeat(crowded, count)
             p, q = path[small], tuple(x[small] for x in sets)
+            reach, bits, more = _reach(q[1], threshold), q[1] >> _U(16), q[2] if q[2].any() else None
             left, right = [], []
+
+            def keep(i, j):
+                """Of places side by side those of sets that are alike."""
+                fits = _alike(tuple(c[i] for c in q), tuple(c[j] for c in q), threshold)
+                left.append(q[0][i[fits]])
+                right.append(q[0][j[fits]])
+
+            def near(i, j):
+                """Whether sets may be alike, by the bits that differ."""
+                apart = np.bitwise_count(bits[i] ^ bits[j])
+                if more is not None:
+                    apart += np.bitwise_count(more[i] ^ more[j])
+                return apart <= reach[i] + reach[j]
+
             sizes = count[~crowded]
-            wide = np.repeat(sizes > 64, sizes)
-            for begin, size in zip((np.cumsum(sizes) - sizes)[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+            begins = np.cumsum(sizes) - sizes
+            for begin, size in zip(begins[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
                 for i in range(begin, begin + size, 256):
-                    rows, columns = np.arange(i, min(i + 256, begin + size))[:, None], np.arange(i, begin + size)[None, :]
-                    x, y = np.nonzero(_alike(tuple(c[rows] for c in q), tuple(c[columns] for c in q), threshold) & (columns > rows))
-                    left.append(q[0][x + i])
-                    right.append(q[0][y + i])
-            p, q = p[~wide], tuple(x[~wide] for x in q)
-            for step in range(1, int(sizes[sizes <= 64].max(initial=1))):
-                i = np.flatnonzero(p[step:] == p[:-step])
-                i = i[_alike(tuple(c[i] for c in q), tuple(c[i + step] for c in q), threshold)]
-                left.append(q[0][i])
-                right.append(q[0][i + step])
+                    x, y = np.nonzero(near(np.arange(i, min(i + 256, begin + size))[:, None], np.arange(i, begin + size)[None, :]))
+                    x, y = x[y > x], y[y > x]
+                    keep(x + i, y + i)
+            # Of the others each place with the ``step``-th after it, as long as that is of the same run.
+            narrow = sizes <= 64
+            at = np.flatnonzero(np.repeat(narrow, sizes))
+            last = np.repeat((begins + sizes)[narrow], sizes[narrow])
+            for step in range(1, int(sizes[narrow].max(initial=1))):
+                inside = at + step < last
+                at, last = at[inside], last[inside]
+                some = at[near(at, at + step)]
+                keep(some, some + step)
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -341,7 +365,7 @@ def _arrays(k: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for begin, texts in tv.chunks(batch.column(1)):
+            for begin, texts in tv.slices(batch.column(1)):
                 offsets, tokens = tv.shingle_sets(texts, k)
                 sig = tv.to_long(tv.set_signatures(offsets, tokens))
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(sig), tv.list_array(offsets, tokens)], ["id", "sig", "tokens"])
@@ -387,12 +411,12 @@ def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, r
     found: list[DataFrame] = []
     frequent = None
 
-    def paths(level: int, bucket: int) -> DataFrame:
+    def paths(level: int, bucket: int, most: float = math.inf) -> DataFrame:
         if level == 1:
-            return texts.mapInArrow(_first_level(k, bucket), _PATHS)
+            return texts.mapInArrow(_first_level(k, bucket, most), _PATHS)
         if crowded:
-            return texts.mapInArrow(_deep_level(level, threshold, rate, target_recall, bucket, list(crowded), k), _PATHS)
-        return _joined_sets(texts, k, frequent, threshold).mapInArrow(_deep_level(level, threshold, rate, target_recall, bucket, [], None), _PATHS)
+            return texts.mapInArrow(_deep_level(level, threshold, rate, target_recall, bucket, list(crowded), k, most), _PATHS)
+        return _joined_sets(texts, k, frequent, threshold).filter(F.col("size") <= most).mapInArrow(_deep_level(level, threshold, rate, target_recall, bucket, [], None), _PATHS)
 
     rows = paths(1, bucket)
     for level in range(1, max_depth + 1):
@@ -410,7 +434,7 @@ def similar_sets(df: DataFrame, text: str, k: int = 5, threshold: float = 0.8, r
             break
         # Two different sets that share ``level`` tokens have no path on the next level; only short ones can reach the threshold so.
         if level + 1 <= level / threshold + 1e-9:
-            found.append(_blocks(paths(level, _ALL).filter(F.col("pack").bitwiseAND(F.lit(255)) <= level / threshold + 1e-9), heavy, threshold))
+            found.append(_blocks(paths(level, _ALL, level / threshold + 1e-9), heavy, threshold))
         if many <= BROADCAST_TOKENS and len(crowded) == level - 1:
             crowded.append(np.sort(np.array(heavy.toArrow().column(0).to_numpy(), np.int64).view(np.uint64)))
         rows = paths(level + 1, deep_bucket)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 _U = np.uint64
@@ -17,6 +18,7 @@ _TABLE = np.random.default_rng(20_240_611).integers(1, 2**63, 256, dtype=np.uint
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _powers = np.ones(1, np.uint64)
 
 
@@ -40,13 +42,24 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def _lowered(texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of each lowered text, their bytes with a line break after each)."""
+    if isinstance(texts, pa.Array) and len(texts):
+        texts = pc.fill_null(texts, "")
+        # Other letters are lowered by Python, which may change their number.
+        other = pc.invert(pc.string_is_ascii(texts))
+        texts = pc.replace_with_mask(texts, other, pa.array([t.lower() for t in texts.filter(other).to_pylist()], texts.type))
+        one = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(texts)], pa.int64()), texts), pa.scalar("\n", texts.type))[0].as_buffer()
+        return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64), _LOWER[np.concatenate([np.frombuffer(one, np.uint8), [10]])]
+    lowered = [("" if t is None else t).lower().encode("utf-8", "surrogatepass") for t in texts]
+    return np.fromiter(map(len, lowered), np.int64, len(lowered)), np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8)
+
+
 class Words:
     """Words of a run of texts: ``row`` and ``hash`` by word; byte spans relative to the row's lowered text."""
 
-    def __init__(self, texts: list[str | None]):
-        lowered = [("" if t is None else t).lower().encode("utf-8", "surrogatepass") for t in texts]
-        sizes = np.fromiter(map(len, lowered), np.int64, len(lowered))
-        data = np.frombuffer(b"\n".join(lowered) + b"\n", np.uint8)
+    def __init__(self, texts: list[str | None] | pa.Array):
+        sizes, data = _lowered(texts)
         self.first_byte = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         word = _IS_WORD[data]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
@@ -77,11 +90,13 @@ def gram_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return words.row[at], at, mix(total)
 
 
-def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str | None] | pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): for each text its distinct runs of k words, ascending by hash."""
     words = Words(texts)
     row, _, value = gram_hashes(words, k)
-    order = np.lexsort((value, row))
+    order = np.argsort(value)
+    # Rows of a chunk mostly fit into 16 bits, which are sorted by their digits.
+    order = order[np.argsort((row if len(texts) > 1 << 16 else row.astype(np.uint16))[order], kind="stable")]
     row, value = row[order], value[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
@@ -130,6 +145,16 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[str
         yield begin, texts[begin:]
 
 
+def slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """``chunks`` whose texts stay in Arrow."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin, before = 0, 0
+    while begin < len(column) or not begin:
+        end = max(int(np.searchsorted(ends, before + limit, "right")), begin + 1)
+        yield begin, column.slice(begin, end - begin)
+        begin, before = end, ends[min(end, len(column)) - 1] if len(column) else 0
+
+
 def to_long(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 
